@@ -1,0 +1,26 @@
+"""Queries of the training-data operators over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from limnos.llm import mixing
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of a mix of 150 % of the words, sources weighted 3, 1, 2 in turn."""
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES = {
+    "op8_mixing": op8_mixing,
+}
+
+ORACLE_SQL = {
+    "op8_mixing": mixing.MIX_SQL.format(docs="documents") + "select doc_id, size, source_size, target, size * copies as taken, source, copies from out",
+}
