@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limnos.llm import mixing
+from limnos.llm import html_extract, mixing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that are not held out."""
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of 150 % of the words, sources weighted 3, 1, 2 in turn."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_html(table(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the corpus-wide ownership of what they look like."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
+    "op9_html": op9_html,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL = {
