@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limnos.llm import html_extract, mixing, quality, secrets
+from limnos.llm import html_extract, media, mixing, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as an image in an archive, read back and described."""
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels that are not held out."""
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -33,6 +43,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_media": op3_media,
+    "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
     "op9_html": op9_html,
