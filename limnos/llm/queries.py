@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limnos.llm import html_extract, media, mixing, quality, secrets, url_filter
+from limnos.llm import html_extract, media, mixing, near_dup, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_dup.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of 150 % of the words, sources weighted 3, 1, 2 in turn."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ QUERIES = {
     "op3_media": op3_media,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
+    "op6_simhash": op6_simhash,
     "op8_mixing": op8_mixing,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
