@@ -320,15 +320,16 @@ def keep_one_of_each(docs: DataFrame, radius: int = 7, shingle_words: int = 5, s
     links = near_links(nodes.select("node", "fp", "fp_runs", "n_runs"), radius, also, confirm)
     placed = with_components(rows.select("id", "text_key", "node"), nodes, links)
     # of the rows that bear a component's name one text stays
-    kept = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("kept_key"))
-    marked = placed.join(kept, placed["component_id"].eqNullSafe(kept["component_id"]), "left")
-    stays = F.col("id").eqNullSafe(placed["component_id"]) & (F.col("text_key") == F.col("kept_key"))
+    kept = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_of")).agg(F.min("text_key").alias("kept_key"))
+    marked = placed.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")), "left")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("kept_key"))
     per_row = stage(marked.groupBy("id", "text_key").agg(F.max(F.coalesce(stays, F.lit(False))).alias("stays"), F.count("*").alias("n")), "near-copy-verdicts")
     gone = stage(per_row.where("not stays").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")), "near-copies-gone")
     twice = stage(per_row.where("stays and n > 1").select(F.col("id").alias("twice_id"), F.col("text_key").alias("twice_key")), "repeated-rows")
 
     keyed = docs.withColumn("_text_key", key)
-    left = keyed.join(gone, keyed[id_col].eqNullSafe(gone["gone_id"]) & (F.col("_text_key") == F.col("gone_key")), "left_anti")
-    once = left.join(twice, left[id_col].eqNullSafe(twice["twice_id"]) & (F.col("_text_key") == F.col("twice_key")), "left_anti")
-    again = left.join(twice, left[id_col].eqNullSafe(twice["twice_id"]) & (F.col("_text_key") == F.col("twice_key")), "left_semi").dropDuplicates([id_col, "_text_key"])
+    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("_text_key") == F.col("gone_key")), "left_anti")
+    repeated = F.col(id_col).eqNullSafe(F.col("twice_id")) & (F.col("_text_key") == F.col("twice_key"))
+    once = left.join(twice, repeated, "left_anti")
+    again = left.join(twice, repeated, "left_semi").dropDuplicates([id_col, "_text_key"])
     return once.unionByName(again).drop("_text_key")
