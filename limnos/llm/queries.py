@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limnos.llm import html_extract, media, mixing, near_dup, quality, secrets, url_filter
+from limnos.llm import decontaminate, html_extract, media, mixing, near_dup, quality, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat benchmark items, and how closely."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    leaks = decontaminate.find_leaks(docs, items, {"doc_id": F.col("doc_id")}, F.col("text"))
+    return leaks.withColumn("similarity", F.round("similarity", 9))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as an image in an archive, read back and described."""
     return media.media_features(table(spark, sf_dir, "documents"))
@@ -48,6 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_media": op3_media,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
@@ -58,5 +67,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.LEAKS_SQL,
     "op8_mixing": mixing.MIX_SQL.format(docs="documents") + "select doc_id, size, source_size, target, size * copies as taken, source, copies from out",
 }
