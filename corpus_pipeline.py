@@ -3,28 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limnos.llm import mixing
+from limnos.llm import decontaminate, mixing, near_dup, quality, secrets
 from limnos.storage import stage
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.3; all columns stay."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    names = {c: c for c in docs.columns}
+    scored = quality.score_quality(docs, model, names | {"text": "text"})
+    return scored.where("score >= 0.3").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dup.keep_one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no benchmark item."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the secrets in their texts replaced by a mark."""
+    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of every kept document, for sources weighted 3, 1, 2 in turn."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.where("copies > 0")
+    """Documents that the mix takes and how often, for sources weighted 3, 1, 2 in turn."""
+    return mixing.mix_sources(docs).where("copies > 0")
 
 
 STAGES = [
-    ("mixing", mix),
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mix),
 ]
 
-#: The stages hold trained models, so SQL can't express the rows of run().
+#: The first stage is a trained model, so SQL can't express the rows of run().
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, each over all that the one before kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
