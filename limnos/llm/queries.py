@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import decontaminate, html_extract, media, mixing, near_dup, quality, secrets, url_filter
+from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.withColumn("similarity", F.round("similarity", 9))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as tool calls with their replies, checked, ordered and serialised."""
+    return chat.link_tool_calls(*chat.turns_as_calls(table(spark, sf_dir, "conversations")))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as an image in an archive, read back and described."""
     return media.media_features(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after masking, by edits of its segment tree."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of 150 % of the words, sources weighted 3, 1, 2 in turn."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -57,10 +67,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat": op2_chat,
     "op3_media": op3_media,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_tokens": op7_tokens,
     "op8_mixing": op8_mixing,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
@@ -68,5 +80,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.LEAKS_SQL,
+    "op2_chat": chat.CHAT_SQL,
     "op8_mixing": mixing.MIX_SQL.format(docs="documents") + "select doc_id, size, source_size, target, size * copies as taken, source, copies from out",
 }
