@@ -109,6 +109,18 @@ def nearest(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
     return near.withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "lake", "inside", F.round("distance", 4).alias("distance"))
 
 
+def matched(wanted: DataFrame, named: DataFrame, edges: DataFrame) -> DataFrame:
+    """How each wanted lake (id, name, x, y) gets its outline.
+
+    ``osm`` where its name has one (the largest), else ``osm-geo`` where one
+    holds its point, else ``buffer``: a circle of its nominal area.
+    """
+    by_name = named.groupBy("name").agg(F.max("area").alias("area"))
+    holding = near_polygons(wanted.select("id", "x", "y"), edges, 0.0).where("inside").groupBy("id").agg(F.max("lake").alias("lake"))
+    source = F.when(F.col("area").isNotNull(), "osm").when(F.col("lake").isNotNull(), "osm-geo").otherwise("buffer")
+    return wanted.join(by_name, "name", "left").join(holding, "id", "left").select("id", source.alias("source"))
+
+
 def shoelace(edges: DataFrame) -> DataFrame:
     return edges.groupBy("lake").agg(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2.0).alias("area"))
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limnos.functions import geo
 from limnos.functions import spectral as S
-from limnos.operators import evaluate, panel, raster, spatial, zonal
+from limnos.operators import evaluate, models, panel, raster, risk, spatial, zonal
 from limnos.plans.fixtures import view, with_views
+from limnos.sources import landed, sinks
+from limnos.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,8 +117,6 @@ def _(spark, sf):
 
 @query("o_prj_11_world_pixel", "select id, cast(floor((x * 20 - 5) / 20) as bigint) as col, cast(floor((640 - y * 20) / 20) as bigint) as row from fx_points", ("fx_points",))
 def _(spark, sf):
-    from limnos.functions import geo
-
     col, row = geo.pixel_of(F.col("x") * 20, F.col("y") * 20, F.lit(5.0), F.lit(640.0), 20.0)
     return view(spark, sf, "fx_points").select("id", col.alias("col"), row.alias("row"))
 
@@ -122,8 +124,6 @@ def _(spark, sf):
 @query("o_prj_12_snap", """, b as (select lake, min(x1) * 20.0 - 7 as minx, max(x1) * 20.0 + 3 as maxx from fx_edges group by lake)
 select lake, cast(floor(minx / 20) * 20 as double) as minx, cast(ceil(maxx / 20) * 20 as double) as maxx, (ceil(maxx / 20) - floor(minx / 20)) * 20 > 400 as clipped from b""", ("fx_edges",))
 def _(spark, sf):
-    from limnos.functions import geo
-
     b = view(spark, sf, "fx_edges").groupBy("lake").agg((F.min("x1") * 20.0 - 7).alias("a"), (F.max("x1") * 20.0 + 3).alias("b"))
     lo, hi, wide = geo.snapped(F.col("a"), F.col("b"), 20.0, 400.0)
     return b.select("lake", lo.alias("minx"), hi.alias("maxx"), wide.alias("clipped"))
@@ -142,8 +142,6 @@ def _(spark, sf):
 
 @query("o_prj_15_slugify", "select p_partkey as id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-p' || p_partkey as slug from part")
 def _(spark, sf):
-    from limnos.functions import geo
-
     return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), geo.slug(F.col("p_name"), "p", F.col("p_partkey")).alias("slug"))
 
 
@@ -151,8 +149,6 @@ def _(spark, sf):
 , m as (select id, q, regexp_extract(q, '^\\s*(-?[0-9.]+)\\s*,\\s*(-?[0-9.]+)\\s*$', 1) as a, regexp_extract(q, '^\\s*(-?[0-9.]+)\\s*,\\s*(-?[0-9.]+)\\s*$', 2) as b from t)
 select id, case when try_cast(a as double) between 6 and 38 and try_cast(b as double) between 68 and 98 then try_cast(a as double) end as lat, case when try_cast(a as double) between 6 and 38 and try_cast(b as double) between 68 and 98 then try_cast(b as double) end as lon from m""", ("fx_points",))
 def _(spark, sf):
-    from limnos.functions import geo
-
     q = F.when(F.col("id") % 3 == 0, F.concat(F.lit("lake "), "id")).otherwise(F.concat((12 + F.col("id") % 30).cast("string"), F.lit(".5, "), (70 + F.col("id") % 40).cast("string"), F.lit(".25")))
     lat, lon = geo.coordinates(q)
     return view(spark, sf, "fx_points").select("id", lat.alias("lat"), lon.alias("lon"))
@@ -185,8 +181,6 @@ def _(spark, sf):
 
 @query("o_prj_22_panel_scaling", "select lake, yr, round(ln(1 + greatest(built_px, 0)), 6) as log_built, yr - 1998 as year_c, round((water_px - avg(water_px) over ()) / greatest(stddev_pop(water_px) over (), 1e-9), 6) as water_z from fx_panel", ("fx_panel",))
 def _(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy()
     return view(spark, sf, "fx_panel").select("lake", "yr", F.round(F.log1p(F.greatest("built_px", F.lit(0))), 6).alias("log_built"), (F.col("yr") - 1998).alias("year_c"), F.round((F.col("water_px") - F.avg("water_px").over(w)) / F.greatest(F.stddev_pop("water_px").over(w), F.lit(1e-9)), 6).alias("water_z"))
 
@@ -458,7 +452,7 @@ panel_query("o_ml_5_wilcoxon", WILQ, lambda p: evaluate.wilcoxon(p.select("lake"
 panel_query("o_prj_26_jn_17_decision", "select round(avg(water), 6) as mean_a, round(avg(built), 6) as mean_b, round(avg(built) - avg(water), 6) as gain, count(*) filter (where built > water) as improved, case when avg(built) - avg(water) >= 0.02 then 'b' else 'a' end as recommended from fx_fractions", lambda p: evaluate.decision(p.select(F.col("water").alias("a"), F.col("built").alias("b"))))
 panel_query("o_agg_26_fold_summary", "select 'm' || (yr % 2) as model, round(avg(water), 6) as mean_f1, min(water) as min_f1, max(water) as max_f1 from fx_fractions group by yr % 2", lambda p: evaluate.fold_summary(p.select(F.concat(F.lit("m"), F.col("yr") % 2).alias("model"), F.col("water").alias("macro_f1"))))
 panel_query("o_agg_32_variant_pivot", "select lake, round(avg(water) filter (where yr % 2 = 0), 6) as raw, round(avg(water) filter (where yr % 2 = 1), 6) as enhanced, round(round(avg(water) filter (where yr % 2 = 1), 6) - round(avg(water) filter (where yr % 2 = 0), 6), 6) as gain from fx_fractions group by lake", lambda p: p.withColumn("v", F.when(F.col("yr") % 2 == 0, "raw").otherwise("enhanced")).groupBy("lake").pivot("v", ["raw", "enhanced"]).agg(F.round(F.avg("water"), 6)).withColumn("gain", F.round(F.col("enhanced") - F.col("raw"), 6)))
-panel_query("o_risk_4_coverage", ", b as (select lake, water, avg(water) over (partition by lake) as m, stddev_pop(water) over (partition by lake) as s from fx_fractions) select lake, round(avg((water between m - s and m + s)::int), 6) as coverage, round(median(2 * s), 6) as width from b group by lake", lambda p: __import__("limnos.operators.risk", fromlist=["x"]).coverage_of_band(p, "water"))
+panel_query("o_risk_4_coverage", ", b as (select lake, water, avg(water) over (partition by lake) as m, stddev_pop(water) over (partition by lake) as s from fx_fractions) select lake, round(avg((water between m - s and m + s)::int), 6) as coverage, round(median(2 * s), 6) as width from b group by lake", lambda p: risk.coverage_of_band(p, "water"))
 
 # --- rasters --------------------------------------------------------------------------------------
 
@@ -476,3 +470,107 @@ query("o_ras_7_patches")(lambda spark, sf: raster.patch_table(raster.patches(vie
 query("o_agg_29_ras_14_burn_back")(lambda spark, sf: raster.burned(view(spark, sf, "fx_grid").withColumn("grey", F.col("green") % 256), raster.patches(view(spark, sf, "fx_grid"), 3, 4)))
 query("o_jn_7_lines_touched")(lambda spark, sf: spatial.cells_touched(view(spark, sf, "fx_lines"), 32, 32))
 query("o_jn_5_line_length")(lambda spark, sf: spatial.length_within(view(spark, sf, "fx_lines"), view(spark, sf, "fx_edges"), 4.0))
+
+
+# --- models, risk, streams, sinks ------------------------------------------------------------------
+
+CHANNELS = ["blue", "green", "red", "nir", "swir16"]
+
+
+@query("o_ml_1_2_forest")
+def _(spark, sf):
+    scored = models.leave_one_out(view(spark, sf, "fx_pixels"), CHANNELS, cap=20_000, trees=10, depth=5)
+    return evaluate.summary_metrics(evaluate.confusion(scored, "lake"), "lake", "zero")
+
+
+@query("o_ml_3_leakage")
+def _(spark, sf):
+    rows = view(spark, sf, "fx_fractions").join(view(spark, sf, "fx_weather").groupBy("lake", F.year("d").alias("yr")).agg((F.sum("rain_raw") / 1e6).alias("rain"), F.avg("tmax").alias("tmax")), ["lake", "yr"])
+    return models.leakage(rows, ["rain", "tmax", "bare", "built"], "water")
+
+
+@query("o_ml_6_score_patches")
+def _(spark, sf):
+    patched = spatial.patch_pixels(view(spark, sf, "fx_pixels"), 16, 8, 32, 32)
+    logits = models.averaged_logits(models.score_patches(patched, ["green", "nir", "swir16"], plain_score, 16))
+    return logits.groupBy("lake", "yr", S.argmax(F.col("logits")).alias("pred")).agg(F.count("*").alias("n"))
+
+
+def plain_score(cube):
+    """Linear scores of (green, nir, swir16) for water, vegetation, bare and built."""
+    green, nir, swir = cube
+    return np.stack([green - swir, nir - green, swir - green, (swir + green) / 2 - nir])
+
+
+@query("o_chg_5_7_forecast")
+def _(spark, sf):
+    g = view(spark, sf, "fx_grid")
+    key = ["lake", "r", "c", "yr"]
+    shares = raster.built_share(g, 2).withColumnRenamed("share", "share_near")
+    feats = panel.forecast_target(g, 2).join(panel.earlier_built(g).select(*key, "before"), key).join(shares, key).join(g.select(*key, *CHANNELS), key)
+    return models.forecast(feats, [*CHANNELS, "before", "share_near"], [1996, 1997, 1998], 1999, trees=10, least_positive=1)
+
+
+@query("o_risk_1_random_intercept")
+def _(spark, sf):
+    fit = risk.random_intercept(view(spark, sf, "fx_fractions").withColumn("year_c", F.col("yr") - 1998), ["year_c"], "water")
+    rows = [(n, float(b), float(s), fit["group_var"], fit["residual_var"]) for n, b, s in zip(fit["names"], fit["coef"], fit["se"], strict=True)]
+    return spark.createDataFrame(rows, "name string, coef double, se double, group_var double, residual_var double")
+
+
+@query("o_risk_2_jackknife")
+def _(spark, sf):
+    return risk.jackknife_plus(view(spark, sf, "fx_fractions").withColumn("year_c", F.col("yr") - 1998), ["year_c"], "water", 0.2)
+
+
+@query("o_prj_10_projection", None)
+def _(spark, sf):
+    p = view(spark, sf, "fx_points").select("id", (70 + F.col("x") * 0.5).alias("lon"), (8 + F.col("y") * 0.5).alias("lat")).withColumn("zone", geo.utm_zone(F.col("lon")))
+    east, north = geo.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    return p.select("id", "zone", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query("o_prj_19_shuffled_labels")
+def _(spark, sf):
+    """Labels permuted within lake and year: the histogram stays, the places don't."""
+    px = view(spark, sf, "fx_pixels").select("lake", "yr", "r", "c", "cls")
+    w = Window.partitionBy("lake", "yr")
+    there = px.withColumn("k", F.row_number().over(w.orderBy("r", "c"))).drop("cls")
+    here = px.withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(42), "r", "c"), "r", "c"))).select("lake", "yr", "k", "cls")
+    return there.join(here, ["lake", "yr", "k"]).drop("k")
+
+
+@query("o_str_2_rolling_rain", """with per as (select cast(ts as date) as day, sum(value) as rain from events group by all), s as (select day, rain, unnest(range(31)) as k from per)
+select (day + k::int)::varchar as d, round(sum(rain), 4) as rain, count(*) as days from s group by day + k::int""")
+def _(spark, sf):
+    return feeds.rolling_batch(spark.read.parquet(f"{sf}/events.parquet")).withColumn("d", F.col("d").cast("string"))
+
+
+@query("o_snk_5_summaries", "select lake, '{\"water\":' || max(water) || ',\"odd\":null}' as summary from fx_fractions group by lake", ("fx_fractions",))
+def _(spark, sf):
+    p = view(spark, sf, "fx_fractions").groupBy("lake").agg(F.max("water").alias("water")).withColumn("odd", F.lit(float("nan")))
+    return sinks.summaries(p, "lake")
+
+
+@query("o_snk_6_payload")
+def _(spark, sf):
+    p = view(spark, sf, "fx_fractions")
+    return sinks.payload(lakes=panel.first_last(p, "water"), series=p.select("lake", "yr", "water"))
+
+
+@query("o_jn_9_name_match", """, n as (select n_nationkey as id, lower(trim(n_name)) as name, n_regionkey as lake, n_nationkey * 3 % 32 + 0.5::double as x, n_nationkey * 7 % 32 + 0.5::double as y from nation), o as (select c_custkey as oid, lower(trim(c_name)) as name, c_custkey % 100 as area from customer),
+ex as (select n.id, max(area) as area from n join o on 'customer#' || lpad(n.id::varchar, 9, '0') = o.name group by n.id),
+inn as (select id, count(*) filter (where """ + CROSS + """) % 2 = 1 as inside, lake from (select n.id, n.x, n.y, e.* from n cross join fx_edges e) group by id, lake), ci as (select id, max(lake) as lake from inn where inside group by id)
+select n.id, case when ex.area is not null then 'osm' when ci.lake is not null then 'osm-geo' else 'buffer' end as source from n left join ex using (id) left join ci using (id)""", ("fx_edges",))
+def _(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("customer#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("name"), (F.col("n_nationkey") * 3 % 32 + 0.5).alias("x"), (F.col("n_nationkey") * 7 % 32 + 0.5).alias("y"))
+    named = spark.read.parquet(f"{sf}/customer.parquet").select(F.lower(F.trim("c_name")).alias("name"), (F.col("c_custkey") % 100).alias("area"))
+    return spatial.matched(n, named, view(spark, sf, "fx_edges"))
+
+
+query("o_src_10_clip", "select r_regionkey as lake, id, x as lon, y as lat from fx_points join region on x between 4 + r_regionkey and 12.5 + r_regionkey and y between 3 and 15.5", ("fx_points",))(
+    lambda spark, sf: landed.clipped(
+        view(spark, sf, "fx_points").select("id", F.col("x").alias("lon"), F.col("y").alias("lat")),
+        spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("lake"), (F.col("r_regionkey") + 4.0).alias("minx"), (F.col("r_regionkey") + 12.5).alias("maxx"), F.lit(3.0).alias("miny"), F.lit(15.5).alias("maxy")),
+    )
+)
