@@ -22,8 +22,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: A byte's bits, each in a byte of its own.
 SPREAD = np.array([sum((v >> k & 1) << (8 * k) for k in range(8)) for v in range(256)], "<u8")
 SLICE = 255 * 256
-#: Rows that moving one candidate's worth of work costs in the choice of thresholds.
-ROW_COST = 10.0
+#: What a shuffled row costs in the choice of thresholds, in comparisons of two fingerprints.
+ROW_COST = 60.0
+#: 64-bit words of the fingerprint that estimates a similarity.
 WIDE = 8
 
 
@@ -203,43 +204,39 @@ def distance(a: Column, b: Column) -> Column:
 Check = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def near_links(nodes: DataFrame, radius: int, also: Check | None = None, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, also: Check | None = None) -> DataFrame:
     """Links (a, b) that connect what all pairs within ``radius`` would connect.
 
     ``nodes`` has node (unique), fp and further columns. A pair links where its
-    fingerprints differ in at most ``radius`` bits, ``also`` (a condition on
-    both rows) holds, and ``confirm`` keeps it. Pairs are found by probing the
-    parts of search_plan, so none within the radius is missed. First every node
-    is tried against one leader of each block that it is in, one row a block;
-    then only pairs across the components so far are put out. A group of near
-    copies of any size thus gives rows as many as it has members, not pairs.
+    fingerprints differ in at most ``radius`` bits and ``also`` (a condition on
+    both rows) holds. Pairs are found by probing the parts of search_plan, so
+    none within the radius is missed, and verified where they meet, so pairs
+    that don't link are never put out. First every node is tried against one
+    leader of each block that it is in, one row a block; then only links across
+    the components so far are put out, between those components' names. A group
+    of near copies of any size thus gives rows as many as it has members.
     """
     plan = search_plan(nodes, radius)
     extra = [c for c in nodes.columns if c not in ("node", "fp")]
-    confirm = confirm or (lambda pairs: pairs)
 
     def good(a: str, b: str) -> Column:
         close = distance(F.col(f"{a}.fp"), F.col(f"{b}.fp")) <= radius
         return close if also is None else close & also(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
 
-    own = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), block(F.col("fp"), bits).alias("value")) for i, (bits, _) in enumerate(plan)])).alias("k")
-    placed = nodes.select("*", own).select("*", "k.part", "k.value").drop("k")
-    leaders = stage(placed.groupBy("part", "value").agg(F.min_by(F.struct("node", "fp", *extra), "node").alias("x")).select("part", "value", "x.*"), "block-leaders")
-    near = placed.alias("a").join(leaders.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.node") != F.col("b.node")) & good("a", "b"))
-    first = stage(confirm(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))), "leader-links")
-    linked = components(first)
-
-    group = nodes.join(linked, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root")
-    group = stage(group, "grouped-nodes")
-    index = group.select("*", own).select("*", "k.part", "k.value").drop("k")
-    flips = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in ball(len(bits), t)]) for bits, t in plan]), F.col("part") + 1)
-    probe = index.select("*", F.explode(flips).alias("flip")).withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
-    across = probe.alias("a").join(
-        index.alias("b"),
-        (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.grp") != F.col("b.grp")) & good("a", "b"),
-    )
-    rest = confirm(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    return first.unionByName(rest)
+    # part and packed bits in one key; a part has 32 bits at most unless it is the only one
+    keys = [block(F.col("fp"), bits) if len(plan) == 1 else block(F.col("fp"), bits).bitwiseOR(F.lit(i << 58).cast("long")) for i, (bits, _) in enumerate(plan)]
+    placed = nodes.select("*", F.explode(F.array(*keys)).alias("key"))
+    leaders = stage(placed.groupBy("key").agg(F.min_by(F.struct("node", "fp", *extra), "node").alias("x")).select("key", "x.*"), "block-leaders")
+    near = placed.alias("a").join(leaders.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & good("a", "b"))
+    first = stage(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "leader-links")
+
+    named = nodes.join(components(first), "node", "left").select(F.coalesce("root", "node").alias("name"), "fp", *extra)
+    named = stage(named, "named-nodes")
+    index = named.select("*", F.explode(F.array(*keys)).alias("key"))
+    flipped = [F.transform(F.array(*[F.lit(x).cast("long") for x in ball(len(bits), t)]), lambda x, k=k: x.bitwiseXOR(k)) for k, (bits, t) in zip(keys, plan, strict=True)]
+    probe = named.select("*", F.explode(F.flatten(F.array(*flipped))).alias("key"))
+    across = probe.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.name") != F.col("b.name")) & good("a", "b"))
+    return first.unionByName(across.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
 
 
 def with_components(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,42 +279,36 @@ def keep_one_of_each(docs: DataFrame, radius: int = 7, shingle_words: int = 5, s
     Texts are near copies at a similarity (Jaccard, shingles of five words) of
     0.8 or more. Candidates are found on a SimHash of the distinct words: at
     that similarity it moves by few bits, so the generalised pigeonhole search
-    with a radius of 7 stays selective. A 64-bit and then a 512-bit SimHash of
-    the shingles verify them: the share of differing bits estimates the angle
-    between the sets, and with their sizes the similarity, with a standard error
-    of about 0.03; ``slack`` is taken off the limit for it.
+    with a radius of 7 stays selective. A 512-bit SimHash of the shingles
+    verifies them: the share of differing bits estimates the angle between the
+    sets, and with their sizes the similarity, with a standard error of about
+    0.04; ``slack`` is taken off the limit for it.
 
     Groups are the components of the links. Texts equal after lower-casing and
     splitting into words are one node. Null and blank texts form one group. Of
     repeated rows (equal id and text) one stays; a null id yields to others.
     Columns stay as they are.
     """
+    wide = [f"w{k}" for k in range(WIDE)]
 
     def describe(text: str | None) -> tuple:
         words = words_of(text)
         runs = np.unique(hashes_of(shingles(words, shingle_words)))
-        plain = simhash(hashes_of(list(set(words))))
         whole = np.frombuffer(xxhash.xxh3_64_digest(b" ".join(words)), ">i8")
-        return int(whole[0]), plain, simhash(runs), len(runs), wide_simhash(runs)
+        return int(whole[0]), simhash(hashes_of(list(set(words)))), len(runs), *wide_simhash(runs)
 
-    schema = "node long, fp long, fp_runs long, n_runs int, wide array<long>"
+    schema = "node long, fp long, n_runs int, " + ", ".join(f"{w} long" for w in wide)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = stage(fingerprint_rows(docs, {"id": F.col(id_col), "text_key": key}, F.col(text_col), schema, describe), "near-copy-rows")
-    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "fp_runs", "n_runs", "wide")]), "near-copy-nodes")
+    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n_runs", *wide)]), "near-copy-nodes")
 
     def also(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        # 18 of 64 bits: all but one in a thousand pairs at the least similarity
         sizes = F.least(a("n_runs"), b("n_runs")) >= F.greatest(a("n_runs"), b("n_runs")) * F.lit(similarity)
-        return sizes & (distance(a("fp_runs"), b("fp_runs")) <= 18)
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        of = lambda side: nodes.select(F.col("node").alias(side), F.col("n_runs").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}"))
-        both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
-        apart = sum((distance(F.col("wide_a")[k], F.col("wide_b")[k]) for k in range(1, WIDE)), distance(F.col("wide_a")[0], F.col("wide_b")[0]))
-        common = F.cos(apart * F.lit(math.pi / (64 * WIDE))) * F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
-        return both.where(common >= (F.col("n_a") + F.col("n_b") - common) * F.lit(similarity - slack)).select("a", "b")
+        apart = sum((distance(a(w), b(w)) for w in wide[1:]), distance(a(wide[0]), b(wide[0])))
+        common = F.cos(apart * F.lit(math.pi / (64 * WIDE))) * F.sqrt(a("n_runs").cast("double") * b("n_runs"))
+        return sizes & (common >= (a("n_runs") + b("n_runs") - common) * F.lit(similarity - slack))
 
-    links = near_links(nodes.select("node", "fp", "fp_runs", "n_runs"), radius, also, confirm)
+    links = near_links(nodes.drop("id"), radius, also)
     placed = with_components(rows.select("id", "text_key", "node"), nodes, links)
     # of the rows that bear a component's name one text stays
     kept = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_of")).agg(F.min("text_key").alias("kept_key"))
