@@ -108,7 +108,10 @@ def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, rep
         .groupBy("row")
         .agg(F.collect_list("v").alias("verdicts"))
     )
-    return rows.join(judged, "row", "left").withColumn("verdicts", F.filter(F.coalesce("verdicts", F.from_json(F.lit("[]"), judged.schema["verdicts"].dataType)), lambda v: (v["kind"] < 3) | v["live"]))
+    # rows without candidates, which are most, meet nothing: their texts are not shuffled
+    kept = rows.where(F.size("found") > 0).join(judged, "row").withColumn("verdicts", F.filter("verdicts", lambda v: (v["kind"] < 3) | v["live"]))
+    none = rows.where(F.size("found") == 0).withColumn("verdicts", F.array().cast(judged.schema["verdicts"].dataType))
+    return kept.unionByName(none)
 
 
 def scan_secrets(
