@@ -507,8 +507,8 @@ def _(spark, sf):
     g = view(spark, sf, "fx_grid")
     key = ["lake", "r", "c", "yr"]
     shares = raster.built_share(g, 2).withColumnRenamed("share", "share_near")
-    feats = panel.forecast_target(g, 2).join(panel.earlier_built(g).select(*key, "before"), key).join(shares, key).join(g.select(*key, *CHANNELS), key)
-    return models.forecast(feats, [*CHANNELS, "before", "share_near"], [1996, 1997, 1998], 1999, trees=10, least_positive=1)
+    feats = panel.forecast_target(g, 1).join(panel.earlier_built(g).select(*key, "before"), key).join(shares, key).join(g.select(*key, *CHANNELS), key)
+    return models.forecast(feats, [*CHANNELS, "before", "share_near"], [1997, 1998, 1999], 2000, trees=10, least_positive=1)
 
 
 @query("o_risk_1_random_intercept")
