@@ -233,8 +233,8 @@ def near_links(nodes: DataFrame, radius: int, also: Check | None = None) -> Data
     named = nodes.join(components(first), "node", "left").select(F.coalesce("root", "node").alias("name"), "fp", *extra)
     named = stage(named, "named-nodes")
     index = named.select("*", F.explode(F.array(*keys)).alias("key"))
-    flipped = [F.transform(F.array(*[F.lit(x).cast("long") for x in ball(len(bits), t)]), lambda x, k=k: x.bitwiseXOR(k)) for k, (bits, t) in zip(keys, plan, strict=True)]
-    probe = named.select("*", F.explode(F.flatten(F.array(*flipped))).alias("key"))
+    flips = [F.struct(k.alias("key"), F.array(*[F.lit(x).cast("long") for x in ball(len(bits), t)]).alias("flips")) for k, (bits, t) in zip(keys, plan, strict=True)]
+    probe = named.select("*", F.explode(F.array(*flips)).alias("p")).select("*", F.explode("p.flips").alias("flip")).withColumn("key", F.col("p.key").bitwiseXOR(F.col("flip"))).drop("p", "flip")
     across = probe.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.name") != F.col("b.name")) & good("a", "b"))
     return first.unionByName(across.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
 
