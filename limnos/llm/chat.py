@@ -33,16 +33,30 @@ def faults(tool: Column, arguments: Column, schemas=SCHEMAS) -> Column:
     return F.when(parsed.isNull(), F.array(F.lit("no JSON"))).otherwise(out)
 
 
+def _chain_levels(ids: DataFrame, waits: DataFrame) -> DataFrame:
+    """Levels of calls with one predecessor at most: each round looks twice as far back."""
+    far = stage(ids.join(waits, "call_id", "left").select("call_id", F.col("needs").alias("up"), F.col("needs").isNotNull().cast("long").alias("dist")), "call-levels")
+    for _ in range(far.count().bit_length() + 1):
+        if far.where("up is not null").isEmpty():
+            break
+        above = far.select(F.col("call_id").alias("at"), F.col("up").alias("next"), F.col("dist").alias("more"))
+        far = stage(far.join(above, F.col("up") == F.col("at"), "left").select("call_id", F.col("next").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "call-levels")
+    return far.select("call_id", F.when(F.col("up").isNull(), F.col("dist")).alias("level"))
+
+
 def ranked(calls: DataFrame) -> DataFrame:
     """``calls`` (call_id, after) with the longest chain of calls before each as ``level``.
 
-    Rounds settle the calls whose predecessors are settled; predecessors that
-    are no calls don't count. What is left when a round settles nothing is in
-    or behind a cycle and gets a null level.
+    Where no call has two predecessors, chains are followed by doubling, in as
+    many rounds as the longest chain's length has bits. Otherwise rounds settle
+    the calls whose predecessors are settled. Predecessors that are no calls
+    don't count. Calls in or behind a cycle get a null level.
     """
     known = calls.select(F.col("call_id").alias("known")).distinct()
     waits = stage(calls.select("call_id", F.explode("after").alias("needs")).join(known, F.col("needs") == F.col("known"), "left_semi").distinct(), "call-order")
     ids = calls.select("call_id").distinct()
+    if waits.groupBy("call_id").count().where("count > 1").isEmpty():
+        return calls.join(_chain_levels(ids, waits), "call_id", "left")
     done = stage(ids.join(waits, "call_id", "left_anti").withColumn("level", F.lit(0)), "call-levels")
     levels, level = [done], 0
     while not waits.isEmpty() and not done.isEmpty():

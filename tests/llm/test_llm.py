@@ -147,6 +147,12 @@ def test_calls_are_linked_checked_and_ordered(spark):
     assert got["c"]["message"] == '{"arguments":{"note":"n","x":1},"id":"c","result":"ok","tool":"add"}'
 
 
+def test_long_chains_and_cycles_are_followed_by_doubling(spark):
+    calls = [(1, f"c{i:04d}", "t", "{}", [f"c{i - 1:04d}"] if i else []) for i in range(300)] + [(1, "x", "t", "{}", ["y"]), (1, "y", "t", "{}", ["x"]), (1, "z", "t", "{}", ["y"])]
+    got = {r["call_id"]: r["level"] for r in chat.ranked(spark.createDataFrame(calls, "conv_id int, call_id string, tool string, arguments string, after array<string>")).collect()}
+    assert all(got[f"c{i:04d}"] == i for i in range(300)) and got["x"] is got["y"] is got["z"] is None
+
+
 # --- media --------------------------------------------------------------------------------
 
 
