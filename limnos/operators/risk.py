@@ -54,7 +54,7 @@ def random_intercept(panel: DataFrame, features: list[str], target: str) -> dict
     ratio = math.exp((lo + hi) / 2)
     beta, inverse, var, like = _fit(stats, p, ratio)
     se = np.sqrt(np.diag(inverse) * var)
-    return {"names": ["intercept", *features], "coef": beta.tolist(), "se": se.tolist(), "group_var": ratio * var, "residual_var": var, "loglik": like}
+    return {"names": ["intercept", *features], "coef": beta.tolist(), "se": se.tolist(), "group_var": float(ratio * var), "residual_var": float(var), "loglik": float(like)}
 
 
 def jackknife_plus(panel: DataFrame, features: list[str], target: str, alpha: float = 0.1) -> DataFrame:
