@@ -236,8 +236,8 @@ a as (select lake, yr, count(*) filter (where inside and clear) as valid_px, cou
 round(avg(ndwi) filter (where inside and clear), 4) as mean_ndwi, round(avg(mndwi) filter (where inside and clear), 4) as mean_mndwi, round(avg(ndvi) filter (where inside and clear), 4) as mean_ndvi from px group by all)
 select lake, yr, round(ref_px * 0.04::double, 2) as ref_ha, round(water_px * 0.04::double, 2) as water_ha, round(veg_px * 0.04::double, 2) as veg_ha, round((valid_px - water_px - veg_px) * 0.04::double, 2) as other_ha,
 round(water_px / valid_px::double, 4) as water_frac, mean_ndwi, mean_mndwi, mean_ndvi, collar_water_frac, collar_veg_frac, round(scl_px * 0.04::double, 2) as scl_water_ha from a join s using (lake) where valid_px >= ref_px * 0.5""", PZ)
-def lake_areas(spark, sf):
-    return zonal.lake_areas(view(spark, sf, "fx_pixels"), view(spark, sf, "fx_zones"))
+def lake_areas(spark, sf, least_valid: float = 0.5):
+    return zonal.lake_areas(view(spark, sf, "fx_pixels"), view(spark, sf, "fx_zones"), least_valid)
 
 
 CLASSES = ("water", "vegetation", "bare", "built")
@@ -362,6 +362,11 @@ def _(spark, sf):
 # --- panels ----------------------------------------------------------------------------
 
 
+def moving(grid: DataFrame) -> DataFrame:
+    """The grid with classes that change over the years (those of the external layer, folded to four)."""
+    return grid.withColumn("cls", F.col("dw") % 4)
+
+
 def panel_query(name: str, sql: str, f, views: tuple[str, ...] = ("fx_fractions",)) -> None:
     query(name, sql, views)(lambda spark, sf: f(*[view(spark, sf, v) for v in views]))
 
@@ -378,7 +383,7 @@ panel_query("o_agg_16_risk_3_growth", "select lake, count(*) as n, arg_min(built
 panel_query("o_chg_2_net_change", "select lake, round(arg_max(water, yr) - arg_min(water, yr), 2) as net from fx_fractions group by lake", lambda p: panel.net_change(p, "water"))
 panel_query("o_agg_27_first_last", "select lake, min(yr) as first_yr, arg_min(water, yr) as first, max(yr) as last_yr, arg_max(water, yr) as last from fx_fractions group by lake", lambda p: panel.first_last(p, "water"))
 panel_query("o_win_4_5_history", "select lake, r, c, yr, coalesce(sum(case when cls = 3 then 1 else 0 end) over (partition by lake, r, c order by yr rows between unbounded preceding and 1 preceding), 0)::bigint as before, coalesce(min(case when cls = 3 then 1 else 0 end) over (partition by lake, r, c order by yr rows between 1 following and unbounded following), 1) as always_later from fx_grid", panel.earlier_built, ("fx_grid",))
-panel_query("o_chg_1_persistent_growth", "select lake, r, c from fx_grid where region group by all having max(case when yr = 1995 then coalesce((cls = 3)::int, 0) end) = 0 and min(case when yr >= 2000 then coalesce((cls = 3)::int, 0) end) = 1", lambda p: panel.persistent_growth(p, 1995, 2000), ("fx_grid",))
+panel_query("o_chg_1_persistent_growth", "select lake, r, c from (select * replace (dw % 4 as cls) from fx_grid) where region group by all having max(case when yr = 1995 then coalesce((cls = 3)::int, 0) end) = 0 and min(case when yr >= 2000 then coalesce((cls = 3)::int, 0) end) = 1", lambda p: panel.persistent_growth(moving(p), 1995, 2000), ("fx_grid",))
 panel_query("o_chg_3_index_change", "select lake, r, c, yr, case when lag(yr) over w = yr - 1 then round((nir - lag(nir) over w)::double, 6) else 0.0 end as change from fx_pixels window w as (partition by lake, r, c order by yr)", lambda p: panel.index_change(p.withColumn("nir", F.col("nir").cast("double")), "nir"), ("fx_pixels",))
 panel_query("o_win_6_best_scene", "select id, yr, d::varchar as d, cloud, tile, lake from (select *, row_number() over (partition by lake, yr order by cloud, id) as k from fx_scenes) where k = 1", lambda s: panel.best_per_group(s, "lake", "yr").withColumn("d", F.col("d").cast("string")), ("fx_scenes",))
 panel_query("o_win_7_latest_version", "select 'S2_' || tile || '_' || yr as scene_key, max('S2_' || tile || '_' || yr || '_' || (id % 7) || '_L2A') as scene, count(*) as versions from fx_scenes group by tile, yr", lambda s: panel.latest_version(s.select(F.concat_ws("_", F.lit("S2"), "tile", "yr", F.col("id") % 7, F.lit("L2A")).alias("scene"))), ("fx_scenes",))
@@ -392,7 +397,7 @@ panel_query("o_agg_19_rain_matrix", ", m as (select lake, year(d) as yr, month(d
 panel_query("o_agg_19_climatology", ", m as (select lake, year(d) as yr, month(d) as m, sum(rain_raw) as rain from fx_weather group by all) select lake, m, round(avg(rain), 2) as mean_rain from m group by lake, m", lambda w: panel.month_climatology(w.withColumnRenamed("rain_raw", "rain"))[1], ("fx_weather",))
 panel_query("o_risk_5_rain_trend", ", y as (select lake, year(d) as yr, sum(rain_raw)::double / 1e6 as rain from fx_weather group by all), j as (select lake, rain, water from fx_fractions join y using (lake, yr)), s as (select lake, count(*) as n, round(corr(rain, water), 4) as r, round(regr_slope(water, rain), 6) as slope, round(regr_intercept(water, rain), 4) as intercept from j group by lake) select *, case when abs(r) < 0.40 then 'no trend' when r > 0 then 'rising' when r < 0 then 'falling' end as trend from s",
     lambda p, w: panel.rain_trend(p.join(w.groupBy("lake", F.year("d").alias("yr")).agg((F.sum("rain_raw").cast("double") / 1e6).alias("rain")), ["lake", "yr"]), "rain", "water"), ("fx_fractions", "fx_weather"))
-panel_query("o_chg_6_jn_16_target", ", g as (select *, case when cls = 3 then 1 else 0 end as b from fx_grid), t as (select *, max(b) over (partition by lake, r, c order by yr range between 3 following and 3 following) as thn, min(b) over (partition by lake, r, c order by yr range between 3 following and unbounded following) as alw from g) select lake, r, c, yr, (thn = 1 and alw = 1)::int as target from t where region and cls is not null and cls <> 3 and thn is not null", panel.forecast_target, ("fx_grid",))
+panel_query("o_chg_6_jn_16_target", ", g as (select *, case when cls = 3 then 1 else 0 end as b from (select * replace (dw % 4 as cls) from fx_grid)), t as (select *, max(b) over (partition by lake, r, c order by yr range between 3 following and 3 following) as thn, min(b) over (partition by lake, r, c order by yr range between 3 following and unbounded following) as alw from g) select lake, r, c, yr, (thn = 1 and alw = 1)::int as target from t where region and cls is not null and cls <> 3 and thn is not null", lambda g: panel.forecast_target(moving(g)), ("fx_grid",))
 panel_query("o_top_1_lakes_by_area", "select lake, area from (select lake, count(*) as area from fx_zones where inside group by lake) order by area desc, lake limit 3", lambda z: z.where("inside").groupBy("lake").agg(F.count("*").alias("area")).orderBy(F.desc("area"), "lake").limit(3), ("fx_zones",))
 SCENE_Q = ", q as (select *, (id % 50) / 100.0::double as bad, 1 - (id % 9) / 100.0::double as cover from fx_scenes), sq as (select *, bad + (1 - cover) as score, row_number() over (partition by lake, yr order by cloud, id) as k from q)"
 panel_query("o_top_2_candidate_dates", SCENE_Q + " select lake, yr, coalesce(arg_min(id, k) filter (where cover > 0.99 and bad < 0.03), arg_min(id, score * 1000 + k * 1e-6)) as id from sq where k <= 6 group by lake, yr", lambda s: panel.candidate_dates(s.withColumn("bad", (F.col("id") % 50) / 100.0).withColumn("cover", 1 - (F.col("id") % 9) / 100.0).withColumn("score", F.col("bad") + (1 - F.col("cover")))), ("fx_scenes",))
@@ -504,7 +509,7 @@ def plain_score(cube):
 
 @query("o_chg_5_7_forecast")
 def _(spark, sf):
-    g = view(spark, sf, "fx_grid")
+    g = moving(view(spark, sf, "fx_grid"))
     key = ["lake", "r", "c", "yr"]
     shares = raster.built_share(g, 2).withColumnRenamed("share", "share_near")
     feats = panel.forecast_target(g, 1).join(panel.earlier_built(g).select(*key, "before"), key).join(shares, key).join(g.select(*key, *CHANNELS), key)
