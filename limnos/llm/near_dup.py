@@ -23,7 +23,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SPREAD = np.array([sum((v >> k & 1) << (8 * k) for k in range(8)) for v in range(256)], "<u8")
 SLICE = 255 * 256
 #: What a shuffled row costs in the choice of thresholds, in comparisons of two fingerprints.
-ROW_COST = 60.0
+ROW_COST = 10.0
 #: 64-bit words of the fingerprint that estimates a similarity.
 WIDE = 8
 
@@ -235,7 +235,12 @@ def near_links(nodes: DataFrame, radius: int, also: Check | None = None) -> Data
     index = named.select("*", F.explode(F.array(*keys)).alias("key"))
     flips = [F.struct(k.alias("key"), F.array(*[F.lit(x).cast("long") for x in ball(len(bits), t)]).alias("flips")) for k, (bits, t) in zip(keys, plan, strict=True)]
     probe = named.select("*", F.explode(F.array(*flips)).alias("p")).select("*", F.explode("p.flips").alias("flip")).withColumn("key", F.col("p.key").bitwiseXOR(F.col("flip"))).drop("p", "flip")
-    across = probe.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.name") != F.col("b.name")) & good("a", "b"))
+    # a pair that meets in several parts is put out in the first of them, and once
+    apart, part = F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.shiftrightunsigned("a.key", 58)
+    masks = [sum(1 << b for b in bits) for bits, _ in plan]
+    met = [F.when(F.bit_count(apart.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) <= t, F.lit(i)) for i, (m, (_, t)) in enumerate(zip(masks, plan, strict=True))]
+    first_met = F.lit(True) if len(plan) == 1 else F.coalesce(*met) == part
+    across = probe.alias("a").join(index.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name")) & good("a", "b") & first_met)
     return first.unionByName(across.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
 
 
