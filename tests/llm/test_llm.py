@@ -101,6 +101,28 @@ def test_one_of_each_group_stays(spark):
     assert kept == set(range(12))
 
 
+def similarity_of(a, b):
+    x, y = (set(near_dup.shingles(near_dup.words_of(t), 5)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def fresh(rng, n):
+    return [f"w{rng.integers(0, 100_000)}" for _ in range(n)]
+
+
+def test_near_copies_with_more_or_less_text_are_found(spark):
+    rng = np.random.default_rng(12)
+    base, near = [], []
+    for k in range(60):
+        n = 150 + 5 * k
+        b, more = fresh(rng, n), fresh(rng, n // 8)
+        base.append(" ".join(b))
+        near.append(" ".join([[*b, *more], b[: n - n // 8], [*b[: n // 2], *more, *b[n // 2 :]], [*more, *b]][k % 4]))
+    assert all(0.83 <= similarity_of(a, b) <= 0.9 for a, b in zip(base, near, strict=True))
+    kept = {r["doc_id"] for r in near_dup.keep_one_of_each(docs(spark, *base, *near)).collect()}
+    assert kept == set(range(60))
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
