@@ -339,17 +339,26 @@ def band_links(nodes: DataFrame, shared: DataFrame, near: Check, verify: Callabl
     return links.unionByName(stage(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))), "band-links"))
 
 
-def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, slack: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, runs): the hashes of the distinct shingles of every node of ``wanted`` (node, text_key)."""
+    picked = texts.join(wanted.select("text_key"), "text_key", "left_semi")
+    describe = lambda text: (np.unique(hashes_of(shingles(words_of(text), size))).view("<i8"),)
+    made = fingerprint_rows(picked, {"text_key": F.col("text_key")}, F.col("text"), "runs array<long>", describe)
+    return stage(made.groupBy("text_key").agg(F.first("runs").alias("runs")).join(wanted, "text_key").select("node", "runs"), "shingle-sets")
+
+
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies.
 
     Texts are near copies at a similarity (Jaccard, shingles of five words) of
     0.8 or more. Candidates agree in one of 24 bands of four min-hashes of the
     shingles, which rests on that similarity alone, wherever the texts differ:
     a pair at 0.8 fails to meet with a chance of 3 in a million, and fewer do
-    above it. A 512-bit SimHash of the shingles verifies them: the share of
-    differing bits estimates the angle between the sets, and with their sizes
-    the similarity, with a standard error of about 0.04; ``slack`` is taken off
-    the limit for it.
+    above it. A 512-bit SimHash of the shingles drops those far below the limit:
+    the share of differing bits estimates the angle between the sets, and with
+    their sizes the similarity, with a standard error of about 0.04, so
+    ``margin`` is five of those. The rest are verified exactly, on the shingles'
+    64-bit hashes, before any components are formed.
 
     Groups are the components of the links. Texts equal after lower-casing and
     splitting into words are one node. Null and blank texts form one group. Of
@@ -367,15 +376,22 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float
     schema = "node long, bands array<long>, n_runs int, " + ", ".join(f"{w} long" for w in wide)
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = stage(fingerprint_rows(docs, {"id": F.col(id_col), "text_key": key}, F.col(text_col), schema, describe), "near-copy-rows")
-    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "n_runs", *wide)]), "near-copy-nodes")
+    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "n_runs", *wide)], F.min("text_key").alias("text_key")), "near-copy-nodes")
+    shared = banded(nodes)
+    sets = shingle_sets(docs.select(F.col(text_col).alias("text"), key.alias("text_key")), nodes.join(shared, "node", "left_semi").select("node", "text_key"), shingle_words)
 
     def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        sizes = F.least(a("n_runs"), b("n_runs")) >= F.greatest(a("n_runs"), b("n_runs")) * F.lit(similarity)
+        sizes = F.least(a("n_runs"), b("n_runs")) >= F.greatest(a("n_runs"), b("n_runs")) * F.lit(similarity) - 1e-6
         apart = sum((distance(a(w), b(w)) for w in wide[1:]), distance(a(wide[0]), b(wide[0])))
         common = F.cos(apart * F.lit(math.pi / (64 * WIDE))) * F.sqrt(a("n_runs").cast("double") * b("n_runs"))
-        return sizes & (common >= (a("n_runs") + b("n_runs") - common) * F.lit(similarity - slack))
+        return sizes & (common >= (a("n_runs") + b("n_runs") - common) * F.lit(similarity - margin))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+        sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+        return sized.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-6).select("a", "b")
 
-    links = band_links(nodes.drop("id"), banded(nodes), near, lambda pairs: pairs)
+    links = band_links(nodes.drop("id", "text_key"), shared, near, verify)
     placed = with_components(rows.select("id", "text_key", "node"), nodes, links)
     # of the rows that bear a component's name one text stays
     kept = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_of")).agg(F.min("text_key").alias("kept_key"))

@@ -123,6 +123,19 @@ def test_near_copies_with_more_or_less_text_are_found(spark):
     assert kept == set(range(60))
 
 
+def test_the_limit_of_near_copies_is_exact(spark):
+    rng = np.random.default_rng(13)
+    base, near = [], []
+    for k in range(60):
+        b = fresh(rng, 300)
+        base.append(" ".join(b))
+        near.append(" ".join([*b, *fresh(rng, 74 if k < 30 else 75)]))  # 296 of 370 or 371 shingles in common
+    alike = [similarity_of(a, b) >= 0.8 for a, b in zip(base, near, strict=True)]
+    assert alike == [True] * 30 + [False] * 30
+    kept = {r["doc_id"] for r in near_dup.keep_one_of_each(docs(spark, *base, *near)).collect()}
+    assert kept == set(range(60)) | set(range(90, 120))
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
