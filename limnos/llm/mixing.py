@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.llm.columns import unused
 from limnos.storage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,8 +54,15 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, mos
     )
 
 
+def with_keys(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows`` with their sources' targets, whole copies and odds, and the Pareto key and its step."""
+    keyed = rows.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
+    return keyed.withColumn("q", F.when(F.col("p") > 0, odds)).withColumn("key", F.col("q") / (1 + F.col("q"))).withColumn("step", F.floor(F.col("key") * KEY_STEPS))
+
+
 def mix_sources(
-    docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_rows: bool = False
 ) -> DataFrame:
     """Copies of every document in a mix that meets its sources' targets.
 
@@ -75,12 +83,12 @@ def mix_sources(
     have size 0 and take 0 words. A null source is a source of its own, the
     last. Rows with equal ids share their rank; among them the shorter comes
     first, and equal rows are interchangeable. Empty input gives no rows. Other
-    columns, whatever their names, are ignored.
+    columns, whatever their names, are ignored; with ``whole_rows`` all columns
+    of ``docs`` come back instead of doc_id and source, and the added columns
+    get underscores before their names where ``docs`` has such a column.
     """
-    slim = stage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("u", uniform(F.col("doc_id"))),
-        "mix-sizes",
-    )
+    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u")]
+    slim = stage(docs.select(*own), "mix-sizes")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = stage(
         source_targets(slim, weights, budget, most)
@@ -90,10 +98,9 @@ def mix_sources(
         .withColumnRenamed("source", "of"),
         "mix-targets",
     )
-    keyed = slim.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
-    keyed = keyed.withColumn("q", F.when(F.col("p") > 0, odds)).withColumn("key", F.col("q") / (1 + F.col("q"))).withColumn("step", F.floor(F.col("key") * KEY_STEPS))
-
+    # whole rows are read once more, not copied; targets have a row for each source
+    rows = docs.select(*own, F.struct(*docs.columns).alias("whole_row")) if whole_rows else slim
+    keyed = with_keys(slim, targets)
     per_step = keyed.where("step is not null").groupBy("source", "step", "rest").agg(F.sum("size").alias("words"))
     so_far = Window.partitionBy("source").orderBy("step")
     cuts = (
@@ -103,7 +110,7 @@ def mix_sources(
         .agg(F.max_by("step", "step").alias("cut"), F.max_by("before", "step").alias("before"))
     )
     cuts = stage(cuts, "mix-cuts")
-    placed = keyed.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    placed = with_keys(rows, targets).join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     at_cut = placed.where(F.col("step") == F.col("cut"))
     elsewhere = placed.where(~F.coalesce(F.col("step") == F.col("cut"), F.lit(False))).withColumn("more", F.coalesce(F.col("step") < F.col("cut"), F.lit(False)).cast("int"))
     in_order = Window.partitionBy("source", "step").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,7 +118,10 @@ def mix_sources(
         "more", (F.col("ahead") + F.col("size") / F.lit(2.0) <= F.col("rest")).cast("int")
     )
     out = elsewhere.unionByName(ranked.drop("ahead")).withColumn("copies", F.col("whole") + F.col("more"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies").cast("long"), "taken": (F.col("size") * F.col("copies")).cast("long")}
+    if whole_rows:
+        return out.select(*[F.col("whole_row")[c].alias(c) for c in docs.columns], *[c.alias(unused(docs, name)) for name, c in added.items()])
+    return out.select("doc_id", "source", *[c.alias(name) for name, c in added.items()])
 
 
 #: DuckDB SQL for mix_sources over a relation named in {docs}.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limnos.llm.columns import unused
 from limnos.llm.graph import components
 from limnos.storage import stage
 
@@ -25,11 +26,9 @@ SLICE = 255 * 256
 #: What a shuffled row costs in the choice of thresholds, in comparisons of two fingerprints.
 ROW_COST = 10.0
 #: 64-bit words of the fingerprint that estimates a similarity.
-WIDE = 8
+WIDE = 16
 #: Bands of min-hashes, and min-hashes in each.
-BANDS, BAND_ROWS = 24, 4
-#: Rounds of leaders before the pairs still apart are all tried.
-LEADER_ROUNDS = 3
+BANDS, BAND_ROWS = 32, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -66,14 +65,17 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def wide_simhash(hashes: np.ndarray) -> list[int]:
-    """Eight 64-bit fingerprints of remixed hashes: 512 bits to estimate similarity with."""
-    out = []
-    for k in range(WIDE):
-        h = (hashes + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    """A plain SimHash and fifteen of remixed hashes: 1024 bits to estimate similarity with."""
+    total = np.zeros(WIDE * 64, np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        h = (hashes[at : at + 255 * 16, None] + np.arange(WIDE, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x94D049BB133111EB)
-        out.append(simhash(h ^ (h >> np.uint64(29))))
-    return out
+        h ^= h >> np.uint64(29)
+        h[:, 0] = hashes[at : at + 255 * 16]
+        sums = np.add.reduceat(SPREAD[h.view(np.uint8)], np.arange(0, len(h), 255), axis=0)
+        total += np.ascontiguousarray(sums).view(np.uint8).reshape(-1, WIDE * 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<i8").tolist()
 
 
 TURNS, SHIFTS = (hashes_of([b"%s %d" % (kind, k) for k in range(BANDS * BAND_ROWS)]) for kind in (b"turn", b"shift"))
@@ -84,8 +86,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * (TURNS | np.uint64(1)) + SHIFTS).min(0), out=least)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * (TURNS | np.uint64(1)) + SHIFTS).min(0), out=least)
     keys = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BAND_ROWS, BANDS):
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
@@ -265,14 +267,18 @@ def near_links(nodes: DataFrame, radius: int, also: Check | None = None) -> Data
     return first.unionByName(across.select(F.col("a.name").alias("a"), F.col("b.name").alias("b")))
 
 
-def with_components(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (with node) and the smallest id of each row's component; ``nodes`` has node and id."""
-    roots = components(links)
-    placed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stage(placed, "rooted-nodes")
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = stage(placed.join(smallest, "root").select("node", "component_id"), "named-nodes")
-    return rows.join(named, "node")
+def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (node, id and more) with ``root``: the (id, more, node) that comes first in each node's component.
+
+    Null ids come last. Components are formed on these labels, so the smallest
+    id is the component's name and nothing meets by name afterwards.
+    """
+    told = [c for c in nodes.columns if c not in ("node", "id")]
+    labelled = nodes.withColumn("label", F.struct(F.col("id").isNull().alias("unnamed"), "id", *told, "node"))
+    a = labelled.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    b = labelled.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    roots = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label")).drop("label")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,77 +299,93 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 3,
     rows = stage(fingerprint_rows(docs, {"doc_id": F.col(id_col)}, F.col(text_col), "node long", describe), "fingerprints")
     nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("id")).withColumn("fp", F.col("node")), "distinct-fingerprints")
     links = near_links(nodes.select("node", "fp"), radius)
-    return with_components(rows, nodes, links).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stage(with_components(nodes.select("node", "id"), links).select("node", F.col("root.id").alias("component_id")), "named-fingerprints")
+    return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- one document of each group of near copies ----------------------------------
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """(key, node) of every band of ``nodes`` (node, bands) that more than one node has."""
+def estimated_similarity(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Jaccard similarity of two sets of shingles from their 1024-bit SimHashes and sizes (w0, w1, ..., n_runs).
+
+    The share of differing bits estimates the angle between the sets, and with
+    their sizes the number in common. At 0.8 the standard error is 0.026.
+    """
+    apart = sum((distance(a(f"w{k}"), b(f"w{k}")) for k in range(1, WIDE)), distance(a("w0"), b("w0")))
+    common = F.cos(apart * F.lit(math.pi / (64 * WIDE))) * F.sqrt(a("n_runs").cast("double") * b("n_runs"))
+    return common / (a("n_runs") + b("n_runs") - common)
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, weight) of every band that more than one of ``nodes`` (node, bands) has.
+
+    ``weight`` adds up the sizes of a node's bands: it is largest for the text
+    that most others are copies of.
+    """
     placed = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return stage(placed.join(crowded, "key").select("key", "node"), "shared-bands")
+    crowded = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(placed.join(crowded.hint("merge"), "key"), "shared-bands")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    return stage(shared.select("key", "node").join(weights.hint("merge"), "node"), "weighed-bands")
 
 
-def band_links(nodes: DataFrame, shared: DataFrame, near: Check, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect what all pairs with a band in common that are ``near`` and pass ``verify`` would connect.
+def band_links(nodes: DataFrame, shared: DataFrame, near: Check, verify: Callable[[DataFrame], DataFrame], before: DataFrame) -> DataFrame:
+    """``before`` and further links (a, b), which together connect what all pairs with a band in common that are ``near`` and pass ``verify`` would connect.
 
-    ``nodes`` has node, bands and the columns that ``near`` reads; ``shared`` is
-    banded(nodes). In each round every band's nodes are tried against one of
-    them, another one in each round; then all pairs of a band whose components
-    still differ. So a group of near copies gives rows as many as it has
-    members, times the bands, and no pair is left untried.
+    ``nodes`` has node and what ``near`` reads; ``shared`` is shared_bands(nodes).
+    First every band's nodes are tried against its heaviest, which in a group of
+    near copies is the same for most bands: this gives links as many as members.
+    Then all pairs of a band whose components still differ are tried, each in
+    the first band where it meets, and only those that are ``near`` are put out.
     """
-    told = nodes.drop("bands")
-
-    def passed(pairs: DataFrame) -> DataFrame:
-        a, b = told.alias("x"), told.alias("y")
-        tried = pairs.join(a, F.col("a") == F.col("x.node")).join(b, F.col("b") == F.col("y.node"))
-        return verify(tried.where(near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))).select("a", "b"))
-
-    links, rest = None, shared.withColumn("root", F.col("node"))
-    for k in range(LEADER_ROUNDS):
-        leader = F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("l")
-        led = rest.join(rest.groupBy("key").agg(leader), "key").where(F.col("root") != F.col("l.root"))
-        pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        found = stage(passed(pairs), "band-links")
-        links = found if links is None else links.unionByName(found)
-        named = shared.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-        rest = stage(named.join(mixed, "key"), "mixed-bands")
-    full = rest.join(nodes, "node")
-    first_met = F.element_at(F.col("a.bands"), F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True).cast("int"))
+    told = nodes.columns
+
+    def with_roots(links: DataFrame) -> DataFrame:
+        return shared.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    placed = with_roots(before)
+    heaviest = placed.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("l"))
+    led = placed.join(heaviest, "key").where(F.col("root") != F.col("l.root"))
+    pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    x, y = (nodes.select([F.col(c).alias(f"{side}_{c}") for c in told]) for side in "xy")
+    tried = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    led_links = stage(verify(tried.where(near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).select("a", "b")), "leader-links")
+
+    links = before.unionByName(led_links)
+    placed = stage(with_roots(links), "rooted-bands")
+    mixed = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
+    rest = stage(placed.select("key", "node", "root").join(mixed.hint("merge"), "key"), "mixed-bands")
+    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has BANDS keys at most
+    full = rest.join(keys, "node").join(nodes, "node")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    across = full.alias("a").join(full.alias("b"), meet).where(first_met == F.col("a.key"))
+    first_met = F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))
+    across = full.alias("a").join(full.alias("b"), meet & first_met)
     return links.unionByName(stage(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))), "band-links"))
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, runs): the hashes of the distinct shingles of every node of ``wanted`` (node, text_key)."""
-    picked = texts.join(wanted.select("text_key"), "text_key", "left_semi")
-    describe = lambda text: (np.unique(hashes_of(shingles(words_of(text), size))).view("<i8"),)
-    made = fingerprint_rows(picked, {"text_key": F.col("text_key")}, F.col("text"), "runs array<long>", describe)
-    return stage(made.groupBy("text_key").agg(F.first("runs").alias("runs")).join(wanted, "text_key").select("node", "runs"), "shingle-sets")
-
-
-def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, margin: float = 0.08, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies.
 
     Texts are near copies at a similarity (Jaccard, shingles of five words) of
-    0.8 or more. Candidates agree in one of 24 bands of four min-hashes of the
-    shingles, which rests on that similarity alone, wherever the texts differ:
-    a pair at 0.8 fails to meet with a chance of 3 in a million, and fewer do
-    above it. A 512-bit SimHash of the shingles drops those far below the limit:
-    the share of differing bits estimates the angle between the sets, and with
-    their sizes the similarity, with a standard error of about 0.04, so
-    ``margin`` is five of those. The rest are verified exactly, on the shingles'
-    64-bit hashes, before any components are formed.
+    0.8 or more, and every link is verified exactly on the shingles' 64-bit
+    hashes before any components are formed. Candidates come from two searches:
+
+    - SimHashes of the shingles within ``radius`` bits, found by generalised
+      pigeonhole as in simhash_components. These are copies with few changes,
+      up to a similarity of about 0.97.
+    - Texts that share one of 32 bands of eight min-hashes of the shingles,
+      where a 1024-bit SimHash estimates a similarity within ``margin`` (three
+      standard errors) of the limit. A pair at 0.8 is missed with a chance of
+      1 in 240, one at 0.85 with 1 in 15,000.
+
+    No SimHash alone can do the second part: at 0.8 some 15 % of the bits
+    differ, a radius at which any index meets a fixed share of all pairs.
 
     Groups are the components of the links. Texts equal after lower-casing and
     splitting into words are one node. Null and blank texts form one group. Of
     repeated rows (equal id and text) one stays; a null id yields to others.
-    Columns stay as they are.
+    Columns stay as they are, whatever their names. Empty tables give no rows.
     """
     wide = [f"w{k}" for k in range(WIDE)]
 
@@ -374,36 +396,39 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float
         return int(whole[0]), band_keys(runs), len(runs), *wide_simhash(runs)
 
     schema = "node long, bands array<long>, n_runs int, " + ", ".join(f"{w} long" for w in wide)
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = stage(fingerprint_rows(docs, {"id": F.col(id_col), "text_key": key}, F.col(text_col), schema, describe), "near-copy-rows")
-    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "n_runs", *wide)], F.min("text_key").alias("text_key")), "near-copy-nodes")
-    shared = banded(nodes)
-    sets = shingle_sets(docs.select(F.col(text_col).alias("text"), key.alias("text_key")), nodes.join(shared, "node", "left_semi").select("node", "text_key"), shingle_words)
+    row_id = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    row_text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = stage(fingerprint_rows(docs, {"id": F.col(id_col), "row_id": row_id, "row_text": row_text}, F.col(text_col), schema, describe), "near-copy-rows")
+    first_row = F.min(F.struct(F.col("id").isNull(), "id", "row_id", "row_text")).alias("r")
+    nodes = rows.groupBy("node").agg(first_row, *[F.first(c).alias(c) for c in ("bands", "n_runs", *wide)])
+    nodes = stage(nodes.select("node", "r.id", "r.row_id", "r.row_text", "bands", "n_runs", *wide), "near-copy-nodes")
+
+    close = stage(near_links(nodes.select("node", F.col("w0").alias("fp")), radius), "close-fingerprints")
+    shared = shared_bands(nodes)
+    wanted = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = stage(wanted.join(nodes.select("node", "row_id", "row_text"), "node"), "nodes-to-verify")
+    sets = stage(shingle_sets(docs.select(row_id.alias("row_id"), row_text.alias("row_text"), F.col(text_col).alias("text")), wanted, shingle_words), "shingle-sets")
 
     def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         sizes = F.least(a("n_runs"), b("n_runs")) >= F.greatest(a("n_runs"), b("n_runs")) * F.lit(similarity) - 1e-6
-        apart = sum((distance(a(w), b(w)) for w in wide[1:]), distance(a(wide[0]), b(wide[0])))
-        common = F.cos(apart * F.lit(math.pi / (64 * WIDE))) * F.sqrt(a("n_runs").cast("double") * b("n_runs"))
-        return sizes & (common >= (a("n_runs") + b("n_runs") - common) * F.lit(similarity - margin))
+        return sizes & (estimated_similarity(a, b) >= F.lit(similarity - margin))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
         sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
         return sized.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-6).select("a", "b")
 
-    links = band_links(nodes.drop("id", "text_key"), shared, near, verify)
-    placed = with_components(rows.select("id", "text_key", "node"), nodes, links)
-    # of the rows that bear a component's name one text stays
-    kept = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_of")).agg(F.min("text_key").alias("kept_key"))
-    marked = placed.join(kept, F.col("component_id").eqNullSafe(F.col("kept_of")), "left")
-    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("kept_key"))
-    per_row = stage(marked.groupBy("id", "text_key").agg(F.max(F.coalesce(stays, F.lit(False))).alias("stays"), F.count("*").alias("n")), "near-copy-verdicts")
-    gone = stage(per_row.where("not stays").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")), "near-copies-gone")
-    twice = stage(per_row.where("stays and n > 1").select(F.col("id").alias("twice_id"), F.col("text_key").alias("twice_key")), "repeated-rows")
-
-    keyed = docs.withColumn("_text_key", key)
-    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.col("_text_key") == F.col("gone_key")), "left_anti")
-    repeated = F.col(id_col).eqNullSafe(F.col("twice_id")) & (F.col("_text_key") == F.col("twice_key"))
-    once = left.join(twice, repeated, "left_anti")
-    again = left.join(twice, repeated, "left_semi").dropDuplicates([id_col, "_text_key"])
-    return once.unionByName(again).drop("_text_key")
+    links = band_links(nodes.select("node", "n_runs", *wide), shared, near, verify, stage(verify(close), "verified-links"))
+    placed = with_components(nodes.select("node", "id", "row_id", "row_text"), links)
+    by = [unused(docs, "row_id"), unused(docs, "row_text")]
+    kept = stage(placed.where(F.col("root.node") == F.col("node")).select(F.col("row_id").alias(by[0]), F.col("row_text").alias(by[1])), "kept-rows")
+    # the kept rows grow with the documents, so this is no broadcast at any size; repeated rows meet in it
+    left = docs.withColumns(dict(zip(by, (row_id, row_text), strict=True))).join(kept.hint("merge"), by, "left_semi")
+    return left.dropDuplicates(by).select(*docs.columns)
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, runs): the hashes of the distinct shingles of every node of ``wanted`` (node, row_id, row_text), from one row of ``texts`` each."""
+    picked = texts.join(wanted.hint("merge"), ["row_id", "row_text"]).dropDuplicates(["row_id", "row_text"])
+    describe = lambda text: (np.unique(hashes_of(shingles(words_of(text), size))).view("<i8"),)
+    return fingerprint_rows(picked, {"node": F.col("node")}, F.col("text"), "runs array<long>", describe)

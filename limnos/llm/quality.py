@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.columns import unused
+
 BITS = 17
 DIM = 10
 GRAMS = (3, 4)
@@ -158,20 +160,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return bytes(model.collect()[0]["model"])
 
 
-def score_quality(docs: DataFrame, model: bytes, keep: dict[str, str], text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: bytes, keep: dict[str, str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Probability of label 1 for every whole text, and some of its columns.
 
-    ``keep`` maps columns of ``docs`` to names in the result; ``score`` is added.
+    ``keep`` maps columns of ``docs`` to names in the result, none of them
+    ``score_col``, which is added.
     Null and empty texts have no features and get the model's bias. A text's
     features are taken in pieces, so memory stays bounded for any length.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    picked = docs.select(*[F.col(c).alias(name) for c, name in keep.items()], F.col(text_col).alias("_scored_text"))
+    scored_text = unused(docs, "scored_text")
+    picked = docs.select(*[F.col(c).alias(name) for c, name in keep.items()], F.col(text_col).alias(scored_text))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = list(keep.values())
-    schema = picked.select(*names, F.lit(0.0).alias("score")).schema
+    schema = picked.select(*names, F.lit(0.0).alias(score_col)).schema
     arrow = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def score_quality(docs: DataFrame, model: bytes, keep: dict[str, str], text_col:
         weights, bias = fitted["weights"].astype(np.float64), float(fitted["bias"])
         for batch in batches:
             scores = []
-            for text in batch.column("_scored_text"):
+            for text in batch.column(scored_text):
                 total, n = 0.0, 0
                 for ids in features(text.as_py() or ""):
                     total += float(weights[ids].sum())
