@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.llm import decontaminate, mixing, near_dup, quality, secrets
+from limnos.llm.columns import unused
 from limnos.storage import stage
 
 
@@ -16,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3; all columns stay."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    names = {c: c for c in docs.columns}
-    scored = quality.score_quality(docs, model, names | {"text": "text"})
-    return scored.where("score >= 0.3").select(*docs.columns)
+    score = unused(docs, "score")
+    scored = quality.score_quality(docs, model, {c: c for c in docs.columns}, score_col=score)
+    return scored.where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes and how often, for sources weighted 3, 1, 2 in turn."""
-    return mixing.mix_sources(docs).where("copies > 0")
+    """Documents that the mix takes, whole, and how often, for sources weighted 3, 1, 2 in turn."""
+    return mixing.mix_sources(docs, whole_rows=True).where(F.col(unused(docs, "copies")) > 0)
 
 
 STAGES = [
