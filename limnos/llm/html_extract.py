@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,115 +12,197 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
-HINTS = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+HINTS = re.compile(r"(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"}
+#: Elements that are stripped with what they hold; a header inside article or main is the article's own.
 APART = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Elements whose tags leave an empty line, as they do in a page laid out by hand.
+SECTIONS = {"html", "body", "div", "section", "article", "main", "center", "td", "th"}
 MAIN = {"article", "main"}
-#: Words of class, id and role that mark a block as apart from the article.
+#: A start tag that ends an open element of these names, if none of the second set was opened in between.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
+ENDS |= dict.fromkeys(("p", "div", "ul", "ol", "dl", "table", "article", "section", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "hr", *(APART - {"button", "select"})), ({"p"}, {"button", "td", "th", "li"}))
+#: Words of class, id and role by which a page marks adverts, notices, menus and readers' comments.
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu sidebar footer header masthead "
     "cookie cookies consent notice notices popup modal newsletter subscribe signup related share sharing social comment comments reply replies "
     "breadcrumb breadcrumbs pagination pager widget login search contentinfo complementary disclaimer toolbar".split()
 )
+#: A first word that says that a block has, or lacks, what follows, and isn't it.
+ABOUT = {"no", "with", "without", "has", "hide", "show", "is"}
 SPACE = re.compile(r"\s+")
+HEADINGS = {"h1", "h2"}
 
 
-def _apart(name: str, attrs: str, in_main: bool) -> bool:
-    if name in APART and not (name == "header" and in_main):
-        return True
-    if name in MAIN and not in_main or name in ("html", "body") or "=" not in attrs:
-        return False
-    words = {w for m in HINTS.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & APART_WORDS)
+def named_apart(attrs: str) -> bool:
+    """Whether a class, id or role begins or ends with a word of APART_WORDS (``no-sidebar`` and the like don't count)."""
+    for m in HINTS.finditer(attrs) if "=" in attrs else ():
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if words[0] not in ABOUT and (words[0] in APART_WORDS or words[-1] in APART_WORDS):
+                return True
+    return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, whether in article or main) of each block, in page order.
+class Layout:
+    """The lines that a page's text falls into once its markup is stripped.
 
-    Markup, scripts, styles and blocks apart (menus, forms, adverts, comments)
-    are stripped; character references are decoded.
+    ``lines`` has (text, characters outside links, whether a heading, empty
+    lines before it, innermost named block or -1). ``named`` has for each block
+    that its class, id or role marks as apart [the named block around it,
+    whether it holds the article or its heading].
     """
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    plain = link = main = 0
-    at, end = 0, len(page)
-
-    def take(text: str) -> None:
-        nonlocal plain
-        if text:
-            parts.append(text := html.unescape(text))
-            plain += 0 if link else len(text.strip())
-
-    def close() -> None:
-        nonlocal plain
-        if text := SPACE.sub(" ", "".join(parts)).strip():
-            lines.append((text, plain, main > 0))
-        parts.clear()
-        plain = 0
-
-    while at < end:
-        m = MARKUP.search(page, at)
-        if m is None:
-            take(page[at:])
-            break
-        take(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name not in INLINE:
-            close()
-        if name in MAIN:
-            main = max(0, main + (-1 if closing else 1))
-        elif name == "a":
-            link = 0 if closing else 1
-        if closing or name in VOID or m[3].rstrip().endswith("/") and name not in RAW:
-            continue
-        if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
-            at = stop.end() if stop else end
-        elif _apart(name, m[3], main > (name in MAIN)):
-            close()
-            at = _after(page, at, name)
-            if name in MAIN:
-                main -= 1
-    close()
-    return lines
-
-
-def _after(page: str, at: int, name: str) -> int:
-    """Where the element that opened before ``at`` ends; unclosed ones end with the page."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>|<(script|style)\b[^>]*>.*?</\2\s*>|<!--.*?-->", re.I | re.S).finditer(page, at):
-        if m[1] is not None and not m[2] and not m[0].startswith("<!--"):
-            depth += -1 if m[1] else 1
-            if not depth:
-                return m.end()
-    return len(page)
-
-
-def main_text(page: str, window: int = 3, surge: float = 86.0) -> str:
-    """Text of the line blocks between surge and dive points, joined by one space.
-
-    A line's weight is its length outside links; where the page names its
-    article or main part, lines in it weigh their whole length and others
-    nothing, and any weight is a surge. Weights are summed over windows of so
-    many lines. A run starts where the sum passes the threshold (at most half
-    of the page's largest sum) and ends where it falls to a quarter of it.
+
+    def __init__(self, page: str, hints: bool = True) -> None:
+        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.named: list[list] = []
+        self._parts: list[str] = []
+        self._plain = self._gap = self._links = 0
+        self._open: list[tuple[str, int, bool]] = []  # name, named block (or -1), stripped
+        self._counts: Counter[str] = Counter()  # open elements by name
+        self._stripped = self._main = 0
+        self._heading = False
+        at, end = 0, len(page)
+        while at < end:
+            m = MARKUP.search(page, at)
+            if m is None:
+                self._take(page[at:])
+                break
+            self._take(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            name = m[2].lower()
+            if m[1]:
+                self._end(name)
+            elif name in RAW:
+                if name not in INLINE:
+                    self._close()
+                if not m[3].rstrip().endswith("/"):
+                    stop = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?(?:>|\Z)", re.I).search(page, at)
+                    at = stop.end() if stop else end
+            else:
+                self._start(name, m[3], hints)
+        self._close()
+
+    def _take(self, text: str) -> None:
+        if text and not self._stripped:
+            self._parts.append(text := html.unescape(text))
+            self._plain += 0 if self._links else len(text.strip())
+
+    def _close(self) -> None:
+        if text := SPACE.sub(" ", "".join(self._parts)).strip():
+            self.lines.append((text, self._plain, self._heading, self._gap, self._open[-1][1] if self._open else -1))
+            self._gap = 0
+        self._parts.clear()
+        self._plain = 0
+
+    def _start(self, name: str, attrs: str, hints: bool) -> None:
+        if name == "a":
+            self._links = 1
+        if name in INLINE and not (hints and named_apart(attrs)):
+            return
+        self._close()
+        ended, limits = ENDS.get(name, ((), ()))
+        for k in range(len(self._open) - 1, -1, -1) if any(map(self._counts.get, ended)) else ():
+            if self._open[k][0] in ended:
+                self._leave(k)
+            elif self._open[k][0] in limits or self._open[k][0] in SECTIONS:
+                break
+        if name in VOID:
+            return
+        block = self._open[-1][1] if self._open else -1
+        stripped = name in APART and not (name == "header" and self._main)
+        if name in MAIN or name == "h1":
+            around = block
+            while around >= 0 and not self.named[around][1]:  # what holds the article is no block apart from it
+                around, self.named[around][1] = self.named[around][0], True
+        elif hints and not stripped and name not in ("html", "body") and named_apart(attrs):
+            self.named.append([block, False])
+            block = len(self.named) - 1
+        self._open.append((name, block, stripped))
+        self._counts[name] += 1
+        self._stripped += stripped
+        self._main += name in MAIN
+        self._heading = name in HEADINGS
+        if name in SECTIONS and not self._stripped and block < 0:
+            self._gap += 1
+
+    def _end(self, name: str) -> None:
+        if name == "a":
+            self._links = 0
+        if name in INLINE and not any(o[0] == name for o in self._open[-1:]):
+            return
+        self._close()
+        for k in range(len(self._open) - 1, -1, -1) if self._counts[name] else ():
+            if self._open[k][0] == name:
+                return self._leave(k)
+
+    def _leave(self, k: int) -> None:
+        """End the k-th open element and those in it."""
+        self._close()
+        for name, block, stripped in reversed(self._open[k:]):
+            if name in SECTIONS and not self._stripped and block < 0:
+                self._gap += 1
+            self._stripped -= stripped
+            self._main -= name in MAIN
+            self._counts[name] -= 1
+        del self._open[k:]
+        self._heading = False
+        self._links = 0
+
+
+def main_text(page: str, window: int = 2, surge: float = 150.0, heading: float = 200.0, hints: bool = True) -> str:
+    """Text of the lines between surge and dive points, joined by one space.
+
+    A line weighs its length outside links, headings ``heading`` more. Weights
+    are summed over windows of so many lines, the empty ones that the tags of
+    sections leave included. The text surges where a sum passes the threshold
+    (at most half of the page's largest sum); around that place all lines
+    belong to it up to where the sums dive to nothing, links and short lines
+    included. Blocks that their class, id or role marks as apart weigh nothing
+    and have no line, unless they hold the article or its heading.
     """
-    lines = lines_of(page)
-    named = any(inside for _, _, inside in lines)
-    weights = [len(text) * inside if named else plain for text, plain, inside in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = 0 if named else min(surge, max(sums, default=0) / 2)
-    kept, running = [], False
-    for (text, _, _), weight, total in zip(lines, weights, sums, strict=True):
-        running = total > (least / 4 if running else least)
-        if running and weight > 0:
+    layout = Layout(page, hints)
+    apart = [False] * len(layout.named)
+    for k, (around, holds) in enumerate(layout.named):
+        apart[k] = not holds or (around >= 0 and apart[around])
+    rows, weights = [], []  # the page's lines with its empty ones (as many as can matter)
+    gap = 0
+    for text, plain, is_heading, before, block in layout.lines:
+        gap += before
+        if block >= 0 and apart[block]:
+            continue
+        rows += [None] * min(gap, window)
+        weights += [0.0] * min(gap, window)
+        rows.append(text)
+        weights.append(plain + heading * is_heading)
+        gap = 0
+    runs: list[tuple[float, list[str]]] = []
+    inside = False
+    for k, text in enumerate(rows):
+        if text is None and all(x is None for x in rows[max(0, k + 1 - window) : k + 1]):
+            inside = False  # a whole window is empty: the sums dive
+        if text is not None:
+            if not inside:
+                runs.append((0.0, []))
+            inside = True
+            most, kept = runs[-1]
             kept.append(text)
-    return " ".join(kept)
+            runs[-1] = (max(most, sum(weights[max(0, k + 1 - window) : k + 1])), kept)
+    least = min(surge, max((most for most, _ in runs), default=0.0) / 2)
+    return " ".join(text for most, kept in runs if most >= least for text in kept)
 
 
 def extract_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
