@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,6 @@ SCHEMAS = {
 }
 
 
-def canonical_json(value: Column) -> Column:
-    """JSON with sorted keys and no blanks; null where the text is no JSON."""
-    return F.to_json(F.try_parse_json(value))
-
-
 def faults(tool: Column, arguments: Column, schemas=SCHEMAS) -> Column:
     """What a call's JSON arguments lack or get wrong against its tool's schema, sorted."""
     parsed = F.try_parse_json(arguments)
@@ -33,41 +30,51 @@ def faults(tool: Column, arguments: Column, schemas=SCHEMAS) -> Column:
     return F.when(parsed.isNull(), F.array(F.lit("no JSON"))).otherwise(out)
 
 
-def _chain_levels(ids: DataFrame, waits: DataFrame) -> DataFrame:
-    """Levels of calls with one predecessor at most: each round looks twice as far back."""
-    far = stage(ids.join(waits, "call_id", "left").select("call_id", F.col("needs").alias("up"), F.col("needs").isNotNull().cast("long").alias("dist")), "call-levels")
+def _chains(ids: DataFrame, parents: DataFrame) -> DataFrame:
+    """(call_id, root, dist): how far along single predecessors (``parents``: call_id, up) the first call of its chain is.
+
+    Each round looks twice as far back. Calls in or behind a cycle of single
+    predecessors have no root.
+    """
+    start = ids.join(parents, "call_id", "left").select("call_id", "up", F.when(F.col("up").isNull(), F.col("call_id")).alias("root"), F.col("up").isNotNull().cast("long").alias("dist"))
+    far = stage(start, "call-chains")
     for _ in range(far.count().bit_length() + 1):
         if far.where("up is not null").isEmpty():
             break
-        above = far.select(F.col("call_id").alias("at"), F.col("up").alias("next"), F.col("dist").alias("more"))
-        far = stage(far.join(above, F.col("up") == F.col("at"), "left").select("call_id", F.col("next").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "call-levels")
-    return far.select("call_id", F.when(F.col("up").isNull(), F.col("dist")).alias("level"))
+        above = far.select(F.col("call_id").alias("at"), F.col("up").alias("next"), F.col("root").alias("first"), F.col("dist").alias("more"))
+        met = far.join(above, F.col("up") == F.col("at"), "left")
+        far = stage(met.select("call_id", F.col("next").alias("up"), F.coalesce("root", "first").alias("root"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")), "call-chains")
+    return far.select("call_id", "root", "dist")
 
 
 def ranked(calls: DataFrame) -> DataFrame:
     """``calls`` (call_id, after) with the longest chain of calls before each as ``level``.
 
-    Where no call has two predecessors, chains are followed by doubling, in as
-    many rounds as the longest chain's length has bits. Otherwise rounds settle
-    the calls whose predecessors are settled. Predecessors that are no calls
-    don't count. Calls in or behind a cycle get a null level.
+    Chains of calls with one predecessor each are followed by doubling, in as
+    many rounds as their length has bits. What is left are the calls with
+    several predecessors, each of which waits for the first calls of its
+    predecessors' chains: rounds settle those whose predecessors are settled,
+    so there are as many as such calls lie on one path. Predecessors that are
+    no calls don't count. Calls in or behind a cycle get a null level.
     """
     known = calls.select(F.col("call_id").alias("known")).distinct()
     waits = stage(calls.select("call_id", F.explode("after").alias("needs")).join(known, F.col("needs") == F.col("known"), "left_semi").distinct(), "call-order")
-    ids = calls.select("call_id").distinct()
-    if waits.groupBy("call_id").count().where("count > 1").isEmpty():
-        return calls.join(_chain_levels(ids, waits), "call_id", "left")
-    done = stage(ids.join(waits, "call_id", "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    levels, level = [done], 0
-    while not waits.isEmpty() and not done.isEmpty():
-        level += 1
-        before = waits.select("call_id").distinct()
-        waits = stage(waits.join(done.select(F.col("call_id").alias("needs")), "needs", "left_anti").select("call_id", "needs"), "call-order")
-        done = stage(before.join(waits, "call_id", "left_anti").withColumn("level", F.lit(level)), "call-levels")
-        levels.append(done)
-    settled = levels[0]
-    for more in levels[1:]:
-        settled = settled.unionByName(more)
+    per_call = waits.groupBy("call_id").agg(F.count("*").alias("n"), F.min("needs").alias("up"))
+    chains = _chains(calls.select("call_id").distinct(), per_call.where("n = 1").select("call_id", "up"))
+    several = per_call.where("n > 1").select("call_id")
+    at = chains.select(F.col("call_id").alias("needs"), F.col("root").alias("first"), (F.col("dist") + 1).alias("steps"))
+    behind = waits.join(several, "call_id", "left_semi").join(at, "needs").groupBy("call_id", "first").agg(F.max("steps").alias("steps")).withColumn("level", F.lit(None).cast("long"))
+    behind = stage(behind, "calls-behind")
+    new = stage(chains.where("dist = 0").select("call_id").join(several, "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")), "call-levels")
+    levels = [new]
+    while not behind.isEmpty() and not new.isEmpty():
+        settled = new.select(F.col("call_id").alias("first"), F.col("level").alias("at"))
+        told = stage(behind.join(settled, "first", "left").select("call_id", "first", "steps", F.coalesce("level", F.col("at") + F.col("steps")).alias("level")), "calls-behind")
+        new = stage(told.groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level")).where("open = 0").select("call_id", "level"), "call-levels")
+        behind = stage(told.join(new.select("call_id"), "call_id", "left_anti"), "calls-behind")
+        levels.append(new)
+    firsts = reduce(DataFrame.unionByName, levels).select(F.col("call_id").alias("root"), F.col("level").alias("base"))
+    settled = chains.join(firsts, "root", "left").select("call_id", (F.col("base") + F.col("dist")).alias("level"))
     return calls.join(settled, "call_id", "left")
 
 
@@ -107,8 +114,8 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     A call names the turn two before as its predecessor, if there is one. Turns
     without a conversation or number are left out; null texts are null arguments.
     """
-    known = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
-    key = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), F.lpad(turn.cast("string"), 6, "0"))
+    known = turns.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    key = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     users = known.where(F.col("role") == "user").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     asked = users.withColumn("call_id", key(F.col("turn")))
     after = F.when(F.col("turn") >= 2, key(F.col("turn") - 2))
@@ -117,7 +124,7 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id",
         "call_id",
         F.lit("reply").alias("tool"),
-        F.to_json(F.struct(words.alias("words"), F.col("turn").cast("long").alias("turn"), "text", after.alias("after"))).alias("arguments"),
+        F.to_json(F.struct(words.alias("words"), "turn", "text", after.alias("after"))).alias("arguments"),
         F.array_compact(F.array(after)).alias("after"),
     )
     results = known.where(F.col("role") == "assistant").select(key(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
@@ -129,18 +136,18 @@ CHAT_SQL = r"""
 with known as (
   select * from conversations where conv_id is not null and turn is not null
 ), users as (
-  select conv_id, turn, min(text) as text, conv_id::varchar || ':' || lpad(turn::varchar, 6, '0') as call_id from known where role = 'user' group by conv_id, turn
+  select conv_id, turn, min(text) as text, conv_id::varchar || ':' || turn as call_id from known where role = 'user' group by conv_id, turn
 ), replies as (
   select conv_id, turn - 1 as turn, min(text) as content from known where role = 'assistant' group by conv_id, turn
 ), runs as (
-  select *, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as run from users
+  select *, case when turn < 0 then turn else turn // 2 - row_number() over (partition by conv_id, turn % 2, turn < 0 order by turn) end as run from users
 ), levels as (
-  select *, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from runs
+  select *, row_number() over (partition by conv_id, turn % 2, turn < 0, run order by turn) - 1 as level from runs
 )
 select l.conv_id, call_id, level::bigint as level,
   case when text is null then 'invalid' when content is null then 'no result' else 'linked' end as status,
   case when text is null then 'text is missing' else '' end as faults,
-  '{"arguments":{' || case when turn >= 2 then '"after":"' || conv_id || ':' || lpad((turn - 2)::varchar, 6, '0') || '",' else '' end
+  '{"arguments":{' || case when turn >= 2 then '"after":"' || conv_id || ':' || (turn - 2) || '",' else '' end
     || coalesce('"text":' || to_json(text)::varchar || ',', '') || '"turn":' || turn || ',"words":' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
     || '},"id":"' || call_id || '"' || coalesce(',"result":' || to_json(content)::varchar, '') || ',"tool":"reply"}' as message
 from levels l left join replies r using (conv_id, turn)
