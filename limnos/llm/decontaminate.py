@@ -16,9 +16,10 @@ SIMILARITY = 0.8
 #: 9.7 of 64, with a deviation of 2.9. A radius of 20 is 3.6 deviations above.
 RADIUS = 20
 BLOCKS = 8
-#: Shingles of the benchmark that are broadcast at once; more items go in further blocks.
-ITEM_SHINGLES = 1_000_000
-LANES = [sum((v >> k & 1) << (16 * k) for k in range(4)) for v in range(16)]
+#: Shingles and items of the benchmark that are broadcast at once; more items go in further blocks.
+ITEM_SHINGLES, ITEMS = 1_000_000, 10_000
+#: Two bits, each in a 32-bit lane of its own.
+LANES = [(v & 1) | (v >> 1) << 32 for v in range(4)]
 
 
 def let(value: Column, body) -> Column:
@@ -44,18 +45,19 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """A signed 64-bit fingerprint: bits set in over half of the hashes (fewer than 32768), repeats included.
+    """A signed 64-bit fingerprint: bits set in over half of the hashes, repeats included.
 
-    Sixteen long counters hold four 16-bit lanes each: one pass over the
-    hashes looks up the lanes of every four bits and adds them.
+    Thirty-two long counters hold two 32-bit lanes each, more than an array has
+    elements: one pass over the hashes looks up the lanes of every two bits and
+    adds them.
     """
     lanes = F.array(*[F.lit(x).cast("long") for x in LANES])
-    nibble = lambda h, k: F.shiftrightunsigned(h, 4 * k).bitwiseAND(F.lit(15).cast("long")).cast("int")
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(16)])
-    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + F.element_at(lanes, nibble(h, k) + 1)).alias(f"c{k}") for k in range(16)])
+    two = lambda h, k: F.shiftrightunsigned(h, 2 * k).bitwiseAND(F.lit(3).cast("long")).cast("int")
+    start = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(32)])
+    add = lambda acc, h: F.struct(*[(acc[f"c{k}"] + F.element_at(lanes, two(h, k) + 1)).alias(f"c{k}") for k in range(32)])
 
     def bits(counts: Column, n: Column) -> Column:
-        over = lambda b: F.shiftrightunsigned(counts[f"c{b // 4}"], 16 * (b % 4)).bitwiseAND(F.lit(65535).cast("long")) * 2 > n
+        over = lambda b: F.shiftrightunsigned(counts[f"c{b // 2}"], 32 * (b % 2)).bitwiseAND(F.lit((1 << 32) - 1)) * 2 > n
         each = [F.when(over(b), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
         return reduce(lambda x, y: x.bitwiseOR(y), each)
 
@@ -68,12 +70,18 @@ def _block(fp: Column, k: int) -> Column:
 
 
 def numbered(hashes: Column) -> Column:
-    """A multiset as a set: each hash is mixed with how many like it came before."""
+    """A multiset as a set: each hash is mixed with how many like it came before. Linear but for the sort."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n))
+        one = lambda a, b: F.transform(F.sequence(F.lit(0), b - a - 1), lambda k: F.xxhash64(F.get(ordered, a), k))
+        return let(starts, lambda s: F.flatten(F.zip_with(s, ends(s), one)))
 
     def mixed(hashes: Column) -> Column:
-        seen = F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))))
         first = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), first).otherwise(seen)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), first).otherwise(let(F.array_sort(hashes), runs))
 
     return let(hashes, mixed)
 
@@ -117,6 +125,12 @@ def _leaks_of_block(hashed: DataFrame, items: DataFrame, keys: list[str], radius
     return verified.where(F.col("similarity") >= similarity).groupBy(*keys, "item_id").agg(F.max("similarity").alias("similarity"), F.count_distinct("start").alias("n_windows"))
 
 
+def blocks_of(items: DataFrame) -> int:
+    """In how many blocks the items are broadcast."""
+    total = items.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count("*").alias("n")).first()
+    return max(1, -(-total["m"] // ITEM_SHINGLES), -(-total["n"] // ITEMS))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], text: Column, item_id: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """Benchmark items that windows of whole documents repeat.
 
@@ -131,9 +145,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], t
     first shingle that is in the benchmark loses none in common, so only
     windows that begin with one, or end the document, are fingerprinted.
 
-    The benchmark is prepared once and broadcast in blocks of items with
-    ITEM_SHINGLES shingles at most; every block passes over all documents.
+    The benchmark is prepared once and broadcast in blocks of about ITEMS items
+    and ITEM_SHINGLES shingles at most; every block passes over all documents.
     Documents' texts are not shuffled; what meets by key is the verified rows.
+    A copy of an item of m shingles gives m windows of m hashes, so items of
+    many thousands of words are dear.
 
     Returns the ``keys`` columns, item_id, similarity (the largest) and
     n_windows, a row for each key and item. Null and blank texts match nothing,
@@ -141,8 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], t
     one shingle. Equal items each match. Rows with equal keys are one.
     """
     items = stage(prepared_items(benchmark, item_id, item_text), "benchmark-items")
-    total = items.agg(F.sum("m").alias("m"), F.max("m").alias("most")).first()
-    blocks = max(1, -(-(total["m"] or 0) // ITEM_SHINGLES))
+    blocks = blocks_of(items)
     names = list(keys)
     picked = docs.select(*[c.alias(k) for k, c in keys.items()], words_of(text).alias("_words"))
     hashed = picked.select(*names, shingle_hashes(F.col("_words")).alias("hashes")).withColumn("n", F.size("hashes"))
