@@ -18,10 +18,10 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: Labelled URLs that the trees are fitted on at most.
+#: Distinct labelled URLs that the trees are fitted on, about and at most.
 TRAIN_ROWS = 20_000
-#: Suffixes of hosts whose block rates are kept, by how often they are seen.
-SUFFIXES = 2_000
+#: Parts that the hosts fall into, so that a URL's own host is not in its suffix's rate when trees are fitted.
+FOLDS = 5
 
 
 def host(url: Column) -> Column:
@@ -86,19 +86,63 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_rates(labelled: DataFrame, prior: float = 10.0) -> DataFrame:
-    """Smoothed block rate and count of each of the commonest suffixes among labelled hosts."""
-    counts = labelled.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen")).orderBy(F.desc("seen"), "suffix").limit(SUFFIXES)
-    overall = labelled.agg(F.avg("label").alias("overall"))
-    return counts.crossJoin(F.broadcast(overall)).select("suffix", ((F.col("blocked") + F.col("overall") * prior) / (F.col("seen") + prior)).alias("suffix_rate"), F.log1p("seen").alias("suffix_seen"))
+def fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """suffix, fold, and how many labelled urls (and blocked ones) its hosts outside that fold have; fold -1 has all."""
+    per_fold = labelled.groupBy(suffix(F.col("host")).alias("suffix"), fold(F.col("host")).alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"))
+    without = per_fold.select("suffix", "blocked", "seen", F.explode(F.filter(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))).alias("fold"))
+    return without.groupBy("suffix", "fold").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
+
+
+def with_rates(urls: DataFrame, counts: DataFrame, overall: float, fold_of: Column, prior: float = 10.0) -> DataFrame:
+    """``urls`` with the smoothed block rate and the count of their hosts' suffixes; unseen suffixes have the overall rate."""
+    keyed = urls.withColumn("suffix", suffix(F.col("host"))).withColumn("fold", fold_of)
+    joined = keyed.join(counts, ["suffix", "fold"], "left")
+    seen = F.coalesce("seen", F.lit(0))
+    return joined.withColumn("suffix_rate", (F.coalesce("blocked", F.lit(0.0)) + overall * prior) / (seen + prior)).withColumn("suffix_seen", F.log1p(seen))
+
+
+def fit_trees(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 4):
+    """Boosted trees on distinct labelled urls (url, host, path, label), and what scoring needs: suffix counts and the overall rate.
+
+    About ``rows`` urls at most are fitted on: those whose hash lies below a
+    threshold that their number sets, so copies of one url weigh as one and no
+    task sorts them. Suffixes are counted over all distinct labelled urls. A
+    fitted url gets its suffix's rate from hosts of other folds than its own.
+    Without urls of both labels there are no trees.
+    """
+    distinct = stage(labelled.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("label").alias("label")), "labelled-urls")
+    total = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
+    overall = total["blocked"] / max(total["n"], 1)
+    counts = stage(suffix_counts(distinct), "url-suffixes")
+    if not 0 < overall < 1:
+        return None, counts, overall
+    share = min(1.0, rows / total["n"])
+    sample = distinct.where(F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = stage(with_rates(lexical(sample), counts, overall, fold(F.col("host"))).select(*FEATURES, "label"), "url-sample")
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2, cacheNodeIds=False).fit(assembled), counts, overall
+
+
+def score_trees(urls: DataFrame, fitted) -> DataFrame:
+    """``urls`` (url, host, path and more) with the trees' probability of block as ``score``."""
+    model, counts, overall = fitted
+    if model is None:
+        return urls.withColumn("score", F.lit(float(overall)))
+    rated = with_rates(lexical(urls), counts, overall, F.lit(-1))
+    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated))
+    return scored.select(*urls.columns, vector_to_array("probability")[1].alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 4) -> DataFrame:
     """Host, path, rule and verdict of every url.
 
     A url that a rule fits has the rule's verdict; these are the labelled urls.
-    Boosted trees, fitted on at most ``rows`` of them (drawn by a digest of the
-    url, so reruns agree), judge the rest by lexical features.
+    Boosted trees fitted on them (see fit_trees) judge the rest by lexical
+    features.
 
     Returns page_id, host, path, rule, verdict and score (the trees' probability
     of block), one row per input row. Null urls and those without ``://`` have
@@ -111,25 +155,24 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     of_rule = F.lit(None).cast("string")
     for rule, verdict in rules:
         of_rule = F.when(F.col("rule") == rule, verdict).otherwise(of_rule)
-    urls = lexical(urls.withColumn("ruled", of_rule))
-
-    labelled = urls.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = stage(labelled.orderBy(F.xxhash64("url"), "page_id").limit(rows), "url-sample")
-    kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(kinds) < 2:
-        score = F.lit(max(kinds, default=0.0))
-        return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
-
-    # at most SUFFIXES rows of two numbers
-    rates = stage(suffix_rates(sample), "url-suffixes")
-    overall = kinds[1.0] / sum(kinds.values())
-
-    def rated(df: DataFrame) -> DataFrame:
-        joined = df.withColumn("suffix", suffix(F.col("host"))).join(F.broadcast(rates), "suffix", "left")
-        return joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(overall))).withColumn("suffix_seen", F.coalesce("suffix_seen", F.lit(0.0)))
-
-    # a url's own label is in its suffix's rate: smoothing by a prior keeps rare suffixes from telling it
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, stepSize=0.2, cacheNodeIds=False).fit(assembler.transform(rated(sample)).select("features", "label"))
-    scored = model.transform(assembler.transform(rated(urls))).withColumn("score", vector_to_array("probability")[1])
+    urls = urls.withColumn("ruled", of_rule)
+    labelled = urls.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
+    scored = score_trees(urls, fit_trees(labelled, rows, trees, depth))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+
+
+#: DuckDB SQL of judge_urls without its trees: page_id, host, path, rule and the rule's verdict.
+RULES_SQL = r"""
+with cut as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
+), fit as (
+  select *, case
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule from cut
+)
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as ruled from fit
+"""
