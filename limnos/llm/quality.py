@@ -19,7 +19,7 @@ GRAMS = (3, 4)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PIECE = 1 << 19
-#: Labelled documents that a model is fitted on at most.
+#: Labelled documents that a model is fitted on, about and at most.
 TRAIN_ROWS = 6000
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
@@ -84,6 +84,7 @@ def features(text: str) -> Iterator[np.ndarray]:
 def train(docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 5, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
     """Stochastic gradient descent on (buckets, counts, label) of each document.
 
+    Vectors take longer steps, by the root of a document's number of buckets.
     A document is the mean of its features' vectors; a softmax over two classes
     follows. Since both are linear, the fitted model is one number a bucket
     (its vector's part in the log odds) and a bias.
@@ -109,7 +110,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 5, rate:
             hidden = p @ out
             out -= lr * np.outer(p, mean)
             bias -= lr * 0.1 * p
-            # a mean's gradient is spread thin over its many buckets; scaled up to move them
+            # a mean's gradient is spread thin over its many buckets, so they step further than the rest
             vectors[ids] -= (lr * len(ids)) ** 0.5 * 8 * np.outer(share, hidden)
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
@@ -120,21 +121,23 @@ def held_out(id_col: str) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> bytes:
-    """A model from at most ``rows`` labelled documents that are not held out.
+    """A model from about ``rows`` labelled documents at most that are not held out.
 
-    Which ones is drawn by a digest of the id, so reruns agree. Texts are turned
+    They are those whose id's hash lies below a threshold that the number of
+    labels sets, so reruns agree and no task sorts the labels. Texts are turned
     into features where they lie; one task then has the bounded sample. Null and
     other labels than 0 and 1 are no labels; of repeated labels of one id the
-    smaller holds. Without any label the model scores 0.5 everywhere.
+    smaller holds, and of several texts of one id the smallest. Without any
+    label the model scores 0.5 everywhere.
     """
-    chosen = (
+    known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
         .groupBy("id")
         .agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-        .limit(rows)
     )
+    share = min(1.0, rows / max(known.count(), 1))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(5), F.col("id").cast("string")), F.lit(1 << 32)) < int(share * (1 << 32)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +158,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     # the sample's ids are bounded by ``rows``, so they may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
     model = texts.mapInArrow(count, "id string, label int, ids binary, counts binary").repartition(1).mapInArrow(learn, "model binary")
     return bytes(model.collect()[0]["model"])
 
