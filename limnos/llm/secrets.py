@@ -65,14 +65,15 @@ def _scan(batches: Iterator[pa.RecordBatch], text_at: str, schema: pa.Schema) ->
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _line(spans: Column) -> Column:
-    """kind:start:end by start and kind, comma-joined."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+def _line(spans: Column, *more: str) -> Column:
+    """kind:start:end (and more numbers) by start and kind, comma-joined."""
+    told = ("end", *more)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), *[s[c].alias(c) for c in told])))
     names = F.array(*map(F.lit, KINDS))
-    return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
+    return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), *[s[c].cast("string") for c in told])))
 
 
-def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repo_cols: tuple[str, ...], most_owners: int, least_owners: int) -> DataFrame:
+def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repo_cols: tuple[str, ...], most_owners: int, most_repos: int, least_owners: int) -> DataFrame:
     """Rows of ``docs`` (columns kept under k0, k1, ...) with all candidates and their corpus-wide verdicts."""
     picked = docs.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
@@ -102,20 +103,20 @@ def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, rep
                 "n_owners",
                 "n_repos",
                 (F.col("n_owners") >= least_owners).alias("example"),
-                (F.col("f.lively") & (F.col("n_owners") <= most_owners)).alias("live"),
+                (F.col("f.lively") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)).alias("live"),
             ).alias("v"),
         )
         .groupBy("row")
-        .agg(F.collect_list("v").alias("verdicts"))
+        .agg(F.collect_list("v").alias("judged"))
     )
     # rows without candidates, which are most, meet nothing: their texts are not shuffled
-    kept = rows.where(F.size("found") > 0).join(judged, "row").withColumn("verdicts", F.filter("verdicts", lambda v: (v["kind"] < 3) | v["live"]))
-    none = rows.where(F.size("found") == 0).withColumn("verdicts", F.array().cast(judged.schema["verdicts"].dataType))
-    return kept.unionByName(none)
+    kept = rows.where(F.size("found") > 0).join(judged, "row")
+    none = rows.where(F.size("found") == 0).withColumn("judged", F.array().cast(judged.schema["judged"].dataType))
+    return kept.unionByName(none).withColumn("verdicts", F.filter("judged", lambda v: (v["kind"] < 3) | v["live"]))
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, least_owners: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 1, most_repos: int = 3, least_owners: int = 3
 ) -> DataFrame:
     """Spans that hold secrets in every whole text, one row per input row.
 
@@ -123,16 +124,20 @@ def scan_secrets(
     (20 or more characters with both cases and digits, outside base spans) are
     candidates only: corpus-wide, the digests of all candidates are counted by
     distinct repositories and owners, and a run becomes an ``owned`` span where
-    it looks live and at most ``most_owners`` owners have it. A digest with
-    ``least_owners`` owners or more is a widely copied example.
-
-    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and
-    n_example. Null and empty texts have no spans; null owners and repositories
+    it looks live and at most ``most_owners`` owners have it, in ``most_repos``
+    repositories at most: one owner's key that stands in many repositories is
+    copied as an example is. A digest with ``least_owners`` owners or more is a
+    widely copied example, which ``n_example`` counts; ``n_live`` counts spans
+    that look live and are one owner's, base spans among them.
+
+    Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
+    n_example and frequency (kind:start:end:owners:repositories of every
+    candidate, owned or not, by start and kind). Null and empty texts have no spans; null owners and repositories
     count as one of their own; equal rows give equal results. Counts are summed
     per digest, repository and owner before they meet, so a copied example in a
     third of all rows stays small. Other columns are ignored.
     """
-    rows = _judged(docs, [id_col], text_col, owner_col, repo_cols, most_owners, least_owners)
+    rows = _judged(docs, [id_col], text_col, owner_col, repo_cols, most_owners, most_repos, least_owners)
     base = F.filter("found", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
@@ -143,7 +148,8 @@ def scan_secrets(
         F.sha2(_line(base), 256).alias("base_sha256"),
         _line(F.col("verdicts")).alias("spans"),
         F.size(F.filter("verdicts", lambda v: v["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("verdicts", lambda v: v["example"])).cast("long").alias("n_example"),
+        F.size(F.filter("judged", lambda v: v["example"])).cast("long").alias("n_example"),
+        _line(F.col("judged"), "n_owners", "n_repos").alias("frequency"),
     )
 
 
@@ -154,7 +160,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "so
     spans keep their text as it is, null included.
     """
     keep = docs.columns
-    rows = _judged(docs, keep, text_col, owner_col, repo_cols, limits.get("most_owners", 1), limits.get("least_owners", 3))
+    rows = _judged(docs, keep, text_col, owner_col, repo_cols, limits.get("most_owners", 1), limits.get("most_repos", 3), limits.get("least_owners", 3))
     text = F.col(f"k{keep.index(text_col)}")
     ordered = F.array_sort(F.transform("verdicts", lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"))))
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
