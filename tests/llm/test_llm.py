@@ -165,6 +165,40 @@ def test_native_simhash_matches_brute_force(spark):
         assert r["fp"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprints_and_bags_of_very_many_shingles(spark):
+    many = spark.range(1).select(F.array_repeat(F.lit(5).cast("long"), 70_000).alias("h"))
+    r = many.select(decontaminate.simhash(F.col("h")).alias("fp"), F.size(F.array_distinct(decontaminate.numbered(F.col("h")))).alias("n")).first()
+    assert (r["fp"], r["n"]) == (5, 70_000)
+    a, b = (spark.createDataFrame([(x,)], "h array<long>").select(decontaminate.numbered(F.col("h")).alias("x")).first()["x"] for x in ([7, 7, 3, 7, 3], [3, 7, 7]))
+    assert len(set(a)) == 5 and len(set(b)) == 3 and set(b) < set(a)
+
+
+def test_items_are_broadcast_in_bounded_blocks(spark):
+    short = spark.range(1_000_000).select(F.lit(1).alias("m"))
+    assert decontaminate.blocks_of(short) == 100
+    assert decontaminate.blocks_of(spark.createDataFrame([(2_500_000,)], "m int")) == 3
+    assert decontaminate.blocks_of(short.limit(0)) == 1
+
+
+def test_windows_near_the_limit_are_found(spark):
+    """Every pair at a similarity of 0.80 to 0.85 that brute force over all windows finds."""
+    rng = np.random.default_rng(21)
+    items, texts = [], []
+    for k in range(60):
+        item = [f"i{rng.integers(0, 10**6)}" for _ in range(80)]
+        items.append((k, " ".join(item)))
+        edited = [*item[:40], "new", *item[41:]] if k % 2 else item[: 80 - 7]  # 71 of 81, or 69 of 76 with more words after it
+        texts.append(" ".join([f"t{rng.integers(0, 10**6)}" for _ in range(30)] + edited + [f"t{rng.integers(0, 10**6)}" for _ in range(30)]))
+
+    def best(text, item):
+        a, b = (near_dup.shingles(near_dup.words_of(t), 5) for t in (text, item))
+        return max(len(set(a[i : i + len(b)]) & set(b)) / len(set(a[i : i + len(b)]) | set(b)) for i in range(max(1, len(a) - len(b) + 1)))
+
+    want = {k for k in range(60) if best(texts[k], items[k][1]) >= 0.8}
+    found = decontaminate.find_leaks(docs(spark, *texts), spark.createDataFrame(items, "item_id long, text string"), {"doc_id": F.col("doc_id")}, F.col("text")).collect()
+    assert want and {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k in want}
+
+
 # --- chat ---------------------------------------------------------------------------------
 
 
@@ -188,6 +222,26 @@ def test_long_chains_and_cycles_are_followed_by_doubling(spark):
     assert all(got[f"c{i:04d}"] == i for i in range(300)) and got["x"] is got["y"] is got["z"] is None
 
 
+def test_calls_with_several_predecessors(spark):
+    """Levels against a search by hand, in a random order of calls with cycles."""
+    rng = np.random.default_rng(22)
+    after = {k: sorted({int(x) for x in rng.integers(0, k, rng.integers(0, 4))}) if k else [] for k in range(120)}
+    after |= {120: [121, 3], 121: [120], 122: [121, 5], 123: [122]}
+    level = {}
+    for k in range(120):
+        level[k] = 1 + max((level[x] for x in after[k]), default=-1)
+    rows = [(1, f"c{k}", [f"c{x}" for x in v]) for k, v in after.items()]
+    got = {r["call_id"]: r["level"] for r in chat.ranked(spark.createDataFrame(rows, "conv_id int, call_id string, after array<string>")).collect()}
+    assert got == {f"c{k}": level.get(k) for k in after}
+
+
+def test_turns_of_any_size_stay_apart(spark):
+    turns = [(1, t, r, f"{r} {t}") for t, r in ((123456, "user"), (123457, "assistant"), (1234567, "user"), (1234568, "assistant"), (-4, "user"), (-3, "assistant"), (-2, "user"), (0, "user"))]
+    got = {r["call_id"]: r for r in chat.link_tool_calls(*chat.turns_as_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert {k: json.loads(r["message"]).get("result") for k, r in got.items()} == {"1:123456": "assistant 123457", "1:1234567": "assistant 1234568", "1:-4": "assistant -3", "1:-2": None, "1:0": None}
+    assert {r["level"] for r in got.values()} == {0}
+
+
 # --- media --------------------------------------------------------------------------------
 
 
@@ -251,6 +305,46 @@ def test_trees_learn_what_rules_tell(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(none).collect()} == {"allow"}
 
 
+def labelled_urls(spark, urls):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", url_filter.host(F.col("url"))).withColumn("path", url_filter.path(F.col("url")))
+    return df.withColumn("label", F.col("path").startswith("/de/").cast("double"))
+
+
+def test_trees_rank_urls_of_hosts_they_never_saw(spark):
+    rng = np.random.default_rng(23)
+    kinds = ("/de/p{}?id={}&k=1", "/a/{}x{}")
+    urls = [f"http://w{h}.com" + kinds[h % 2].format(rng.integers(0, 9999), rng.integers(0, 9999)) for h in range(120) for _ in range(4)]
+    all_ = labelled_urls(spark, urls)
+    seen, held = all_.where(url_filter.fold(F.col("host")) > 0), all_.where(url_filter.fold(F.col("host")) == 0)
+    scored = url_filter.score_trees(held.select("url", "host", "path", "label"), url_filter.fit_trees(seen.select("url", "host", "path", "label"), trees=5)).collect()
+    pos, neg = ([r["score"] for r in scored if r["label"] == k] for k in (1.0, 0.0))
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert len(pos) > 20 and len(neg) > 20 and auc >= 0.9
+
+
+def test_one_url_repeated_decides_nothing_else(spark):
+    urls = [f"http://a{k}.org/x{k}" for k in range(60)] + [f"http://shop{k}.com/de/p{k}?id={k}&k=1" for k in range(60)]
+    rest = ["http://calm.net/x5", "http://shop.net/de/p9?id=7&k=1"]
+    once = spark.createDataFrame(list(enumerate(rest + urls)), "page_id long, url string")
+    often = spark.createDataFrame(list(enumerate(rest + urls + [urls[-1]] * 300)), "page_id long, url string")
+    a, b = ({r["page_id"]: (r["verdict"], r["score"]) for r in url_filter.judge_urls(df, rows=50, trees=5).collect()} for df in (once, often))
+    assert all(a[k] == b[k] for k in a) and (a[0][0], a[1][0]) == ("allow", "block")
+
+
+def test_rules_match_their_sql(spark):
+    import duckdb
+
+    hosts = ["org", "example.org", "x.example.org", "EXAMPLE.org", "a.com", "com", "com.net", "notexample.org", "b.net", ""]
+    paths = ["", "/", "/es/1", "/en/1", "/en/12?x", "/en/2", "/fr/", "/FR/", "/de/x#y", "/de", "?/fr/", "#/de/"]
+    urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "x", "mailto:a", "http:/a", "a://b://c/de/"]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), trees=2).collect()}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    for page_id, host, path, rule, ruled in con.execute(url_filter.RULES_SQL).fetchall():
+        assert got[page_id][:3] == (host, path, rule) and (ruled is None or got[page_id][3] == ruled), urls[page_id]
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
@@ -260,16 +354,27 @@ def test_quality_is_learned_and_held_out(spark):
     bad = [" ".join(x + "%%%" for x in rng.choice(["river", "stone", "green"], 30)) for _ in range(150)]
     df = docs(spark, *good, *bad, None, "")
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)] + [(None, 1, 0), (301, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality.classify_quality(df, labels).collect()}
+    got = {r["doc_id"]: r for r in quality.classify_quality(df.withColumn("score", F.lit("x")), labels).collect()}
     assert len(got) == 302 and all(0 <= r["score"] <= 1 for r in got.values())
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i]["held_out"] for i in held) and sum(got[i]["predicted"] == (i < 150) for i in held) >= 0.95 * len(held)
 
 
-def test_features_of_pieces_match_the_whole():
+def test_documents_repeated_under_one_id_weigh_as_one(spark):
+    rows = [(7, f"text {k}", "en", "s", 6) for k in range(300)] + [(k, "other words", "en", "s", 11) for k in range(20, 30)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(7, 1, 0)] + [(k, 0, 0) for k in range(20, 30)], "doc_id long, quality int, toxic int")
+    one = df.where("doc_id <> 7 or text = 'text 0'")
+    assert quality.fit_quality(df, labels) == quality.fit_quality(one, labels)
+
+
+def test_features_of_pieces_match_the_whole(monkeypatch):
     text = "ab cd ab ab " * 20 + "x"
-    whole = np.sort(np.concatenate(list(quality.features(text))))
-    assert len(whole) and quality.PIECE > len(text)
+    whole = np.unique(np.concatenate(list(quality.features(text))))
+    monkeypatch.setattr(quality, "PIECE", 50)
+    cut = list(quality.pieces(text))
+    assert len(cut) > 3 and "".join(cut) == text and max(map(len, cut)) <= 50
+    assert set(np.concatenate(list(quality.features(text)))) <= set(whole)
     # words hash by content alone, wherever they stand
     a, b = (np.concatenate(list(quality.features(t))) for t in ("zz word", "word"))
     assert set(b) & set(a)
@@ -325,6 +430,68 @@ def test_main_text(page, text):
     assert html_extract.main_text(page or "") == text
 
 
+TEXT = "Words of an article that go on for a while, so that there is some text to keep. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='content no-sidebar'><h1>Title</h1><p>{}</p><p>The end.</div>",
+        "<body><ul><li class='nav'>Home<li class='nav'>About</ul><div><h1>Title</h1><p>{}<p>The end.</div>",
+        "<body><p class='notice'>We use cookies<div><h1>Title</h1><p>{}<p>The end.</div>",
+        "<body><div class='layout with-sidebar'><h1>Title</h1><p>{}<p>The end.</div><div class='sidebar'>side</div>",
+        "<article><div class='entry-header'><h1>Title</h1></div><p>{}</p><div class='share'><a href='/'>Share</a></div><p>The end.</article>",
+        "<div><p>Buy this.</div><div><h1>Title</h1><p>{}</p><p>The end.</p></div><div class='comments'><p>{}{}</div><div>small print</div>",
+        "<table><tr><td class='menu'>Home<td><h1>Title</h1><p>{}<p>The end.</table>",
+    ],
+)
+def test_articles_survive_what_stands_around_them(page):
+    assert html_extract.main_text(page.replace("{}", TEXT)) == f"Title {TEXT}The end."
+
+
+def test_surge_and_dive_alone_find_the_articles(spark):
+    """Without article, main and class names, and against sums over windows taken by hand."""
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        parts = re.sub(r"<[^>]*>", "", re.sub(r"</?(h1|p|br)\b[^>]*>", "\0", inner)).split("\0")
+        return " ".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+
+    def brute(page):
+        page = re.sub(r"<(script|style|title|nav|footer)\b.*?</\1>", "", re.sub(r"<!.*?>", "", page), flags=re.S)
+        page = re.sub(r"\s+", " ", page)
+        page = re.sub(r"</?(div|body|html)\b[^>]*>", "\n\0\n", page)  # a line of its own, which is empty
+        page = re.sub(r"</?(h1|p|br|head|meta)\b[^>]*>", "\n", page.replace("<h1>", "\n<h1>\1"))
+        rows = [x for x in (re.sub(r"<[^>]*>", "", y).strip() for y in page.split("\n")) if x]
+        weights = [0 if x == "\0" else len(html.unescape(x.lstrip("\1"))) + 200 * x.startswith("\1") for x in rows]
+        sums = [weights[i] + (weights[i - 1] if i else 0) for i in range(len(rows))]
+        runs = [[]]
+        for i in range(len(rows)):
+            if sums[i] == 0:
+                runs.append([])
+            elif weights[i]:
+                runs[-1].append(i)
+        peak = lambda run: max(sums[i] if i - 1 in run or weights[i - 1] == 0 else weights[i] for i in run)
+        runs = [r for r in runs if r]
+        least = min(150, max(map(peak, runs)) / 2)
+        return " ".join(" ".join(html.unescape(rows[i].lstrip("\1")).split()) for r in runs if peak(r) >= least for i in r)
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        plain = page.replace("article>", "div>").replace('<div class="ad">', "<div>")
+        assert html_extract.main_text(plain, hints=False) == brute(plain) == article(page) == html_extract.main_text(page)
+
+
+def test_odd_markup_takes_time_in_proportion():
+    import time
+
+    begun = time.time()
+    for page in ("<div>" * 30_000 + "</section>" * 30_000, "<ul><li>" * 20_000 + "x", "<div class=nav><h1>x</h1>" * 20_000, "<" * 50_000, "<a href='" * 5_000):
+        html_extract.main_text(page)
+    assert time.time() - begun < 20
+
+
 # --- secrets ------------------------------------------------------------------------------
 
 
@@ -354,6 +521,15 @@ def test_ownership_separates_examples_from_live_keys(spark):
     assert clean == ["é [SECRET] [SECRET] é", None]
 
 
+def test_owners_and_repositories_may_disagree(spark):
+    """One owner's key in four repositories is copied about; one in two of one owner's is its own."""
+    spread, own = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Zy9Xw8Vu7Ts6Rq5Po4Nm3Lk2"
+    rows = [(k, f"k {spread}", f"l{k}", "s", 0) for k in range(4)] + [(10 + k, f"k {own}", f"l{k}", "s", 0) for k in range(2)]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[k]["spans"] for k in (0, 3, 10, 11)] == ["", "", "owned:2:26", "owned:2:26"]
+    assert got[0]["frequency"] == "owned:2:26:1:4" and got[10]["frequency"] == "owned:2:26:1:2"
+
+
 # --- awkward tables -----------------------------------------------------------------------
 
 
@@ -373,16 +549,20 @@ def run_all(df, spark):
         "html": html_extract.extract_html(df.withColumn("page_id", F.col("doc_id")).withColumn("html", F.col("text")).withColumn("url", F.col("text"))),
         "secrets": secrets.scan_secrets(df),
         "redacted": secrets.redact_secrets(df),
+        "chat": chat.link_tool_calls(*chat.turns_as_calls(df.withColumns({"conv_id": F.col("doc_id"), "turn": F.col("n_chars"), "role": F.lit("user")}))),
+        "whole mix": mixing.mix_sources(df, whole_rows=True),
     }
 
 
 def test_awkward_rows_have_results(spark):
     df = awkward(spark)
     out = {k: v.collect() for k, v in run_all(df, spark).items()}
-    for k in ("media", "urls", "quality", "simhash", "tokens", "mix", "html", "secrets", "redacted"):
+    for k in ("media", "urls", "quality", "simhash", "tokens", "mix", "html", "secrets", "redacted", "whole mix"):
         assert len(out[k]) == 7, k
     assert {r["doc_id"] for r in out["leaks"]} == {4, 5} and len(out["left"]) == 4
     assert sorted(str(r["doc_id"]) for r in out["kept"]) == ["1", "3", "4"]
+    assert sorted(r["call_id"] for r in out["chat"]) == ["1:0", f"3:{len(LONG)}", "4:7", "5:7", "2:4"][:1] + ["2:4", f"3:{len(LONG)}", "4:7", "5:7"]
+    assert {"size", "_size", "copies", "_copies"} <= set(out["whole mix"][0].asDict()) and out["whole mix"][0]["size"] == "x"
 
 
 def test_empty_tables_give_no_rows(spark):
