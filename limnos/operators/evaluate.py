@@ -73,6 +73,22 @@ def temperature(scored: DataFrame, grid: list[float]) -> DataFrame:
     return t.withColumn("scaled", scaled).groupBy("t").agg(F.round(F.avg(nll), 6).alias("nll"))
 
 
+def fitted_temperature(scored: DataFrame, coarse: int = 8) -> DataFrame:
+    """The temperature of the least negative log likelihood: over powers of the root of 2, then once around the best of them."""
+
+    def best(grid: DataFrame) -> DataFrame:
+        top = F.array_max("logits")
+        nll = top / F.col("t") + F.log(F.aggregate("logits", F.lit(0.0), lambda acc, x: acc + F.exp((x - F.array_max("logits")) / F.col("t")))) - F.element_at("logits", F.col("truth").cast("int") + 1) / F.col("t")
+        per = scored.crossJoin(F.broadcast(grid)).groupBy("t").agg(F.avg(nll).alias("nll"))  # a grid of 17 numbers
+        return per.agg(F.min_by("t", F.struct(F.round("nll", 12), "t")).alias("t"), F.min("nll").alias("nll"))
+
+    spark = scored.sparkSession
+    steps = F.explode(F.sequence(F.lit(-coarse), F.lit(coarse))).alias("k")
+    first = best(spark.range(1).select(steps).select(F.pow(F.lit(2.0), F.col("k") / 2.0).alias("t")))
+    around = first.select("t", steps).select((F.col("t") * F.pow(F.lit(2.0), F.col("k") / 16.0)).alias("t"))
+    return best(around).select(F.round("t", 6).alias("t"), F.round("nll", 6).alias("nll"))
+
+
 def wilcoxon(pairs: DataFrame, group: str) -> DataFrame:
     """Two-sided signed-rank test of (a, b) per group: exact for 20 non-zero differences or fewer, else normal.
 

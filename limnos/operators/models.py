@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.operators import evaluate, panel, zonal
+from limnos.operators import panel, zonal
 
 
 def forest(train: DataFrame, channels: list[str], trees: int = 300, depth: int = 14, leaf: int = 2, seed: int = 42):
@@ -81,19 +81,6 @@ def leakage(panel_rows: DataFrame, columns: list[str], target: str) -> DataFrame
     return every.join(mean, "kind").groupBy("kind").agg(F.round(1 - F.sum(F.pow(F.col("label") - F.col("prediction"), 2)) / F.sum(F.pow(F.col("label") - F.col("mean"), 2)), 4).alias("r2"))
 
 
-def forecast(features: DataFrame, columns: list[str], train_years: list[int], test_year: int, least_positive: int = 20, trees: int = 200) -> DataFrame:
-    """Ranking of built-up forecasts: fit on early years, test on a later one.
-
-    ``features`` has the columns and a 0/1 ``target``; fails with too few positives.
-    """
-    train = features.where(F.col("yr").isin(train_years)).withColumn("cls", F.col("target"))
-    if train.where("target = 1").count() < least_positive:
-        raise ValueError("too few cells became built")
-    model = forest(train, columns, trees=trees, depth=10, leaf=20)
-    scored = model.transform(features.where(F.col("yr") == test_year)).select("lake", F.col("target").alias("y"), F.round(vector_to_array("probability")[1], 6).alias("score"))
-    return evaluate.ranking(scored, "lake")
-
-
 def stitched(ways: DataFrame) -> DataFrame:
     """Closed rings of each relation from way fragments, chained at their ends; open ones are closed.
 

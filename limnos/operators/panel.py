@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.functions import spectral as S
+
 
 def by_year():
     return Window.partitionBy("lake").orderBy("yr")
@@ -160,10 +162,32 @@ def warnings(panel: DataFrame) -> DataFrame:
     return out.withColumn("warned", (F.col("earlier") >= 50) & (F.col("last") < F.col("earlier") / 4))
 
 
+def drawn(key: list[str], seed: int = 42):
+    """A digest of a row's key, to draw by."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *key).cast("binary"))
+
+
 def capped_sample(rows: DataFrame, group: list[str], key: list[str], cap: int, seed: int = 42) -> DataFrame:
-    """At most ``cap`` rows a group, drawn by a hash of their key: exact, and the same on every run."""
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).drop("k")
+    """At most ``cap`` rows a group, those of the least digests of their key: exact, and the same on every run.
+
+    Groups are counted by the digest's first four hex digits first, so only rows
+    up to the one step that the cap falls in are ordered.
+    """
+    keyed = rows.withColumn("_digest", drawn(key, seed)).withColumn("_step", F.substring("_digest", 1, 4))
+    upto = Window.partitionBy(*group).orderBy("_step")
+    steps = keyed.groupBy(*group, "_step").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    cuts = steps.where(F.col("_before") < cap).groupBy(*group).agg(F.max("_step").alias("_cut"))
+    joined = keyed.join(cuts, group).where(F.col("_step") <= F.col("_cut"))
+    w = Window.partitionBy(*group).orderBy("_digest", *key)
+    return joined.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).select(*rows.columns)
+
+
+def shuffled(px: DataFrame, value: str, group: list[str], key: list[str], seed: int = 42) -> DataFrame:
+    """A value permuted within its group: the histogram stays, the places don't."""
+    w = Window.partitionBy(*group)
+    there = px.select(*group, *key, F.row_number().over(w.orderBy(*key)).alias("_k"))
+    here = px.select(*group, value, F.row_number().over(w.orderBy(drawn(key, seed), *key)).alias("_k"))
+    return there.join(here, [*group, "_k"]).drop("_k")
 
 
 def rain_trend(rows: DataFrame, x: str, y: str, cutoff: float = 0.40) -> DataFrame:
@@ -201,10 +225,11 @@ def month_climatology(days: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def forecast_target(px: DataFrame, ahead: int = 3) -> DataFrame:
-    """Candidates of the region that are mapped and not built, and whether they are built ``ahead`` years on and ever after."""
+    """Candidates of the region that are clear, mapped and not built, and whether they are built ``ahead`` years on and ever after."""
     cell = Window.partitionBy("lake", "r", "c").orderBy("yr")
     later = cell.rangeBetween(ahead, Window.unboundedFollowing)
     built = F.coalesce((F.col("cls") == 3).cast("int"), F.lit(0))
     at = F.max(F.when(F.col("yr").isNotNull(), built)).over(cell.rangeBetween(ahead, ahead))
     rows = px.withColumn("then", at).withColumn("always", F.min(built).over(later))
+    rows = rows.where(~S.cloudy(F.col("scl")))
     return rows.where("region and cls is not null and cls <> 3 and then is not null").select("lake", "r", "c", "yr", ((F.col("then") == 1) & (F.col("always") == 1)).cast("int").alias("target"))

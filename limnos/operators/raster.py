@@ -6,6 +6,8 @@ is one line of one raster, whatever the raster's size.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,20 +53,40 @@ def opened(px: DataFrame, mask: str) -> DataFrame:
     return box_sum(e, "_e", 1, "_d").withColumn("opened", F.col("_d") > 0).drop("_m", "_n", "_e", "_d")
 
 
-def distance_to(px: DataFrame, mask: str, cap: float, res: float = 20.0) -> DataFrame:
-    """Exact distance of each cell's centre to the nearest cell of a mask, at most ``cap``.
+def distance_to(px: DataFrame, mask: str, cap: float | None, res: float = 20.0) -> DataFrame:
+    """Exact distance of each cell's centre to the nearest cell of a mask, at most ``cap`` (and ``cap`` without any).
 
-    First the nearest masked cell of the own column, by windows; then the least
-    over the row's columns within the cap, by a join bounded by it.
+    First the nearest masked cell of the own column, by windows; then each line
+    of a raster is a group of bounded size, which takes the least over its
+    columns within the cap.
     """
-    reach = int(cap // res)
     down = Window.partitionBy(*LINE, "c").orderBy("r")
     above = F.last(F.when(F.col(mask), F.col("r")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(F.when(F.col(mask), F.col("r")), ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    col = px.select(*LINE, "r", "c", F.least(F.col("r") - above, below - F.col("r")).alias("g"))
-    near = col.where(F.col("g") <= reach).select(*LINE, "r", F.col("c").alias("c2"), "g").withColumn("c", F.explode(F.sequence(F.col("c2") - reach, F.col("c2") + reach)))
-    best = near.groupBy(*LINE, "r", "c").agg(F.min(F.pow(F.col("c") - F.col("c2"), 2) + F.col("g") * F.col("g")).alias("q"))
-    return px.select(*LINE, "r", "c").join(best, [*LINE, "r", "c"], "left").select(*LINE, "r", "c", F.round(F.least(F.coalesce(F.sqrt("q") * res, F.lit(cap)), F.lit(cap)), 4).alias("distance"))
+    column = px.select(*LINE, "r", "c", F.least(F.col("r") - above, below - F.col("r")).cast("double").alias("g"))
+
+    def line(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["c"].to_numpy() - rows["c"].min()
+        own = np.full(at.max() + 1, np.inf)
+        own[at] = rows["g"].fillna(np.inf).to_numpy() ** 2
+        best = own.copy()
+        for d in range(1, min(len(own) - 1, len(own) if cap is None else int(cap // res)) + 1):
+            np.minimum(best[d:], own[:-d] + d * d, out=best[d:])
+            np.minimum(best[:-d], own[d:] + d * d, out=best[:-d])
+        return rows[["lake", "yr", "r", "c"]].assign(q=best[at])
+
+    kinds = dict(column.dtypes)
+    best = column.groupBy(*LINE, "r").applyInPandas(line, f"lake {kinds['lake']}, yr {kinds['yr']}, r {kinds['r']}, c {kinds['c']}, q double")
+    far = F.sqrt("q") * res
+    return best.select(*LINE, "r", "c", F.round(far if cap is None else F.least(far, F.lit(cap)), 4).alias("distance"))
+
+
+def shoreline(zones: DataFrame, res: float = 20.0) -> DataFrame:
+    """Distance of each cell to the other side of the shore: negative inside."""
+    z = zones.select("lake", "r", "c", "inside", (~F.col("inside")).alias("outside"), F.lit(0).alias("yr"))
+    to_lake, to_land = (distance_to(z, m, None, res).select("lake", "r", "c", F.col("distance").alias(m)) for m in ("inside", "outside"))
+    both = to_lake.withColumnRenamed("inside", "a").join(to_land.withColumnRenamed("outside", "b"), ["lake", "r", "c"])
+    return both.select("lake", "r", "c", F.when(F.col("a") == 0, -F.col("b")).otherwise(F.col("a")).alias("shore"))
 
 
 def patches(px: DataFrame, cls: int, least: int = 1) -> DataFrame:

@@ -94,12 +94,47 @@ def cells_touched(lines: DataFrame, height: int, width: int) -> DataFrame:
     return cells.where(ok & (t0 <= t1)).select("r", "c").distinct()
 
 
-def length_within(lines: DataFrame, edges: DataFrame, reach: float, step: float = 0.05) -> DataFrame:
-    """Length of lines inside or within ``reach`` of each polygon, by pieces of at most ``step``."""
-    s = segments(lines).withColumn("len", F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("len") / step)).cast("int"))
-    cut = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("t", (F.col("k") + 0.5) / F.col("n"))
-    mid = cut.select(F.concat_ws(":", "id", "v", "k").alias("id"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"), (F.col("len") / F.col("n")).alias("piece"))
-    return near_polygons(mid, edges, reach).join(mid.select("id", "piece"), "id").groupBy("lake").agg(F.round(F.sum("piece"), 3).alias("length"))
+def length_within(lines: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """Length of lines inside or within ``reach`` of each polygon, exact.
+
+    A segment can only enter or leave where it meets an edge, a parallel of it
+    at ``reach``, or the circle around one of its ends. Cut there, every piece
+    lies inside or outside as a whole, as its middle does.
+    """
+    s = segments(lines).withColumn("dx", F.col("x2") - F.col("x1")).withColumn("dy", F.col("y2") - F.col("y1")).where("dx <> 0 or dy <> 0")
+    s = s.select("id", "v", F.col("x1").alias("ax"), F.col("y1").alias("ay"), "dx", "dy")
+    boxes = edges.groupBy("lake").agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
+    cell = 8.0
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    there = boxes.withColumn("cx", span(F.col("bx0") - reach, F.col("bx1") + reach)).withColumn("cy", span(F.col("by0") - reach, F.col("by1") + reach)).select("lake", "cx", "cy")
+    ends = lambda a, d: (F.least(F.col(a), F.col(a) + F.col(d)), F.greatest(F.col(a), F.col(a) + F.col(d)))
+    here = s.withColumn("cx", span(*ends("ax", "dx"))).withColumn("cy", span(*ends("ay", "dy")))
+    pairs = here.join(there, ["cx", "cy"]).select("id", "v", "lake", "ax", "ay", "dx", "dy").distinct()
+
+    ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    cross = F.col("dx") * ey - F.col("dy") * ex
+    side = (F.col("ax") - F.col("x1")) * ey - (F.col("ay") - F.col("y1")) * ex
+    at = [(F.lit(o * reach) * F.sqrt(ex * ex + ey * ey) - side) / F.nullif(cross, F.lit(0.0)) for o in (-1.0, 0.0, 1.0)]
+    a = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    for px, py in (("x1", "y1"), ("x2", "y2")):
+        b = F.col("dx") * (F.col("ax") - F.col(px)) + F.col("dy") * (F.col("ay") - F.col(py))
+        c = F.pow(F.col("ax") - F.col(px), 2) + F.pow(F.col("ay") - F.col(py), 2) - reach * reach
+        at += [F.when(b * b >= a * c, (-b + F.lit(sign) * F.sqrt(b * b - a * c)) / a) for sign in (-1.0, 1.0)]
+    cuts = pairs.join(edges, "lake").select("id", "v", "lake", "ax", "ay", "dx", "dy", F.explode(F.array(F.lit(0.0), F.lit(1.0), *at)).alias("t")).where("t between 0 and 1")
+    cuts = cuts.withColumn("t", F.round("t", 12)).distinct()
+    pieces = cuts.withColumn("u", F.lead("t").over(Window.partitionBy("id", "v", "lake").orderBy("t"))).where("u is not null")
+    middle = (F.col("t") + F.col("u")) / 2
+    pieces = pieces.select("id", "v", "lake", "t", (F.col("ax") + middle * F.col("dx")).alias("x"), (F.col("ay") + middle * F.col("dy")).alias("y"), ((F.col("u") - F.col("t")) * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("piece"))
+    judged = pieces.join(edges, "lake").groupBy("id", "v", "lake", "t", "piece").agg((F.count_if(crosses(F.col("x"), F.col("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(F.col("x"), F.col("y"))).alias("distance"))
+    return judged.where(F.col("inside") | (F.col("distance") <= reach)).groupBy("lake").agg(F.round(F.sum("piece"), 3).alias("length"))
+
+
+def areas_on_sphere(edges: DataFrame) -> DataFrame:
+    """Square kilometres of polygons in degrees: after a cylindrical equal-area projection, and planar by the cosine of the mean latitude."""
+    x1, y1, x2, y2 = (F.radians(c) for c in ("x1", "y1", "x2", "y2"))
+    equal = F.abs(F.sum(x1 * F.sin(y2) - x2 * F.sin(y1))) / 2 * 6371.0088**2
+    planar = F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2 * 111.32**2 * F.cos(F.radians(F.avg("y1")))
+    return edges.groupBy("lake").agg(F.round(equal, 6).alias("area_km2"), F.round(planar, 6).alias("planar_km2"))
 
 
 def nearest(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:

@@ -169,6 +169,15 @@ def change_counts(first: DataFrame, last: DataFrame) -> DataFrame:
     return both.groupBy("lake").agg(ha(a & b).alias("stable_ha"), ha(a & ~b).alias("lost_ha"), ha(~a & b).alias("gained_ha"))
 
 
+def point_density(points: DataFrame, box: tuple[float, float, float, float], nx: int = 110, ny: int = 92) -> DataFrame:
+    """Points in each cell of a box (minx, miny, maxx, maxy; borders included, last bins closed), and the 99th percentile of the filled cells."""
+    minx, miny, maxx, maxy = box
+    bin_ = lambda v, lo, hi, n: F.least(F.floor((v - lo) / (hi - lo) * n), F.lit(n - 1)).cast("int")
+    inside = points.where(F.col("x").between(minx, maxx) & F.col("y").between(miny, maxy))
+    cells = inside.groupBy(bin_(F.col("x"), minx, maxx, nx).alias("i"), bin_(F.col("y"), miny, maxy, ny).alias("j")).agg(F.count("*").alias("n"))
+    return cells.crossJoin(F.broadcast(cells.agg(F.round(F.percentile("n", F.lit(0.99)), 4).alias("p99"))))
+
+
 def agreement(px: DataFrame, other: str) -> DataFrame:
     """Map-to-map agreement in the region: mean of the yearly means."""
     yearly = px.where(F.col("region") & F.col("cls").isNotNull() & F.col(other).isNotNull()).groupBy("lake", "yr").agg(F.avg((F.col("cls") == F.col(other)).cast("int")).alias("same"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,27 +9,14 @@ from pyspark.sql import functions as F
 from limnos.functions import geo
 from limnos.functions import spectral as S
 from limnos.operators import evaluate, models, panel, raster, risk, spatial, zonal
-from limnos.plans.fixtures import view, with_views
+from limnos.plans.fixtures import view
+from limnos.plans.registry import ORACLE_SQL, QUERIES, panel_query, query  # noqa: F401
 from limnos.sources import landed, sinks
 from limnos.streaming import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 BAD = "(0, 1, 3, 8, 9, 10)"
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Register a query; ``sql`` follows the views' ``with`` clause (more of it if it starts with a comma)."""
-
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = f"{with_views(*views)}\n{sql}" if views else sql
-        return f
-
-    return register
-
-
 def nd(a: str, b: str) -> str:
     """SQL of norm_diff over digital numbers."""
     x, y = f"({a} * 1e-4::double)", f"({b} * 1e-4::double)"
@@ -165,13 +150,6 @@ def _(spark, sf):
     return view(spark, sf, "fx_weather").groupBy(F.year("d").alias("yr"), F.month("d").alias("m")).agg(F.count("*").alias("n"))
 
 
-@query("o_prj_20_dihedral", """, g as (select lake, yr, r, c, cls from fx_grid where r < 16 and c < 16), m as (select unnest([0,1,2,3,4,5,6,7]) as k)
-select lake, yr, k, case k when 0 then r when 1 then c when 2 then 15 - r when 3 then 15 - c when 4 then r when 5 then 15 - r when 6 then c else 15 - c end as r,
-case k when 0 then c when 1 then 15 - r when 2 then 15 - c when 3 then r when 4 then 15 - c when 5 then c when 6 then r else 15 - r end as c, cls from g cross join m""", ("fx_grid",))
-def _(spark, sf):
-    return raster.dihedral(view(spark, sf, "fx_grid").where("r < 16 and c < 16"), 16)
-
-
 @query("o_prj_21_standardise", """, t as (select lake, avg(nir) as m, stddev_pop(nir) as s from fx_pixels group by lake) select p.lake, yr, r, c, round((nir - m) / s, 4) + 0.0::double as z from fx_pixels p join t using (lake)""", ("fx_pixels",))
 def _(spark, sf):
     px = view(spark, sf, "fx_pixels")
@@ -181,8 +159,9 @@ def _(spark, sf):
 
 @query("o_prj_22_panel_scaling", "select lake, yr, round(ln(1 + greatest(built_px, 0)), 6) as log_built, yr - 1998 as year_c, round((water_px - avg(water_px) over ()) / greatest(stddev_pop(water_px) over (), 1e-9), 6) as water_z from fx_panel", ("fx_panel",))
 def _(spark, sf):
-    w = Window.partitionBy()
-    return view(spark, sf, "fx_panel").select("lake", "yr", F.round(F.log1p(F.greatest("built_px", F.lit(0))), 6).alias("log_built"), (F.col("yr") - 1998).alias("year_c"), F.round((F.col("water_px") - F.avg("water_px").over(w)) / F.greatest(F.stddev_pop("water_px").over(w), F.lit(1e-9)), 6).alias("water_z"))
+    p = view(spark, sf, "fx_panel")
+    whole = p.agg(F.avg("water_px").alias("m"), F.greatest(F.stddev_pop("water_px"), F.lit(1e-9)).alias("s"))  # one row
+    return p.crossJoin(F.broadcast(whole)).select("lake", "yr", F.round(F.log1p(F.greatest("built_px", F.lit(0))), 6).alias("log_built"), (F.col("yr") - 1998).alias("year_c"), F.round((F.col("water_px") - F.col("m")) / F.col("s"), 6).alias("water_z"))
 
 
 LOGITS = "[embedding[1]::double, embedding[2]::double, embedding[3]::double, embedding[4]::double]"
@@ -336,13 +315,6 @@ def _(spark, sf):
     return zonal.histogram(px, "mndwi")
 
 
-@query("o_agg_23_water_change", IDX + f", w as (select lake, r, c, yr, inside, clear, {WET} as wet from px) select a.lake, {ha('a.wet and b.wet')} as stable_ha, {ha('a.wet and not b.wet')} as lost_ha, {ha('not a.wet and b.wet')} as gained_ha from w a join w b using (lake, r, c) where a.yr = 1995 and b.yr = 2001 and a.clear and b.clear and a.inside group by a.lake", PZ)
-def _(spark, sf):
-    i = S.indices(F.col("green"), F.col("red"), F.col("nir"), F.col("swir16"))
-    px = pz(spark, sf).select("lake", "r", "c", "yr", "inside", (~S.cloudy(F.col("scl"))).alias("clear"), S.water(i["mndwi"], F.col("scl")).alias("wet"))
-    return zonal.change_counts(px.where("yr = 1995"), px.where("yr = 2001"))
-
-
 @query("o_agg_28_agreement", f", y as (select p.lake, yr, avg((cls = dw % 4)::int) as same from {ZONED} where region group by p.lake, yr) select lake, round(avg(same), 6) as agreement from y group by lake", PZ)
 def _(spark, sf):
     return zonal.agreement(pz(spark, sf).withColumn("other", F.col("dw") % 4), "other")
@@ -367,10 +339,6 @@ def moving(grid: DataFrame) -> DataFrame:
     return grid.withColumn("cls", F.col("dw") % 4)
 
 
-def panel_query(name: str, sql: str, f, views: tuple[str, ...] = ("fx_fractions",)) -> None:
-    query(name, sql, views)(lambda spark, sf: f(*[view(spark, sf, v) for v in views]))
-
-
 panel_query("o_win_1_baseline", ", f as (select *, first(water) over (partition by lake order by yr) as w from fx_fractions) select lake, yr, round(water - w, 2) + 0.0::double as delta, case when w > 0 then round((water - w) / w * 100, 1) + 0.0::double end as pct from f", lambda p: panel.change_from_first(p, "water"))
 panel_query("o_win_2_steps", ", f as (select *, lag(yr) over w as from_yr, lag(water) over w as a, lag(built) over w as b from fx_fractions window w as (partition by lake order by yr)) select lake, yr, from_yr, water, built, round(water - a, 4) as d_water, round(built - b, 4) as d_built from f where from_yr is not null", lambda p: panel.steps(p, ["water", "built"]).select("lake", "yr", "from_yr", "water", "built", "d_water", "d_built"))
 panel_query("o_win_3_later_max", "select lake, yr, max(water) over (partition by lake order by yr rows between 1 following and unbounded following) as later_max from fx_fractions", lambda p: panel.later_max(p, "water"))
@@ -397,7 +365,6 @@ panel_query("o_agg_19_rain_matrix", ", m as (select lake, year(d) as yr, month(d
 panel_query("o_agg_19_climatology", ", m as (select lake, year(d) as yr, month(d) as m, sum(rain_raw) as rain from fx_weather group by all) select lake, m, round(avg(rain), 2) as mean_rain from m group by lake, m", lambda w: panel.month_climatology(w.withColumnRenamed("rain_raw", "rain"))[1], ("fx_weather",))
 panel_query("o_risk_5_rain_trend", ", y as (select lake, year(d) as yr, sum(rain_raw)::double / 1e6 as rain from fx_weather group by all), j as (select lake, rain, water from fx_fractions join y using (lake, yr)), s as (select lake, count(*) as n, round(corr(rain, water), 4) as r, round(regr_slope(water, rain), 6) as slope, round(regr_intercept(water, rain), 4) as intercept from j group by lake) select *, case when abs(r) < 0.40 then 'no trend' when r > 0 then 'rising' when r < 0 then 'falling' end as trend from s",
     lambda p, w: panel.rain_trend(p.join(w.groupBy("lake", F.year("d").alias("yr")).agg((F.sum("rain_raw").cast("double") / 1e6).alias("rain")), ["lake", "yr"]), "rain", "water"), ("fx_fractions", "fx_weather"))
-panel_query("o_chg_6_jn_16_target", ", g as (select *, case when cls = 3 then 1 else 0 end as b from (select * replace (dw % 4 as cls) from fx_grid)), t as (select *, max(b) over (partition by lake, r, c order by yr range between 3 following and 3 following) as thn, min(b) over (partition by lake, r, c order by yr range between 3 following and unbounded following) as alw from g) select lake, r, c, yr, (thn = 1 and alw = 1)::int as target from t where region and cls is not null and cls <> 3 and thn is not null", lambda g: panel.forecast_target(moving(g)), ("fx_grid",))
 panel_query("o_top_1_lakes_by_area", "select lake, area from (select lake, count(*) as area from fx_zones where inside group by lake) order by area desc, lake limit 3", lambda z: z.where("inside").groupBy("lake").agg(F.count("*").alias("area")).orderBy(F.desc("area"), "lake").limit(3), ("fx_zones",))
 SCENE_Q = ", q as (select *, (id % 50) / 100.0::double as bad, 1 - (id % 9) / 100.0::double as cover from fx_scenes), sq as (select *, bad + (1 - cover) as score, row_number() over (partition by lake, yr order by cloud, id) as k from q)"
 panel_query("o_top_2_candidate_dates", SCENE_Q + " select lake, yr, coalesce(arg_min(id, k) filter (where cover > 0.99 and bad < 0.03), arg_min(id, score * 1000 + k * 1e-6)) as id from sq where k <= 6 group by lake, yr", lambda s: panel.candidate_dates(s.withColumn("bad", (F.col("id") % 50) / 100.0).withColumn("cover", 1 - (F.col("id") % 9) / 100.0).withColumn("score", F.col("bad") + (1 - F.col("cover")))), ("fx_scenes",))
@@ -405,7 +372,6 @@ panel_query("o_top_5_ordering", "select lake, mean_water from (select lake, roun
 panel_query("o_agg_24_tile_coverage", ", t as (select tile, count(distinct yr) as years from fx_scenes group by tile) select * from t order by years desc, tile desc limit 1", lambda s: s.groupBy("tile").agg(F.count_distinct("yr").alias("years")).orderBy(F.desc("years"), F.desc("tile")).limit(1), ("fx_scenes",))
 panel_query("o_agg_25_inventory", "select tile, lake, count(*) as n, count(*) filter (where cloud < 25) as used from fx_scenes group by rollup (tile, lake)", lambda s: s.rollup("tile", "lake").agg(F.count("*").alias("n"), F.count_if(F.col("cloud") < 25).alias("used")), ("fx_scenes",))
 
-query("o_top_4_capped_sample")(lambda spark, sf: panel.capped_sample(view(spark, sf, "fx_pixels"), ["lake", "yr"], ["r", "c"], 200))
 
 # --- set operations ----------------------------------------------------------------------
 
@@ -416,7 +382,7 @@ panel_query("o_set_4_out_of_fold", "select lake, yr, r, c, case when lake % 2 =
 
 # --- joins ---------------------------------------------------------------------------------
 
-panel_query("o_jn_1_panel_join", ", w as (select lake, year(d) as yr, sum(rain_raw)::bigint as rain from fx_weather where year(d) < 1999 group by all) select f.lake, f.yr, water, rain from fx_fractions f left join w using (lake, yr)", lambda p, w: p.join(w.where(F.year("d") < 1999).groupBy("lake", F.year("d").alias("yr")).agg(F.sum("rain_raw").alias("rain")), ["lake", "yr"], "left").select("lake", "yr", "water", "rain"), ("fx_fractions", "fx_weather"))
+panel_query("o_jn_1_panel_join", ", w as (select lake, year(d) as yr, sum(rain_raw)::bigint as rain from fx_weather group by all) select f.lake, f.yr, water, rain from fx_fractions f left join w using (lake, yr)", lambda p, w: p.join(w.groupBy("lake", F.year("d").alias("yr")).agg(F.sum("rain_raw").alias("rain")), ["lake", "yr"], "left").select("lake", "yr", "water", "rain"), ("fx_fractions", "fx_weather"))
 panel_query("o_jn_2_antecedent_rain", ", s as (select *, case when month(d) >= 10 then make_date(year(d)::int, 10, 1) else make_date(year(d)::int - 1, 10, 1) end as oct from fx_scenes where cloud < 25) select s.id, s.lake, s.d::varchar as d, " + ", ".join(f"coalesce(sum(rain_raw) filter (where w.d >= s.d - {n}), 0)::bigint as rain_{n}d" for n in (30, 90, 365)) + ", coalesce(sum(rain_raw) filter (where w.d >= oct), 0)::bigint as rain_season, round(avg(tmax) filter (where w.d >= s.d - 30), 4) as tmax_30d from s left join fx_weather w on w.lake = s.lake and w.d <= s.d and w.d >= s.d - 366 group by s.id, s.lake, s.d", lambda s, w: spatial.antecedent_rain(s.where("cloud < 25"), w).withColumn("d", F.col("d").cast("string")), ("fx_scenes", "fx_weather"))
 CROSS = "((y1 > y) != (y2 > y)) and x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0)::double"
 TT = "greatest(0.0::double, least(1.0::double, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0)::double))"
@@ -464,17 +430,13 @@ panel_query("o_risk_4_coverage", ", b as (select lake, water, avg(water) over (p
 panel_query("o_ras_1_texture", ", g as (select lake, yr, r, c, nir::double as v from fx_grid), o as (select unnest([-1, 0, 1]) as o), k as (select g.lake, g.yr, g.r, g.c, case when g.r + a.o < 0 then 1 when g.r + a.o > 31 then 30 else g.r + a.o end as nr, case when g.c + b.o < 0 then 1 when g.c + b.o > 31 then 30 else g.c + b.o end as nc from g cross join o a cross join o b) select k.lake, k.yr, k.r, k.c, round(sum(v) / 9, 4) as mean, round(sqrt(greatest(sum(v * v) / 9 - (sum(v) / 9) * (sum(v) / 9), 0)), 4) as std from k join g on g.lake = k.lake and g.yr = k.yr and g.r = k.nr and g.c = k.nc group by all", lambda g: raster.texture(g, "nir", 32, 32), ("fx_grid",))
 BOX = "select a.lake, a.yr, a.r, a.c, round(sum(case when b.cls = 3 then 1 else 0 end) / 121.0::double, 6) as share from fx_grid a join fx_grid b on a.lake = b.lake and a.yr = b.yr and b.r between a.r - 5 and a.r + 5 and b.c between a.c - 5 and a.c + 5 group by all"
 panel_query("o_ras_2_built_share", BOX, lambda g: raster.built_share(g, 5), ("fx_grid",))
-panel_query("o_ras_5_opening", ", e as (select a.lake, a.yr, a.r, a.c, sum(case when b.scl between 4 and 7 then 1 else 0 end) = 9 as e from fx_grid a join fx_grid b on a.lake = b.lake and a.yr = b.yr and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 where a.lake < 2 and a.yr < 1997 group by all) select a.lake, a.yr, a.r, a.c, max(b.e::int) = 1 as opened from e a join e b on a.lake = b.lake and a.yr = b.yr and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 group by all", lambda g: raster.opened(g.where("lake < 2 and yr < 1997").withColumn("m", F.col("scl").between(4, 7)), "m").select("lake", "yr", "r", "c", "opened"), ("fx_grid",))
-panel_query("o_ras_6_distance", ", b as (select lake, yr, r, c from fx_grid where cls = 3 and (r * 7 + c) % 11 = 0) select a.lake, a.yr, a.r, a.c, round(least(coalesce(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) * 20, 200.0), 200.0), 4) as distance from fx_grid a left join b on a.lake = b.lake and a.yr = b.yr and abs(a.r - b.r) <= 10 and abs(a.c - b.c) <= 10 group by all", lambda g: raster.distance_to(g.withColumn("m", F.coalesce((F.col("cls") == 3) & ((F.col("r") * 7 + F.col("c")) % 11 == 0), F.lit(False))), "m", 200.0), ("fx_grid",))
 panel_query("o_ras_8_outline", "select a.lake, a.yr, count(*) as edges from fx_grid a cross join (select unnest([-1, 1, 0, 0]) as dr, unnest([0, 0, -1, 1]) as dc) s left join fx_grid b on b.lake = a.lake and b.yr = a.yr and b.r = a.r + dr and b.c = a.c + dc and b.cls = 0 where a.cls = 0 and b.lake is null group by all", lambda g: raster.outline(g, 0).groupBy("lake", "yr").agg(F.count("*").alias("edges")), ("fx_grid",))
 panel_query("o_ras_10_block_average", "select lake, yr, cast(floor(r / 2) as int) as r, cast(floor(c / 2) as int) as c, round(coalesce(avg(nullif(nir, 0)), 0), 4) as nir from fx_grid group by lake, yr, cast(floor(r / 2) as int), cast(floor(c / 2) as int)", lambda g: raster.block_average(g, "nir", 2), ("fx_grid",))
 panel_query("o_ras_12_quality", ", g as (select lake, yr, (nir % 256)::double as v from fx_pixels), l as (select lake, yr, floor(v) as lv, count(*) as k from g group by all), e as (select lake, yr, k / sum(k) over (partition by lake, yr)::double as p from l), b as (select lake, yr, sum(-p * log2(p)) as bits from e group by all) select lake, yr, round(stddev_pop(v), 4) as contrast, round(max(bits), 4) as entropy from g join b using (lake, yr) group by all", lambda p: raster.quality(p.withColumn("grey", (F.col("nir") % 256).cast("double")), "grey"), ("fx_pixels",))
 panel_query("o_ras_13_bounds", "select lake, greatest(min(r) - 2, 0) as r0, least(max(r) + 2, 31) as r1, greatest(min(c) - 2, 0) as c0, least(max(c) + 2, 31) as c1 from fx_zones where region group by lake", lambda z: raster.bounds(z, 2, 32, 32), ("fx_zones",))
 panel_query("o_ras_9_tile_average", PATCHED + " select lake, yr, r, c, round(avg(nir + pr + pc), 4) as logit from pt group by all", lambda p: spatial.patch_pixels(p, 16, 8, 32, 32).groupBy("lake", "yr", "r", "c").agg(F.round(F.avg(F.col("nir") + F.col("pr") + F.col("pc")), 4).alias("logit")), ("fx_pixels",))
 query("o_ras_7_patches")(lambda spark, sf: raster.patch_table(raster.patches(view(spark, sf, "fx_grid"), 0, 2)))
-query("o_agg_29_ras_14_burn_back")(lambda spark, sf: raster.burned(view(spark, sf, "fx_grid").withColumn("grey", F.col("green") % 256), raster.patches(view(spark, sf, "fx_grid"), 3, 4)))
-query("o_jn_7_lines_touched")(lambda spark, sf: spatial.cells_touched(view(spark, sf, "fx_lines"), 32, 32))
-query("o_jn_5_line_length")(lambda spark, sf: spatial.length_within(view(spark, sf, "fx_lines"), view(spark, sf, "fx_edges"), 4.0))
+query("o_ras_14_burn_back")(lambda spark, sf: raster.burned(view(spark, sf, "fx_grid").withColumn("grey", F.col("green") % 256), raster.patches(view(spark, sf, "fx_grid"), 3, 4)))
 
 
 # --- models, risk, streams, sinks ------------------------------------------------------------------
@@ -507,15 +469,6 @@ def plain_score(cube):
     return np.stack([green - swir, nir - green, swir - green, (swir + green) / 2 - nir])
 
 
-@query("o_chg_5_7_forecast")
-def _(spark, sf):
-    g = moving(view(spark, sf, "fx_grid"))
-    key = ["lake", "r", "c", "yr"]
-    shares = raster.built_share(g, 2).withColumnRenamed("share", "share_near")
-    feats = panel.forecast_target(g, 1).join(panel.earlier_built(g).select(*key, "before"), key).join(shares, key).join(g.select(*key, *CHANNELS), key)
-    return models.forecast(feats, [*CHANNELS, "before", "share_near"], [1997, 1998, 1999], 2000, trees=10, least_positive=1)
-
-
 @query("o_risk_1_random_intercept")
 def _(spark, sf):
     fit = risk.random_intercept(view(spark, sf, "fx_fractions").withColumn("year_c", F.col("yr") - 1998), ["year_c"], "water")
@@ -535,16 +488,6 @@ def _(spark, sf):
     return p.select("id", "zone", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
-@query("o_prj_19_shuffled_labels")
-def _(spark, sf):
-    """Labels permuted within lake and year: the histogram stays, the places don't."""
-    px = view(spark, sf, "fx_pixels").select("lake", "yr", "r", "c", "cls")
-    w = Window.partitionBy("lake", "yr")
-    there = px.withColumn("k", F.row_number().over(w.orderBy("r", "c"))).drop("cls")
-    here = px.withColumn("k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(42), "r", "c"), "r", "c"))).select("lake", "yr", "k", "cls")
-    return there.join(here, ["lake", "yr", "k"]).drop("k")
-
-
 @query("o_str_2_rolling_rain", """with per as (select cast(ts as date) as day, sum(value) as rain from events group by all), s as (select day, rain, unnest(range(31)) as k from per)
 select (day + k::int)::varchar as d, round(sum(rain), 4) as rain, count(*) as days from s group by day + k::int""")
 def _(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a local folder made
-    and kept in the session's settings.
+    Only on a local master that names none (tests, a laptop) is a local folder
+    made and kept in the session's settings; executors could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-limnos-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
