@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,12 @@ def random_intercept(panel: DataFrame, features: list[str], target: str) -> dict
     return {"names": ["intercept", *features], "coef": beta.tolist(), "se": se.tolist(), "group_var": float(ratio * var), "residual_var": float(var), "loglik": float(like)}
 
 
+def coefficients(spark: SparkSession, fit: dict, z: float = 1.959964) -> DataFrame:
+    """A fit's coefficients with standard errors and 95 % intervals, one row each, and both variances."""
+    rows = [(n, float(b), float(s), float(b - z * s), float(b + z * s), fit["group_var"], fit["residual_var"]) for n, b, s in zip(fit["names"], fit["coef"], fit["se"], strict=True)]
+    return spark.createDataFrame(rows, "name string, coef double, se double, lo double, hi double, group_var double, residual_var double")
+
+
 def jackknife_plus(panel: DataFrame, features: list[str], target: str, alpha: float = 0.1) -> DataFrame:
     """Jackknife+ intervals with whole lakes left out.
 

@@ -43,11 +43,6 @@ def frac(part: str, whole: str, digits: int = 4) -> str:
 # --- sources, scalar functions, predicates -----------------------------------------
 
 
-@query("o_src_1_read_pixels", "select lake, yr, r, c, green, swir16 from fx_pixels where lake = 2 and yr = 1997", ("fx_pixels",))
-def _(spark, sf):
-    return view(spark, sf, "fx_pixels").where("lake = 2 and yr = 1997").select("lake", "yr", "r", "c", "green", "swir16")
-
-
 @query("o_prj_1_reflectance", "select lake, yr, r, c, round(green * 1e-4::double - 0.1::double, 4) as rho from fx_pixels", ("fx_pixels",))
 def _(spark, sf):
     return view(spark, sf, "fx_pixels").select("lake", "yr", "r", "c", F.round(S.reflectance(F.col("green"), -0.1), 4).alias("rho"))

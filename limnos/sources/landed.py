@@ -13,9 +13,14 @@ WEATHER = "properties struct<parameter: map<string, map<string, double>>>"
 MISSING = -999.0
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """One row a map element: type, id, tags, geometry, members, center."""
-    whole = spark.read.schema(ELEMENTS).option("multiLine", True).json(path)
+def read_pixels(spark: SparkSession, store: str, lake: int, yr: int, bands: list[str]) -> DataFrame:
+    """Bands of one lake and year from the pixel store: other partitions and columns are not read."""
+    return spark.read.parquet(store).where((F.col("lake") == lake) & (F.col("yr") == yr)).select("lake", "yr", "r", "c", *bands)
+
+
+def read_elements(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row a map element: type, id, tags, geometry, members, center. Responses are a file each, or a line each."""
+    whole = spark.read.schema(ELEMENTS).option("multiLine", multi_line).json(path)
     return whole.select(F.explode("elements").alias("e")).select("e.*")
 
 
@@ -36,9 +41,9 @@ def lines(elements: DataFrame, vertices: bool = False) -> DataFrame:
     return kept.select("id", F.posexplode("geometry").alias("v", "p")).select("id", "v", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
 
 
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+def read_polygons(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(lake, ring, seq, lon, lat) of each outline; MultiPolygon parts are rings of their own."""
-    whole = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+    whole = spark.read.schema(GEOJSON).option("multiLine", multi_line).json(path)
     f = whole.select(F.explode("features").alias("f")).select(F.col("f.properties")["lake"].alias("lake"), "f.geometry.type", F.col("f.geometry.coordinates").alias("text"))
     rings = F.when(F.col("type") == "Polygon", F.from_json("text", "array<array<array<double>>>")).otherwise(F.flatten(F.from_json("text", "array<array<array<array<double>>>>")))
     flat = f.withColumn("rings", rings).select("lake", F.posexplode("rings").alias("ring", "pts"))
@@ -54,18 +59,18 @@ def edges_of(outlines: DataFrame) -> DataFrame:
     return e.where("x1 <> x2 or y1 <> y2")
 
 
-def read_weather(spark: SparkSession, path: str, city: str) -> DataFrame:
+def read_weather(spark: SparkSession, path: str, city: str, multi_line: bool = True) -> DataFrame:
     """Daily rows from parameter-wise JSON; -999 is missing."""
-    whole = spark.read.schema(WEATHER).option("multiLine", True).json(path)
+    whole = spark.read.schema(WEATHER).option("multiLine", multi_line).json(path)
     long = whole.select(F.explode("properties.parameter").alias("name", "days")).select("name", F.explode("days").alias("day", "v"))
     value = F.when(F.col("v") != MISSING, F.col("v"))
     names = ["PRECTOTCORR", "T2M", "T2M_MAX", "T2M_MIN", "RH2M", "WS10M"]
     return long.groupBy(F.to_date("day", "yyyyMMdd").alias("date")).pivot("name", names).agg(F.first(value)).withColumn("city", F.lit(city))
 
 
-def read_scenes(spark: SparkSession, path: str, most_cloud: float = 25.0, months: tuple[int, int] = (1, 4)) -> DataFrame:
+def read_scenes(spark: SparkSession, path: str, most_cloud: float = 25.0, months: tuple[int, int] = (1, 4), multi_line: bool = True) -> DataFrame:
     """Scene catalogue of a season below a cloud limit."""
-    whole = spark.read.schema(CATALOGUE).option("multiLine", True).json(path)
+    whole = spark.read.schema(CATALOGUE).option("multiLine", multi_line).json(path)
     f = whole.select(F.explode("features").alias("f")).select("f.id", F.to_timestamp(F.col("f.properties")["datetime"]).alias("at"), F.col("f.properties")["eo:cloud_cover"].try_cast("double").alias("cloud"), F.transform_values("f.assets", lambda k, v: v["href"]).alias("assets"))
     return f.where((F.col("cloud") < most_cloud) & F.month("at").between(*months)).withColumn("yr", F.year("at"))
 

@@ -23,8 +23,9 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def features(patches: DataFrame, ring: str, props: list[str]) -> DataFrame:
-    """One GeoJSON feature a row: id, area_ha (3 digits) and properties."""
-    body = F.struct(F.lit("Feature").alias("type"), F.struct("id", F.round("area_ha", 3).alias("area_ha"), *props).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(F.col(ring)).alias("coordinates")).alias("geometry"))
+    """One GeoJSON feature a row: id, area_ha (3 digits) and properties; ``ring`` is a ring or an array of rings."""
+    nested = str(dict(patches.dtypes)[ring]).count("array") == 3
+    body = F.struct(F.lit("Feature").alias("type"), F.struct("id", F.round("area_ha", 3).alias("area_ha"), *props).alias("properties"), F.struct(F.lit("Polygon").alias("type"), (F.col(ring) if nested else F.array(F.col(ring))).alias("coordinates")).alias("geometry"))
     return patches.select(F.to_json(body).alias("value"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
-def ingest_scenes(spark: SparkSession, landed: str, schema: str, store: str, checkpoint: str) -> StreamingQuery:
+def ingest_scenes(spark: SparkSession, landed: str, schema: str | StructType, store: str, checkpoint: str) -> StreamingQuery:
     """Bring newly landed scene files into the pixel store, each (lake, yr) whole and once.
 
     Runs over what is there and stops. A batch overwrites only the partitions
