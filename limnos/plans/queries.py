@@ -476,7 +476,15 @@ def _(spark, sf):
     return risk.jackknife_plus(view(spark, sf, "fx_fractions").withColumn("year_c", F.col("yr") - 1998), ["year_c"], "water", 0.2)
 
 
-@query("o_prj_10_projection", None)
+UTM_T = f"sinh(atanh(sin(phi)) - {2 * geo.N**0.5 / (1 + geo.N)!r}::double * atanh({2 * geo.N**0.5 / (1 + geo.N)!r}::double * sin(phi)))"
+UTM_X = "eta" + "".join(f" + {a!r}::double * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, a in enumerate(geo.ALPHA))
+UTM_Y = "xi" + "".join(f" + {a!r}::double * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, a in enumerate(geo.ALPHA))
+
+
+@query("o_prj_10_projection", f""", p as (select id, 70 + x * 0.5 as lon, 8 + y * 0.5 as lat, (floor((70 + x * 0.5 + 180) / 6) + 1)::int as zone from fx_points),
+a as (select id, zone, radians(lat) as phi, radians(lon - (zone * 6 - 183)) as lam from p), b as (select id, zone, lam, {UTM_T} as t from a),
+c as (select id, zone, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from b)
+select id, zone, round(({UTM_X}) * {geo.K0 * geo.RADIUS!r}::double + 500000, 3) as east, round(({UTM_Y}) * {geo.K0 * geo.RADIUS!r}::double, 3) as north from c""", ("fx_points",))
 def _(spark, sf):
     p = view(spark, sf, "fx_points").select("id", (70 + F.col("x") * 0.5).alias("lon"), (8 + F.col("y") * 0.5).alias("lat")).withColumn("zone", geo.utm_zone(F.col("lon")))
     east, north = geo.utm(F.col("lon"), F.col("lat"), F.col("zone"))
@@ -495,10 +503,10 @@ def _(spark, sf):
     return sinks.summaries(p, "lake")
 
 
-@query("o_snk_6_payload")
+@query("o_snk_6_payload", ", s as (select 'lakes' as part, lake, '{\"lake\":' || lake || ',\"first_yr\":' || min(yr) || ',\"first\":' || arg_min(water, yr) || ',\"last_yr\":' || max(yr) || ',\"last\":' || arg_max(water, yr) || '}' as row from fx_fractions group by lake union all select 'series', lake, '{\"lake\":' || lake || ',\"yr\":' || yr || ',\"water\":' || water || '}' from fx_fractions) select * from s", ("fx_fractions",))
 def _(spark, sf):
     p = view(spark, sf, "fx_fractions")
-    return sinks.payload(lakes=panel.first_last(p, "water"), series=p.select("lake", "yr", "water"))
+    return sinks.payload("lake", lakes=panel.first_last(p, "water"), series=p.select("lake", "yr", "water"))
 
 
 @query("o_jn_9_name_match", """, n as (select n_nationkey as id, lower(trim(n_name)) as name, n_regionkey as lake, n_nationkey * 3 % 32 + 0.5::double as x, n_nationkey * 7 % 32 + 0.5::double as y from nation), o as (select c_custkey as oid, lower(trim(c_name)) as name, c_custkey % 100 as area from customer),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +48,13 @@ def without_infinities(df: DataFrame) -> DataFrame:
     return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
-def summaries(df: DataFrame, key: str) -> DataFrame:
-    """One JSON summary a key, with keys of null values kept out of none."""
-    rest = [c for c in df.columns if c != key]
+def summaries(df: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """One JSON summary a row, with keys of null values kept out of none; the key itself is in it if ``whole``."""
+    rest = [c for c in df.columns if whole or c != key]
     return without_infinities(df).select(key, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("summary"))
 
 
-def payload(**tables: DataFrame) -> DataFrame:
-    """A bundle of small aggregates as one JSON document; each table must be one of aggregates."""
-    parts = None
-    for name, df in tables.items():
-        one = without_infinities(df).agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
-        parts = one if parts is None else parts.crossJoin(one)
-    return parts.select(F.to_json(F.struct(*tables)).alias("payload"))
+def payload(key: str, **tables: DataFrame) -> DataFrame:
+    """A bundle of tables as JSON rows: (part, key, row), so that no bundle has to fit in one row or task."""
+    parts = [summaries(df, key, whole=True).select(F.lit(name).alias("part"), key, F.col("summary").alias("row")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

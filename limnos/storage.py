@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that this process has staged and not dropped, in order.
+_staged: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -41,4 +45,20 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place in the order of staged tables, for drop_staged."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int) -> None:
+    """Delete the tables staged since a mark, but the last one, which must be all that is still read."""
+    old = _staged[since:-1]
+    del _staged[since:-1]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in old:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
