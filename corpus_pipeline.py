@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm import decontaminate, mixing, near_dup, quality, secrets
 from limnos.llm.columns import unused
-from limnos.storage import stage
+from limnos.storage import drop_staged, mark, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, each over all that the one before kept."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, one after the other, each over all that the one before kept.
+
+    A stage's result is written; then what led to it is deleted.
+    """
+    docs, begun = table(spark, sf_dir, "documents"), mark()
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop_staged(spark, begun)
     return docs
