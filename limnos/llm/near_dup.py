@@ -377,7 +377,7 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float
     - Texts that share one of 32 bands of eight min-hashes of the shingles,
       where a 1024-bit SimHash estimates a similarity within ``margin`` (three
       standard errors) of the limit. A pair at 0.8 is missed with a chance of
-      1 in 240, one at 0.85 with 1 in 15,000.
+      1 in 240, one at 0.85 with 1 in 26,000.
 
     No SimHash alone can do the second part: at 0.8 some 15 % of the bits
     differ, a radius at which any index meets a fixed share of all pairs.
