@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limnos.storage import stage
+
 
 def coverage(rows: DataFrame, group: str) -> DataFrame:
     """Share of values within their interval and the median width."""
@@ -43,16 +47,21 @@ def _fit(stats: list[np.ndarray], p: int, ratio: float) -> tuple[np.ndarray, np.
     return beta, np.linalg.inv(xx), var, -0.5 * ((n - p) * (math.log(2 * math.pi * var) + 1) + logdet + np.linalg.slogdet(xx)[1])
 
 
-def random_intercept(panel: DataFrame, features: list[str], target: str) -> dict:
-    """REML fit of target ~ 1 + features + (1 | lake) from one row of sums a lake."""
-    p = 1 + len(features)
-    stats = [np.array(r["products"]).reshape(p + 1, p + 1) for r in sufficient(panel, features, target).collect()]
+def reml(stats: list[np.ndarray], p: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """_fit at the variance ratio of the largest likelihood, and that ratio."""
     lo, hi = -12.0, 8.0
     for _ in range(80):
         a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
         lo, hi = (lo, b) if _fit(stats, p, math.exp(a))[3] > _fit(stats, p, math.exp(b))[3] else (a, hi)
     ratio = math.exp((lo + hi) / 2)
-    beta, inverse, var, like = _fit(stats, p, ratio)
+    return *_fit(stats, p, ratio), ratio
+
+
+def random_intercept(panel: DataFrame, features: list[str], target: str) -> dict:
+    """REML fit of target ~ 1 + features + (1 | lake) from one row of sums a lake."""
+    p = 1 + len(features)
+    stats = [np.array(r["products"]).reshape(p + 1, p + 1) for r in sufficient(panel, features, target).collect()]
+    beta, inverse, var, like, ratio = reml(stats, p)
     se = np.sqrt(np.diag(inverse) * var)
     return {"names": ["intercept", *features], "coef": beta.tolist(), "se": se.tolist(), "group_var": float(ratio * var), "residual_var": float(var), "loglik": float(like)}
 
@@ -64,30 +73,38 @@ def coefficients(spark: SparkSession, fit: dict, z: float = 1.959964) -> DataFra
 
 
 def jackknife_plus(panel: DataFrame, features: list[str], target: str, alpha: float = 0.1) -> DataFrame:
-    """Jackknife+ intervals with whole lakes left out.
+    """Jackknife+ intervals of the random-intercept model with whole lakes left out: lake, yr, y, pred, lo, hi.
 
-    A panel is balanced over lakes, so fits without two lakes are least squares
-    on sums with two lakes' sums taken off; the join is of lakes' fits with
-    rows, not of rows with rows.
+    Each test lake is a task of its own: it fits without it, and without it and
+    each other lake in turn, on one row of sums a lake. Fixed effects predict,
+    since a test lake's intercept is unknown. An interval whose order statistic
+    lies beyond the residuals is open (infinite) on that side. Rows with nulls
+    are left out.
     """
-    spark = panel.sparkSession
     p = 1 + len(features)
-    stats = {r["lake"]: np.array(r["products"]).reshape(p + 1, p + 1) for r in sufficient(panel, features, target).collect()}
-    total = sum(stats.values())
-    fits = []
-    for test in stats:
-        for out in stats:
-            if out != test:
-                s = total - stats[test] - stats[out]
-                fits.append((test, out, [float(x) for x in np.linalg.solve(s[:p, :p], s[:p, p])]))
-    left = spark.createDataFrame(fits, f"test {panel.schema['lake'].dataType.simpleString()}, held {panel.schema['lake'].dataType.simpleString()}, beta array<double>")
+    sums = stage(sufficient(panel, features, target), "lake-sums")
+    known = {r["lake"]: np.array(r["products"]).reshape(p + 1, p + 1) for r in sums.collect()}  # (p + 1)^2 numbers a lake
+
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for test in batch["lake"]:
+                rest = {k: v for k, v in known.items() if k != test}
+                found = [(test, held, reml([v for k, v in rest.items() if k != held], p)[0].tolist()) for held in rest]
+                yield pd.DataFrame([*found, (test, None, reml(list(rest.values()), p)[0].tolist())], columns=["test", "held", "beta"]).astype({"held": object})
+
+    kind = panel.schema["lake"].dataType.simpleString()
+    apart = sums.select("lake").repartition(max(1, min(len(known), 1000)), "lake")
+    left = stage(apart.mapInPandas(fits, f"test {kind}, held {kind}, beta array<double>"), "fits-without-lakes")
     rows = panel.dropna(subset=[*features, target]).select("lake", "yr", F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y"))
     predict = lambda x, b: F.aggregate(F.zip_with(x, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-    held = rows.join(F.broadcast(left), F.col("lake") == F.col("held")).select("test", "held", F.abs(F.col("y") - predict(F.col("x"), F.col("beta"))).alias("residual"))
-    tests = rows.join(F.broadcast(left), F.col("lake") == F.col("test")).select("test", "held", "yr", "y", predict(F.col("x"), F.col("beta")).alias("pred"))
+    held = rows.join(left, F.col("lake") == F.col("held")).select("test", "held", F.abs(F.col("y") - predict(F.col("x"), F.col("beta"))).alias("residual"))
+    tests = rows.join(left, F.col("lake") == F.col("test")).select("test", "held", "yr", "y", predict(F.col("x"), F.col("beta")).alias("pred"))
     every = tests.join(held, ["test", "held"])
     low = Window.partitionBy("test", "yr").orderBy(F.col("pred") - F.col("residual"))
     high = Window.partitionBy("test", "yr").orderBy(F.col("pred") + F.col("residual"))
     k = every.withColumns({"kl": F.row_number().over(low), "kh": F.row_number().over(high), "n": F.count("*").over(Window.partitionBy("test", "yr"))})
     lo, hi = F.floor(F.lit(alpha) * (F.col("n") + 1)), F.ceil(F.lit(1 - alpha) * (F.col("n") + 1))
-    return k.groupBy(F.col("test").alias("lake"), "yr").agg(F.max("y").alias("y"), F.max(F.when(F.col("kl") == lo, F.col("pred") - F.col("residual"))).alias("lo"), F.max(F.when(F.col("kh") == hi, F.col("pred") + F.col("residual"))).alias("hi"))
+    bounds = k.groupBy("test", "yr").agg(F.max(F.when(F.col("kl") == lo, F.col("pred") - F.col("residual"))).alias("lo"), F.max(F.when(F.col("kh") == hi, F.col("pred") + F.col("residual"))).alias("hi"))
+    points = tests.where("held is null").select("test", "yr", "y", "pred")
+    out = points.join(bounds, ["test", "yr"], "left")
+    return out.select(F.col("test").alias("lake"), "yr", "y", "pred", F.coalesce("lo", F.lit(float("-inf"))).alias("lo"), F.coalesce("hi", F.lit(float("inf"))).alias("hi"))

@@ -187,3 +187,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     table = risk.coefficients(spark, risk.random_intercept(p, ["year_c"], "log_built"))
     pct = lambda c: F.when(F.col("name") == "year_c", F.round((F.exp(c) - 1) * 100, 4))
     return table.withColumns({"growth_pct": pct("coef"), "growth_lo": pct("lo"), "growth_hi": pct("hi")})
+
+
+@query("o_risk_4_interval_coverage")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage and median width of jackknife+ intervals of built land, by lake."""
+    p = view(spark, sf, "fx_panel").select("lake", "yr", F.log1p("built_px").alias("log_built"), (F.col("yr") - 1998).alias("year_c"))
+    return risk.coverage(risk.jackknife_plus(p, ["year_c"], "log_built", 0.1).withColumn("value", F.col("y")), "lake")

@@ -1,11 +1,13 @@
 """Outlines, distances, lengths, samples and storage against brute force."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from limnos import storage
-from limnos.operators import outlines, panel, raster, spatial
+from limnos.operators import outlines, panel, raster, risk, spatial
 
 
 def cells(spark, mask):
@@ -96,3 +98,30 @@ def test_shared_folder_must_be_named_off_local_masters():
 
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(Session())
+
+
+def test_jackknife_of_the_mixed_model_matches_published_intervals(spark):
+    """48 lake-years of buildings in the 75 m fence: predictions and 90 % intervals as published."""
+    folder = Path(__file__).parent / "goldens"
+    rows = spark.read.option("header", True).schema("lake string, yr int, buildings double, pred double, lo double, hi double").csv(str(folder / "buildings_75m.csv"))
+    want = {(r["lake"], r["yr"]): r for r in rows.collect()}
+    panel_rows = rows.select("lake", "yr", F.log1p("buildings").alias("log_built"), (F.col("yr") - 2020).alias("year_c"))
+    got = risk.jackknife_plus(panel_rows, ["year_c"], "log_built", 0.1).collect()
+    assert len(got) == len(want) == 48
+    for r in got:
+        w = want[r["lake"], r["yr"]]
+        assert (r["pred"], r["lo"], r["hi"]) == pytest.approx((w["pred"], w["lo"], w["hi"]), abs=1e-6)
+    fit = risk.coefficients(spark, risk.random_intercept(panel_rows, ["year_c"], "log_built")).where("name = 'year_c'").first()
+    # growth of 5.4 % a year, 4.1 to 6.7
+    assert [round((np.exp(fit[c]) - 1) * 100, 1) for c in ("coef", "lo", "hi")] == [5.4, 4.1, 6.7]
+
+
+def test_jackknife_of_an_unbalanced_panel_is_the_mixed_fit_and_may_be_open(spark):
+    rng = np.random.default_rng(33)
+    rows = [(lake, yr, float(lake + 0.1 * yr + rng.normal(0, 0.05)), float(yr)) for lake in range(4) for yr in range(6) if (lake, yr) not in ((0, 0), (2, 5), (2, 4))]
+    df = spark.createDataFrame(rows, "lake int, yr int, y double, x double")
+    got = {(r["lake"], r["yr"]): r for r in risk.jackknife_plus(df, ["x"], "y", 0.01).collect()}
+    assert len(got) == len(rows) and all(r["lo"] == -np.inf and r["hi"] == np.inf for r in got.values())
+    for lake in range(4):
+        fit = risk.random_intercept(df.where(F.col("lake") != lake), ["x"], "y")["coef"]
+        assert all(got[k]["pred"] == pytest.approx(fit[0] + fit[1] * k[1], abs=1e-9) for k in got if k[0] == lake)
