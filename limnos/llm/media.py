@@ -10,7 +10,6 @@ tried again on its own, at its offset, when reading it fails.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import struct
 import time
