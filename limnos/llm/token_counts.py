@@ -47,35 +47,51 @@ def counter(ranks: str) -> Counter:
 
 
 class TokenTree:
-    """A text's pre-tokens in leaves of bounded size, with token and character sums above them."""
+    """A text's pre-tokens in leaves of bounded size, with token and character sums above them.
+
+    Leaves keep their places and their part of the text, so an edit costs what
+    the leaves that it touches hold and the path above them, whatever the
+    text's length. The leaves are dealt out anew once one has grown large or
+    half of them are empty.
+    """
 
     def __init__(self, text: str, ranks: str = RANKS) -> None:
-        self.count, self.text = counter(ranks), text
+        self.count = counter(ranks)
         pieces = self.count.pattern.findall(text)
-        sizes, tokens = list(map(len, pieces)), [self.count[p] for p in pieces]
-        self.leaves = [(sizes[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
         self.encoded = len(pieces)
-        self._grow()
+        self._deal(text, list(map(len, pieces)), [self.count[p] for p in pieces])
 
-    def _grow(self) -> None:
-        """Sums of all subtrees, root at 1."""
+    def _deal(self, text: str, sizes: list[int], tokens: list[int]) -> None:
+        """Leaves of LEAF pre-tokens and the sums of all subtrees, root at 1."""
+        self.leaves = [(sizes[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(sizes), LEAF)] or [([], [])]
         self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (sizes, tokens) in enumerate(self.leaves):
-            self.sums[self.width + i] = sum(sizes), sum(tokens)
-        at = self.width
-        while at > 1:
-            self.sums[at // 2 : at] = self.sums[at : 2 * at : 2] + self.sums[at + 1 : 2 * at : 2]
-            at //= 2
-
-    def _update(self, i: int) -> None:
-        """A leaf's sums and those of the subtrees above it."""
+        self.texts, at = [], 0
+        for i, (own, counts) in enumerate(self.leaves):
+            n = sum(own)
+            self.texts.append(text[at : at + n])
+            self.sums[self.width + i] = n, sum(counts)
+            at += n
+        level = self.width
+        while level > 1:
+            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
+            level //= 2
+        self._emptied = 0
+
+    def _put(self, i: int, text: str, sizes: list[int], tokens: list[int]) -> None:
+        """What a leaf holds, with its sums and those of the subtrees above it."""
+        self._emptied += bool(self.leaves[i][0]) - bool(sizes)
+        self.leaves[i], self.texts[i] = (sizes, tokens), text
         at = self.width + i
-        self.sums[at] = sum(self.leaves[i][0]), sum(self.leaves[i][1])
+        self.sums[at] = len(text), sum(tokens)
         while at > 1:
             at //= 2
             self.sums[at] = self.sums[2 * at] + self.sums[2 * at + 1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.texts)
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -84,28 +100,35 @@ class TokenTree:
     def pieces(self) -> int:
         return sum(len(sizes) for sizes, _ in self.leaves)
 
-    def _find(self, char: int) -> tuple[int, int, int]:
-        """(leaf, place in it, first character) of the first pre-token that ends at ``char`` or later."""
+    def _find(self, char: int) -> tuple[int, int, int, int]:
+        """(leaf, place in it, first character in the leaf, first in the text) of the first pre-token that ends at ``char`` or later."""
         at, start = 1, 0
         while at < self.width:
             at *= 2
             if start + self.sums[at, 0] < char:
                 start += int(self.sums[at, 0])
                 at += 1
-        leaf = min(at - self.width, len(self.leaves) - 1)
+        leaf, inside = at - self.width, 0
         for k, size in enumerate(self.leaves[leaf][0]):
-            if start + size >= char:
-                return leaf, k, start
-            start += size
-        return leaf, len(self.leaves[leaf][0]), start
+            if start + inside + size >= char:
+                return leaf, k, inside, start + inside
+            inside += size
+        return leaf, len(self.leaves[leaf][0]), inside, start + inside
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters start to end; only pre-tokens that this can change are encoded anew."""
-        leaf, place, at = self._find(max(0, start - CONTEXT))
-        shift = len(new) - (end - start)
-        self.text = self.text[:start] + new + self.text[end:]
-        made: list[tuple[int, int]] = []
-        old_leaf, old_place, old_at = leaf, place, at
+        leaf, place, inside, base = self._find(max(0, start - CONTEXT))
+        start, end = start - base, end - base  # from here on, characters count from that pre-token
+        changed, shift = start + len(new), len(new) - (end - start)
+        head, loaded = self.texts[leaf][:inside], leaf + 1
+        old = self.texts[leaf][inside:]
+        while len(old) < end:
+            old, loaded = old + "".join(self.texts[loaded : 2 * loaded - leaf]), min(2 * loaded - leaf, len(self.leaves))
+        text = old[:start] + new + old[end:]
+        sizes: list[int] = []
+        tokens: list[int] = []
+        at = old_at = 0
+        old_leaf, old_place = leaf, place
         while True:
             # old pre-tokens up to where the new ones have come
             while old_leaf < len(self.leaves) and (old_at < end or old_at + shift < at):
@@ -114,24 +137,33 @@ class TokenTree:
                     continue
                 old_at += self.leaves[old_leaf][0][old_place]
                 old_place += 1
-            if at >= start + len(new) and old_at >= end and old_at + shift == at or at >= len(self.text):
+            if at >= changed and old_at >= end and old_at + shift == at:
+                break
+            found = self.count.pattern.match(text, at)
+            while loaded < len(self.leaves) and (found is None or found.end() + CONTEXT > len(text)):
+                text, loaded = text + "".join(self.texts[loaded : 2 * loaded - leaf]), min(2 * loaded - leaf, len(self.leaves))
+                found = self.count.pattern.match(text, at)
+            if found is None:
                 break
-            piece = self.count.pattern.match(self.text, at)[0]
-            made.append((len(piece), self.count[piece]))
-            at += len(piece)
-        self.encoded += len(made)
-        if at >= len(self.text):
-            old_leaf, old_place = len(self.leaves), 0
-        head, tail = self.leaves[leaf], self.leaves[old_leaf] if old_leaf < len(self.leaves) else ([], [])
-        sizes = head[0][:place] + [m[0] for m in made] + tail[0][old_place:]
-        tokens = head[1][:place] + [m[1] for m in made] + tail[1][old_place:]
-        if leaf == old_leaf and len(sizes) <= 2 * LEAF:
-            self.leaves[leaf] = sizes, tokens
-            self._update(leaf)
+            sizes.append(len(found[0]))
+            tokens.append(self.count[found[0]])
+            at = found.end()
+        self.encoded += len(sizes)
+        if old_leaf == len(self.leaves):
+            old_leaf, old_place = old_leaf - 1, len(self.leaves[-1][0])
+        (head_sizes, head_tokens), (tail_sizes, tail_tokens) = self.leaves[leaf], self.leaves[old_leaf]
+        rest = sum(tail_sizes[old_place:])
+        tail = self.texts[old_leaf][len(self.texts[old_leaf]) - rest :]
+        made = head_sizes[:place] + sizes, head_tokens[:place] + tokens
+        if leaf == old_leaf:
+            self._put(leaf, head + text[:at] + tail, made[0] + tail_sizes[old_place:], made[1] + tail_tokens[old_place:])
         else:
-            self.leaves[leaf : old_leaf + 1] = [(sizes[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(sizes), LEAF)]
-            self.leaves = self.leaves or [([], [])]
-            self._grow()
+            self._put(leaf, head + text[:at], *made)
+            for i in range(leaf + 1, old_leaf):
+                self._put(i, "", [], [])
+            self._put(old_leaf, tail, tail_sizes[old_place:], tail_tokens[old_place:])
+        if len(self.leaves[leaf][0]) > 8 * LEAF or 2 * self._emptied > len(self.leaves) > 1:
+            self._deal(self.text, [s for own, _ in self.leaves for s in own], [t for _, counts in self.leaves for t in counts])
 
 
 def count_tokens(docs: DataFrame, edits: str = MASKED, mask: str = "[MASKED]", id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:

@@ -395,10 +395,25 @@ def test_edits_match_encoding_anew():
             b = random.randint(a, min(len(tree.text), a + random.choice([0, 1, 5, 300])))
             tree.edit(a, b, "".join(random.choice(parts) for _ in range(random.choice([0, 1, 4, 200]))))
             anew = token_counts.TokenTree(tree.text)
+            assert sum(map(len, tree.texts)) == tree.sums[1, 0]
             assert tree.tokens == anew.tokens == len(tree.count.encode(tree.text))
             assert [s for sizes, _ in tree.leaves for s in sizes] == [s for sizes, _ in anew.leaves for s in sizes]
 
 
+def test_edits_of_a_long_text_cost_what_they_touch():
+    import time
+
+    text = "call 1234567890 and more words " * 60_000
+    tree, begun = token_counts.TokenTree(text), time.time()
+    for k in reversed(range(0, 60_000, 2)):
+        tree.edit(31 * k + 5, 31 * k + 15, "[MASKED]")
+    assert time.time() - begun < 30
+    assert tree.text == ("call [MASKED] and more words call 1234567890 and more words " * 30_000)
+    assert tree.tokens == token_counts.TokenTree(tree.text).tokens
+    tree.edit(0, len(tree.text), "")
+    assert tree.tokens == 0 and tree.text == "" and len(tree.leaves) == 1
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
