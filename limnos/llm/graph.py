@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.skew import salted_join
 from limnos.storage import stage
 
 
 def _shortened(parent: DataFrame) -> DataFrame:
-    """Follow parents until every node points to its root; each pass doubles the step."""
+    """Follow ``root`` until every node points to its root; each pass doubles the step. Other columns stay."""
+    kept = parent.columns
+    parent = stage(parent, "component-parents")
     while True:
-        up = parent.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        parent = stage(
-            parent.join(up, parent["root"] == up["up"], "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "component-parents"
-        )
+        up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        moved = salted_join(parent, up, "root", "left").withColumns({"root": F.coalesce("above", "root"), "moved": F.col("above").isNotNull()})
+        parent = stage(moved.select(*kept, "moved"), "component-parents")
         if parent.where("moved").isEmpty():
-            return parent.select("node", "root")
-        parent = parent.select("node", "root")
+            return parent.select(*kept)
+        parent = parent.select(*kept)
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    """Links (a, b) as distinct (lo, hi) without loops."""
+    return links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,24 +32,26 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round every node hooks to its smallest neighbour if that is smaller,
     chains are shortened to their roots by doubling, and links between roots
-    remain. At least half of the linked nodes go in each round; rounds write
+    remain. The links that nodes hook along, which are most of those of a large
+    group's smallest node, are done with; the others meet the roots in salted
+    joins. At least half of the linked nodes go in each round; rounds write
     their tables, so none repeats another's plan. Nulls are no nodes; loops and
     repeated links do nothing.
     """
-    rest = stage(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "component-links")
+    rest = stage(_ordered(links), "component-links")
     rounds = []
     while not rest.isEmpty():
-        parent = _shortened(rest.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")))
-        rounds.append(parent)
-        low = parent.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
-        high = parent.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
-        moved = rest.join(low, "lo", "left").join(high, "hi", "left").select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
-        rest = stage(moved.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "component-links")
+        parent = _shortened(rest.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("hook"), F.min("lo").alias("root")))
+        rounds.append(parent.select("node", "root"))
+        high = parent.select(F.col("node").alias("hi"), "hook", F.col("root").alias("b"))
+        others = stage(salted_join(rest, high, "hi").where("lo <> hook").select("lo", "b"), "component-crossings")
+        low = parent.select(F.col("node").alias("lo"), "root")
+        rest = stage(_ordered(salted_join(others, low, "lo", "left").select(F.coalesce("root", "lo").alias("a"), "b")), "component-links")
     if not rounds:
         return rest.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
     found = rounds.pop()
     while rounds:
         earlier = rounds.pop()
-        later = found.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        found = earlier.join(later, earlier["root"] == later["up"], "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(found)
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        found = salted_join(earlier, later, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(found)
     return stage(found, "components")

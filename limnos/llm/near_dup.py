@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from limnos.llm.columns import unused
 from limnos.llm.graph import components
+from limnos.llm.skew import salted_join
 from limnos.storage import stage
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -277,7 +278,8 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     labelled = nodes.withColumn("label", F.struct(F.col("id").isNull().alias("unnamed"), "id", *told, "node"))
     a = labelled.select(F.col("node").alias("a"), F.col("label").alias("la"))
     b = labelled.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    roots = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    links = stage(salted_join(stage(links, "links-to-label"), a, "a"), "half-labelled-links")
+    roots = components(salted_join(links, b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     return labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label")).drop("label")
 
 

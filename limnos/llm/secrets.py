@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limnos.llm.skew import salted_join
 from limnos.storage import stage
 
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -88,12 +89,12 @@ def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, rep
     rows = picked.mapInArrow(lambda batches: _scan(batches, "scanned", arrow), out)
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
 
-    seen = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("f"))
-    where_found = seen.groupBy(F.col("f.digest").alias("digest"), "owner", "repo").agg(F.count("*").alias("n"))
+    seen = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("f")).withColumn("digest", F.col("f.digest"))
+    where_found = seen.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n"))
     owners = where_found.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     frequency = owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
     judged = (
-        seen.join(frequency, F.col("f.digest") == frequency["digest"])
+        salted_join(seen, frequency, "digest")
         .select(
             "row",
             F.struct(
@@ -134,8 +135,8 @@ def scan_secrets(
     n_example and frequency (kind:start:end:owners:repositories of every
     candidate, owned or not, by start and kind). Null and empty texts have no spans; null owners and repositories
     count as one of their own; equal rows give equal results. Counts are summed
-    per digest, repository and owner before they meet, so a copied example in a
-    third of all rows stays small. Other columns are ignored.
+    per digest, repository and owner before they meet, and a copied example in a
+    third of all rows meets its count in a salted join. Other columns are ignored.
     """
     rows = _judged(docs, [id_col], text_col, owner_col, repo_cols, most_owners, most_repos, least_owners)
     base = F.filter("found", lambda s: s["kind"] < 3)

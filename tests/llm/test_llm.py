@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, token_counts, url_filter
+from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, skew, token_counts, url_filter
 from limnos.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +56,25 @@ def test_components_match_union_find(spark):
     assert {x: got.get(x, x) for x in nodes} == {x: find(x) for x in nodes}
 
 
+def test_salted_joins_are_plain_joins(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 5)
+    rows = [(0, i) for i in range(500)] + [(k, k) for k in range(1, 40)] + [(7, 1)] * 30 + [(None, 2), (99, 3), (99, 3)]
+    many = spark.createDataFrame(rows, "k int, salt int")
+    few = spark.createDataFrame([(k, f"v{k}") for k in (0, 3, 7, 8, 1000)], "k int, hot string")
+    for how in ("inner", "left"):
+        plain = many.join(few, "k", how)
+        salted = skew.salted_join(many, few, "k", how)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_components_of_a_star_and_chains_on_it(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FLOOR", 5)
+    links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(299, 320)] + [(400, i) for i in range(1, 300, 3)] + [(500, 501), (501, 501), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 321), 400]} | {501: 500}
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
