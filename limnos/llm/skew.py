@@ -21,12 +21,18 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -
     ``many`` should come from a written table, as its keys are counted first.
     The rows of a hot key are dealt to PARTS salts, and that key's row of
     ``few`` is repeated for each. Hot keys are fewer than SHARE at any size, so
-    they are broadcast. Rows and columns are those of the plain join: null keys
-    meet nothing, repeated rows stay.
+    they go by way of the driver; where there are none, this is the plain join.
+    Rows and columns are those of the plain join: null keys meet nothing,
+    repeated rows stay.
     """
     salt, hot = unused(many, "salt", few), unused(many, "hot", few)
-    bound = max(FLOOR, many.count() // SHARE)
-    keys = F.broadcast(many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > bound).select(key, F.lit(True).alias(hot)))
+    rows = many.count()
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    # a table of FLOOR rows or fewer can have no hot key
+    found = counts.where(F.col("n") > max(FLOOR, rows // SHARE)).select(key).collect() if rows > FLOOR else []
+    if not found:
+        return many.join(few, key, how)
+    keys = F.broadcast(many.sparkSession.createDataFrame(found, many.select(key).schema).withColumn(hot, F.lit(True)))
     others = [c for c in many.columns if c != key]
     dealt = F.when(F.col(hot), F.pmod(F.xxhash64(*others), F.lit(PARTS)).cast("int")).otherwise(0)
     salts = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
