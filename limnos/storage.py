@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths of the tables that this process has staged and not dropped, in order.
-_staged: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -33,6 +32,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/limnos/{name}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """The tables that were staged within a ``scope``, so that they can be deleted together."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the tables of this scope, which nothing may still read."""
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            at.getFileSystem(hadoop).delete(at, True)
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """What this thread stages within the block, but not what it stages in a scope within it, belongs to the scope.
+
+    Nothing is deleted by itself: a result of the block may read it. Write what
+    is to stay, then call ``drop``. Tables staged by others are never touched.
+    """
+    own = Scope()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -44,21 +75,7 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if own := _scope.get():
+        own.paths.append(path)
     writer.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """A place in the order of staged tables, for drop_staged."""
-    return len(_staged)
-
-
-def drop_staged(spark: SparkSession, since: int) -> None:
-    """Delete the tables staged since a mark, but the last one, which must be all that is still read."""
-    old = _staged[since:-1]
-    del _staged[since:-1]
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in old:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(hadoop).delete(at, True)
