@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, token_counts, url_filter
+from limnos.llm import chat, conversation_trie, decontaminate, html_extract, jaccard_join, media, mixing, near_dup, quality, ranked_search, secrets, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct shingles and component of every document, linked at a similarity of 0.8."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    index = ranked_search.index_documents(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat": op2_chat,
@@ -76,10 +92,16 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_html": op9_html,
     "op10_secrets": op10_secrets,
+    "op11_trie": op11_trie,
+    "op12_jaccard": op12_jaccard,
+    "op13_search": op13_search,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.LEAKS_SQL,
     "op2_chat": chat.CHAT_SQL,
     "op8_mixing": mixing.MIX_SQL.format(docs="documents") + "select doc_id, size, source_size, target, size * copies as taken, source, copies from out",
+    "op11_trie": conversation_trie.TRIE_SQL,
+    "op12_jaccard": jaccard_join.JACCARD_SQL,
+    "op13_search": ranked_search.SEARCH_SQL,
 }
