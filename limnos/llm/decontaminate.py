@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.columns import unused
 from limnos.storage import stage
 
 SHINGLE = 5
@@ -166,11 +167,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], t
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that repeat a benchmark item; all columns stay."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    leaks = find_leaks(docs, benchmark, {"leak_id": F.col(id_col), "leak_key": key}, F.col(text_col))
-    gone = stage(leaks.select("leak_id", "leak_key").distinct(), "leaking-documents")
-    return docs.withColumn("_text_key", key).join(gone, F.col(id_col).eqNullSafe(F.col("leak_id")) & (F.col("_text_key") == F.col("leak_key")), "left_anti").drop("_text_key")
+    """``docs`` without those that repeat a benchmark item; all columns stay, whatever their names.
+
+    Rows are known by id and a digest of their text, so of documents with one id
+    only those with a leaking text go, and null ids are ids as well. Repeated
+    rows go together. Null and blank texts stay.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    names = [unused(docs, c) for c in ("leak_id", "leak_key", "text_key")]
+    leaks = find_leaks(docs, benchmark, {names[0]: F.col(id_col), names[1]: digest}, F.col(text_col))
+    gone = stage(leaks.select(names[0], names[1]).distinct(), "leaking-documents")
+    known = docs.withColumn(names[2], digest)
+    return known.join(gone, F.col(id_col).eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_anti").select(*docs.columns)
 
 
 #: DuckDB SQL of find_leaks over documents and benchmark, without fingerprints: every window against every item.

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.llm.columns import unused
-from limnos.llm.graph import components
-from limnos.llm.skew import salted_join
+from limnos.llm.block_links import cross_links, similar
+from limnos.columns import unused
+from limnos.operators.graph import components
+from limnos.operators.skew import salted_join
 from limnos.storage import stage
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -332,14 +333,15 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return stage(shared.select("key", "node").join(weights.hint("merge"), "node"), "weighed-bands")
 
 
-def band_links(nodes: DataFrame, shared: DataFrame, near: Check, verify: Callable[[DataFrame], DataFrame], before: DataFrame) -> DataFrame:
-    """``before`` and further links (a, b), which together connect what all pairs with a band in common that are ``near`` and pass ``verify`` would connect.
+def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, near: Check, similarity: float, before: DataFrame) -> DataFrame:
+    """``before`` and further links (a, b), which together connect what all pairs with a band in common and this similarity would connect.
 
-    ``nodes`` has node and what ``near`` reads; ``shared`` is shared_bands(nodes).
-    First every band's nodes are tried against its heaviest, which in a group of
-    near copies is the same for most bands: this gives links as many as members.
-    Then all pairs of a band whose components still differ are tried, each in
-    the first band where it meets, and only those that are ``near`` are put out.
+    ``nodes`` has node and what ``near`` reads; ``shared`` is shared_bands(nodes);
+    ``sets`` has node and runs. First every band's nodes are tried against its
+    heaviest, which in a group of near copies is the same for most bands: one
+    pair or few a node, of which those that aren't ``near`` need no look at
+    their sets. What is still apart in a band is compared by cross_links, which
+    puts out no pair that fails.
     """
     told = nodes.columns
 
@@ -352,18 +354,12 @@ def band_links(nodes: DataFrame, shared: DataFrame, near: Check, verify: Callabl
     pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
     x, y = (nodes.select([F.col(c).alias(f"{side}_{c}") for c in told]) for side in "xy")
     tried = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-    led_links = stage(verify(tried.where(near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).select("a", "b")), "leader-links")
-
-    links = before.unionByName(led_links)
+    close = tried.where(near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).select("a", "b")
+    links = before.unionByName(stage(similar(close, sets, similarity), "leader-links"))
     placed = stage(with_roots(links), "rooted-bands")
     mixed = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
     rest = stage(placed.select("key", "node", "root").join(mixed.hint("merge"), "key"), "mixed-bands")
-    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node has BANDS keys at most
-    full = rest.join(keys, "node").join(nodes, "node")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    first_met = F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))
-    across = full.alias("a").join(full.alias("b"), meet & first_met)
-    return links.unionByName(stage(verify(across.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))), "band-links"))
+    return links.unionByName(cross_links(rest, sets, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, margin: float = 0.08, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,10 +372,11 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float
     - SimHashes of the shingles within ``radius`` bits, found by generalised
       pigeonhole as in simhash_components. These are copies with few changes,
       up to a similarity of about 0.97.
-    - Texts that share one of 32 bands of eight min-hashes of the shingles,
-      where a 1024-bit SimHash estimates a similarity within ``margin`` (three
-      standard errors) of the limit. A pair at 0.8 is missed with a chance of
-      1 in 240, one at 0.85 with 1 in 26,000.
+    - Texts that share one of 32 bands of eight min-hashes of the shingles. A
+      pair at 0.8 is missed with a chance of 1 in 240, one at 0.85 with 1 in
+      26,000. A band's texts are first tried against one of them, where a
+      1024-bit SimHash estimates a similarity within ``margin`` (three standard
+      errors) of the limit; what is then apart is compared in blocks.
 
     No SimHash alone can do the second part: at 0.8 some 15 % of the bits
     differ, a radius at which any index meets a fixed share of all pairs.
@@ -415,12 +412,8 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float
         sizes = F.least(a("n_runs"), b("n_runs")) >= F.greatest(a("n_runs"), b("n_runs")) * F.lit(similarity) - 1e-6
         return sizes & (estimated_similarity(a, b) >= F.lit(similarity - margin))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
-        sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        return sized.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-6).select("a", "b")
-
-    links = band_links(nodes.select("node", "n_runs", *wide), shared, near, verify, stage(verify(close), "verified-links"))
+    before = stage(similar(close, sets, similarity), "verified-links")
+    links = band_links(nodes.select("node", "n_runs", *wide), shared, sets, near, similarity, before)
     placed = with_components(nodes.select("node", "id", "row_id", "row_text"), links)
     by = [unused(docs, "row_id"), unused(docs, "row_text")]
     kept = stage(placed.where(F.col("root.node") == F.col("node")).select(F.col("row_id").alias(by[0]), F.col("row_text").alias(by[1])), "kept-rows")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.columns import unused
+from limnos.columns import unused
 
 BITS = 17
 DIM = 10
@@ -18,6 +18,7 @@ GRAMS = (3, 4)
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Characters of a text that are taken at once.
 PIECE = 1 << 19
 #: Labelled documents that a model is fitted on, about and at most.
 TRAIN_ROWS = 6000
@@ -42,42 +43,47 @@ def bucket(hashes: np.ndarray, salt: int) -> np.ndarray:
     return ((mixed * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """The whole text in pieces of bounded size, cut at a blank where there is one."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at, at + PIECE) + 1 or at + PIECE
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def features(text: str) -> Iterator[np.ndarray]:
-    """Buckets of a text's words, repeated words and character n-grams within words and at their borders."""
-    for piece in pieces(text):
-        chars = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        n = len(chars)
-        if not n:
-            continue
+    """Buckets of a text's words, repeated words and character n-grams within words and at their borders.
+
+    The text is taken in pieces, each with the few characters after it that its
+    last n-grams reach, and a word that goes on carries its hash into the next
+    piece: the features are those of the whole text, wherever it is cut.
+    """
+    begun, length = np.uint64(0), 0  # hash and length of a word that goes on
+    last = np.zeros(0, np.uint64)  # the word before
+    for start in range(0, len(text), PIECE):
+        chars = np.frombuffer(text[start : start + PIECE + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n, reach = min(PIECE, len(text) - start), len(chars)
         blank = (chars == 32) | ((chars >= 9) & (chars <= 13))
         chars[blank] = 32
-        up, down = powers(n)
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
+        up, down = powers(reach)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], blank[:n], [True])).view(np.int8)))
         starts, ends = edges[::2], edges[1::2]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars + np.uint64(1)) * up, dtype=np.uint64)))
-        if len(starts):
-            words = (sums[ends] - sums[starts]) * down[starts]
+        words, sizes = (sums[ends] - sums[starts]) * down[starts], ends - starts
+        if length and not blank[0]:
+            words[0] = words[0] * np.uint64(pow(BASE, length, 1 << 64)) + begun
+            sizes[0] += length
+        elif length:
+            words = np.append(begun, words)
+        length = 0
+        if len(ends) and ends[-1] == n and start + n < len(text):
+            begun, length, words = words[-1], int(sizes[-1]), words[:-1]
+        if len(words):
             yield bucket(words, 1)
             # word pairs: equal neighbours share one bucket, whatever the word
-            yield bucket(np.zeros(int((words[1:] == words[:-1]).sum()), np.uint64), 2)
+            run = np.append(last, words)
+            yield bucket(np.zeros(int((run[1:] == run[:-1]).sum()), np.uint64), 2)
+            last = words[-1:]
         for size in GRAMS:
-            if n < size:
+            count = min(n, reach - size + 1)
+            if count < 1:
                 continue
-            last = n - size + 1
-            whole = np.ones(last, bool)
+            whole = np.ones(count, bool)
             for k in range(1, size - 1):
-                whole &= ~blank[k : last + k]
-            at = np.flatnonzero(whole & ~(blank[:last] & blank[size - 1 :]))
+                whole &= ~blank[k : count + k]
+            at = np.flatnonzero(whole & ~(blank[:count] & blank[size - 1 : count + size - 1]))
             yield bucket((sums[at + size] - sums[at]) * down[at], size)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.llm.skew import salted_join
+from limnos.operators.skew import salted_join
 from limnos.storage import stage
 
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -28,6 +28,8 @@ FOUND = T.ArrayType(
             T.StructField("kind", T.IntegerType()),
             T.StructField("start", T.LongType()),
             T.StructField("end", T.LongType()),
+            T.StructField("value_start", T.LongType()),
+            T.StructField("value_end", T.LongType()),
             T.StructField("digest", T.StringType()),
             T.StructField("lively", T.BooleanType()),
         ]
@@ -43,27 +45,37 @@ def looks_live(value: str, least: float = 3.0) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= least
 
 
-def candidates(text: str) -> list[tuple[int, int, int, str]]:
-    """(kind, start, end, value) of every candidate, by start and kind."""
-    found = [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
+def candidates(text: str) -> list[tuple[int, int, int, int, int, str]]:
+    """(kind, start, end, and start, end and text of the value) of every candidate, by start and kind."""
+    found = [(0, m.start(), m.end(), m.start(2), m.end(2), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(1, *m.span(), *m.span(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(2, *m.span(), *m.span(), m[0]) for m in HEX.finditer(text)]
     base = sorted(found)
     for m in KEYLIKE.finditer(text):
         v = m[0]
-        if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
-            found.append((3, m.start(), m.end(), v))
+        if re.search("[a-z]", v) and re.search("[A-Z]", v) and re.search("[0-9]", v) and not any(c[1] < m.end() and m.start() < c[2] for c in base):
+            found.append((3, *m.span(), *m.span(), v))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], text_at: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for text in batch.column(text_at):
-            own = candidates(text.as_py() or "")
-            found.append([{"kind": k, "start": s, "end": e, "digest": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(), "lively": looks_live(v)} for k, s, e, v in own])
-        columns = [pa.array(found, schema.field("found").type) if f.name == "found" else batch.column(f.name) for f in schema]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+def _scanned(docs: DataFrame, keep: dict[str, Column], text_col: str) -> DataFrame:
+    """The ``keep`` columns, which don't include ``found``, and every candidate of the whole text, found."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    picked = docs.select(*[c.alias(name) for name, c in keep.items()], F.col(text_col).alias("scanned"))
+    out = T.StructType([f for f in picked.schema if f.name != "scanned"] + [T.StructField("found", FOUND)])
+    arrow = to_arrow_schema(out)
+    names = [f.name for f in FOUND.elementType]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("scanned"):
+                rows = [(*c[:5], hashlib.sha256(c[5].encode("utf-8", "surrogatepass")).hexdigest(), looks_live(c[5])) for c in candidates(text.as_py() or "")]
+                found.append([dict(zip(names, r, strict=True)) for r in rows])
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in keep], pa.array(found, arrow.field("found").type)], schema=arrow)
+
+    return picked.mapInArrow(scan, out)
 
 
 def _line(spans: Column, *more: str) -> Column:
@@ -74,46 +86,19 @@ def _line(spans: Column, *more: str) -> Column:
     return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), *[s[c].cast("string") for c in told])))
 
 
-def _judged(docs: DataFrame, keep: list[str], text_col: str, owner_col: str, repo_cols: tuple[str, ...], most_owners: int, most_repos: int, least_owners: int) -> DataFrame:
-    """Rows of ``docs`` (columns kept under k0, k1, ...) with all candidates and their corpus-wide verdicts."""
-    picked = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.col(text_col).alias("scanned"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols])).alias("repo"),
-    )
-    out = T.StructType([f for f in picked.schema if f.name != "scanned"] + [T.StructField("found", FOUND)])
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _places(owner_col: str, repo_cols: tuple[str, ...]) -> dict[str, Column]:
+    """Owner and repository of a row; nulls are one of their own."""
+    return {
+        "owner": F.coalesce(F.col(owner_col).cast("string"), F.lit("")),
+        "repo": F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols])),
+    }
 
-    arrow = to_arrow_schema(out)
-    rows = picked.mapInArrow(lambda batches: _scan(batches, "scanned", arrow), out)
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
 
-    seen = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("f")).withColumn("digest", F.col("f.digest"))
+def frequencies(seen: DataFrame) -> DataFrame:
+    """(digest, n_owners, n_repos, n_seen) of candidates (digest, owner, repo), summed by place before they meet."""
     where_found = seen.groupBy("digest", "owner", "repo").agg(F.count("*").alias("n"))
     owners = where_found.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    frequency = owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
-    judged = (
-        salted_join(seen, frequency, "digest")
-        .select(
-            "row",
-            F.struct(
-                F.col("f.kind").alias("kind"),
-                F.col("f.start").alias("start"),
-                F.col("f.end").alias("end"),
-                "n_owners",
-                "n_repos",
-                (F.col("n_owners") >= least_owners).alias("example"),
-                (F.col("f.lively") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)).alias("live"),
-            ).alias("v"),
-        )
-        .groupBy("row")
-        .agg(F.collect_list("v").alias("judged"))
-    )
-    # rows without candidates, which are most, meet nothing: their texts are not shuffled
-    kept = rows.where(F.size("found") > 0).join(judged, "row")
-    none = rows.where(F.size("found") == 0).withColumn("judged", F.array().cast(judged.schema["judged"].dataType))
-    return kept.unionByName(none).withColumn("verdicts", F.filter("judged", lambda v: (v["kind"] < 3) | v["live"]))
+    return owners.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
 
 
 def scan_secrets(
@@ -123,13 +108,14 @@ def scan_secrets(
 
     Base kinds (assign, access, hex) are always reported. Other key-like runs
     (20 or more characters with both cases and digits, outside base spans) are
-    candidates only: corpus-wide, the digests of all candidates are counted by
-    distinct repositories and owners, and a run becomes an ``owned`` span where
-    it looks live and at most ``most_owners`` owners have it, in ``most_repos``
-    repositories at most: one owner's key that stands in many repositories is
+    candidates only: corpus-wide, the digests of all candidates' values are
+    counted by distinct repositories and owners. A value that looks live and
+    that at most ``most_owners`` owners have, in ``most_repos`` repositories at
+    most, is owner-specific, and its span is added as ``owned``, within a base
+    span or by itself: one owner's key that stands in many repositories is
     copied as an example is. A digest with ``least_owners`` owners or more is a
-    widely copied example, which ``n_example`` counts; ``n_live`` counts spans
-    that look live and are one owner's, base spans among them.
+    widely copied example, which ``n_example`` counts; ``n_live`` counts owned
+    values.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
     n_example and frequency (kind:start:end:owners:repositories of every
@@ -138,17 +124,27 @@ def scan_secrets(
     per digest, repository and owner before they meet, and a copied example in a
     third of all rows meets its count in a salted join. Other columns are ignored.
     """
-    rows = _judged(docs, [id_col], text_col, owner_col, repo_cols, most_owners, most_repos, least_owners)
+    rows = _scanned(docs, {"doc_id": F.col(id_col), **_places(owner_col, repo_cols)}, text_col)
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+    seen = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("f")).withColumn("digest", F.col("f.digest"))
+    owned = F.col("f.lively") & (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    told = F.struct(*[F.col(f"f.{c}").alias(c) for c in ("kind", "start", "end", "value_start", "value_end")], "n_owners", "n_repos", (F.col("n_owners") >= least_owners).alias("example"), owned.alias("live"))
+    judged = salted_join(seen, frequencies(seen), "digest").select("row", told.alias("v")).groupBy("row").agg(F.collect_list("v").alias("judged"))
+    # rows without candidates, which are most, meet nothing
+    kept = rows.where(F.size("found") > 0).join(judged, "row")
+    none = rows.where(F.size("found") == 0).withColumn("judged", F.array().cast(judged.schema["judged"].dataType))
+    span = lambda v, kind, start, end: F.struct(kind.alias("kind"), v[start].alias("start"), v[end].alias("end"))
     base = F.filter("found", lambda s: s["kind"] < 3)
+    live = F.array_distinct(F.transform(F.filter("judged", lambda v: v["live"]), lambda v: span(v, F.lit(3), "value_start", "value_end")))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
-    return rows.select(
-        F.col("k0").alias("doc_id"),
+    return kept.unionByName(none).select(
+        "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(_line(base), 256).alias("base_sha256"),
-        _line(F.col("verdicts")).alias("spans"),
-        F.size(F.filter("verdicts", lambda v: v["live"])).cast("long").alias("n_live"),
+        _line(F.concat(F.transform(base, lambda v: span(v, v["kind"], "start", "end")), live)).alias("spans"),
+        F.size(live).cast("long").alias("n_live"),
         F.size(F.filter("judged", lambda v: v["example"])).cast("long").alias("n_example"),
         _line(F.col("judged"), "n_owners", "n_repos").alias("frequency"),
     )
@@ -158,12 +154,29 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "so
     """``docs`` with every reported span of scan_secrets replaced by a mark.
 
     Keeps all rows and columns. Overlapping spans become one mark. Rows without
-    spans keep their text as it is, null included.
+    spans keep their text as it is, null included; repeated rows stay repeated.
+    Rows with base spans alone are rewritten where they are; only rows with
+    key-like runs besides, which are few, are written once to meet the corpus's
+    frequencies, and then only their values do.
     """
     keep = docs.columns
-    rows = _judged(docs, keep, text_col, owner_col, repo_cols, limits.get("most_owners", 1), limits.get("most_repos", 3), limits.get("least_owners", 3))
+    limit = F.col("n_owners") <= limits.get("most_owners", 1), F.col("n_repos") <= limits.get("most_repos", 3)
+    seen = _scanned(docs, _places(owner_col, repo_cols), text_col).where(F.size("found") > 0).select("owner", "repo", F.explode("found").alias("f"))
+    # a run outside base spans may be a base value elsewhere, so all candidates count
+    owned = stage(frequencies(seen.select("owner", "repo", F.col("f.digest").alias("digest"))).where(limit[0] & limit[1]).select("digest"), "owned-secrets")
+
+    rows = _scanned(docs, {f"k{i}": F.col(c) for i, c in enumerate(keep)}, text_col)
+    open_ = F.exists("found", lambda v: (v["kind"] == 3) & v["lively"])
+    bounds = lambda spans: F.transform(spans, lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end")))
+    base = bounds(F.filter("found", lambda v: v["kind"] < 3))
+    asked = stage(rows.where(open_).withColumn("row", F.monotonically_increasing_id()), "rows-with-key-like-runs")
+    runs = asked.select("row", F.explode(F.filter("found", lambda v: (v["kind"] == 3) & v["lively"])).alias("f")).select("row", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.digest").alias("digest"))
+    live = stage(runs, "key-like-runs").join(owned, "digest").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("live"))
+    judged = asked.join(live, "row", "left").withColumn("spans", F.concat(base, F.coalesce("live", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = rows.where(~open_).withColumn("spans", base).select(*names, "spans").unionByName(judged.select(*names, "spans"))
+
     text = F.col(f"k{keep.index(text_col)}")
-    ordered = F.array_sort(F.transform("verdicts", lambda v: F.struct(v["start"].alias("start"), v["end"].alias("end"))))
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -171,6 +184,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", owner_col: str = "so
         piece = F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
         return F.struct(F.when(apart, piece).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate(ordered, start, add, lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    clean = F.when(F.size("verdicts") > 0, clean).otherwise(text)
+    clean = F.aggregate(F.array_sort("spans"), start, add, lambda acc: F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    clean = F.when(F.size("spans") > 0, clean).otherwise(text)
     return rows.select(*[(clean if c == text_col else F.col(f"k{i}")).alias(c) for i, c in enumerate(keep)])

@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, skew, token_counts, url_filter
-from limnos.llm.graph import components
+from limnos.llm import chat, decontaminate, html_extract, media, mixing, near_dup, quality, secrets, token_counts, url_filter
+from limnos.operators import skew
+from limnos.operators.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30000
@@ -483,6 +484,31 @@ def test_articles_survive_what_stands_around_them(page):
     assert html_extract.main_text(page.replace("{}", TEXT)) == f"Title {TEXT}The end."
 
 
+LONG_BLOCK = ("Words of an article that go on for a while, so that there is some text to keep. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><section><p>Short intro.</p></section><section><p>{}</p></section></article>", "Short intro. {}"),
+        ("<article><section><h2>Main</h2><p>{}</p></section><section><p>The end of it.</p></section></article>", "Main {} The end of it."),
+        ("<article><div><p>Dr. Who writes.</p></div><div><p>{}</p></div><div><p>Bye.</p></div></article>", "Dr. Who writes. {} Bye."),
+        ("<article><p>In.</p><table><tr><th>Year</th><th>Value</th></tr><tr><td>1999</td><td>12</td></tr></table><p>{}</p><p>End.</p></article>", "In. Year Value 1999 12 {} End."),
+        ("<body><div><table><caption>Rain</caption><tr><td>1999<td>12</table><p>{}</p><p>End.</p></div></body>", "Rain 1999 12 {} End."),
+        ("<article><p>So <span class='share-price'>the price</span> is <b class=ad>up</b>.</p><div class='ad-hoc'>Adhoc</div><section class='related-work'>Rel</section><p>{}</p><div class='lunch-menu'>Lunch</div></article>", "So the price is up . Adhoc Rel {} Lunch"),
+        ("<div>Buy!</div><article><p>{}</p></article><section><p>a reader</p><p>{}</p></section><div>Buy!</div>", "{}"),
+        ("<article><p>{}</p><section><h3>3 Comments</h3><p>{}</p></section><div><p>Advertisement</p><p>Buy</p></div><p>End.</p></article>", "{} End."),
+        ("<article><p>{}</p><article><p>{}{}</p></article><div class='cookie-banner'>c</div><div class='comment-list'>d</div><p>End.</p></article>", "{} End."),
+        ("<main><h1>Top</h1><div>by me</div><article><p>{}</p></article></main><footer>f</footer>", "Top by me {}"),
+        ("<h1>Top</h1><article><div><div><p>{}</p></div></div><div>1</div></article>", "Top {} 1"),
+        ("<div>menu</div><div><div><p>{}</p></div><div>between</div><div><p>{}</p></div></div><div>foot</div>", "{} between {}"),
+    ],
+)
+def test_whole_articles_stay(page, text):
+    """Short sections, tables, first and last blocks; comments and adverts without names go."""
+    assert html_extract.main_text(page.replace("{}", LONG_BLOCK)) == text.replace("{}", LONG_BLOCK)
+
+
 def test_surge_and_dive_alone_find_the_articles(spark):
     """Without article, main and class names, and against sums over windows taken by hand."""
     import html
@@ -521,7 +547,7 @@ def test_odd_markup_takes_time_in_proportion():
     import time
 
     begun = time.time()
-    for page in ("<div>" * 30_000 + "</section>" * 30_000, "<ul><li>" * 20_000 + "x", "<div class=nav><h1>x</h1>" * 20_000, "<" * 50_000, "<a href='" * 5_000):
+    for page in ("<div>" * 30_000 + "</section>" * 30_000, "<ul><li>" * 20_000 + "x", "<div class=nav><h1>x</h1>" * 20_000, "<article><div>x" * 20_000, "<main>" * 20_000 + "<p>x" * 20_000, "<" * 50_000, "<a href='" * 5_000):
         html_extract.main_text(page)
     assert time.time() - begun < 20
 
