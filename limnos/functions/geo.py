@@ -55,6 +55,13 @@ def snapped(low: Column, high: Column, res: float, most: float) -> tuple[Column,
     return lo.cast("double"), hi.cast("double"), hi - lo > most
 
 
+def centred(low: Column, high: Column, centre: Column, res: float, most: float) -> tuple[Column, Column, Column]:
+    """Bounds no wider than ``most``, about the centre where they are, moved outward to the grid; and whether they were cut."""
+    wide = high - low > most
+    lo, hi = F.when(wide, centre - most / 2).otherwise(low), F.when(wide, centre + most / 2).otherwise(high)
+    return (F.floor(lo / res) * res).cast("double"), (F.ceil(hi / res) * res).cast("double"), wide
+
+
 def slug(name: Column, kind: str, key: Column) -> Column:
     body = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.concat(body, F.lit(f"-{kind}"), key.cast("string"))

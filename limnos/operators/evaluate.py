@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.storage import stage
+
 
 def confusion(scored: DataFrame, group: str, classes: int = 4) -> DataFrame:
     """Counts by group, truth and prediction; unknown and out-of-range classes are dropped."""
@@ -49,21 +51,49 @@ def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
     return b.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.max("total"), 6).alias("ece"))
 
 
+def running_sums(rows: DataFrame, group: str, order: Column, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each (name, column) of ``sums``, name_upto and name_all: sums up to the row in its group's order, and of the whole group.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is in as
+    many tasks as it has ranges. The ranges' sums, few, are added up first;
+    within a range a window does the rest. ``order`` should tell a group's rows
+    apart.
+    """
+    ranged = stage(rows.repartitionByRange(F.col(group), order).withColumn("range", F.spark_partition_id()), "ranged-rows")
+    per = ranged.groupBy(group, "range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(group, "range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums], *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
+    within = Window.partitionBy(group, "range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = {f"{n}_upto": F.col(f"{n}_before") + F.sum(c).over(within) for n, c in sums.items()}
+    return ranged.join(offsets, [group, "range"]).withColumns(upto).drop("range", *[f"{n}_before" for n in sums])
+
+
 def ranking(scored: DataFrame, group: str) -> DataFrame:
     """ROC AUC (ties half), average precision (step-wise) and the threshold of the best F1, by group.
 
-    Scores are counted first, so windows run over distinct scores only.
+    Scores are counted first, so running sums are over distinct scores only.
     """
     by_score = scored.groupBy(group, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.partitionBy(group).orderBy(F.desc("score"))
-    whole = Window.partitionBy(group)
-    c = by_score.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "n": F.sum("neg").over(whole)})
+    c = running_sums(by_score, group, F.desc("score"), {"p": "pos", "n": "neg"}).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp", "p_all": "p", "n_all": "n"})
     c = c.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p")))
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("pos") * F.col("neg") / 2.0) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
     ap = F.sum(F.col("pos") * F.col("precision")) / F.nullif(F.max("p"), F.lit(0))
     return c.groupBy(group).agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("ap"), F.max_by("score", F.struct("f1", "score")).alias("threshold"), F.round(F.max("f1"), 6).alias("best_f1"))
 
 
+def order_statistics(values: DataFrame, group: str, value: str, alpha: float) -> DataFrame:
+    """The floor(a (n + 1))-th and ceil((1 - a)(n + 1))-th smallest of each group; infinite beyond the ends.
+
+    Equal values are counted first; running counts over ranges then find the two.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
+    c = running_sums(counted, group, F.asc(value), {"k": "k"})
+    at = lambda k: F.max(F.when((F.col("k_upto") >= k) & (F.col("k_upto") - F.col("k") < k), F.col(value)))
+    lo, hi = F.floor(F.round(alpha * (F.col("k_all") + 1), 9)), F.ceil(F.round((1 - alpha) * (F.col("k_all") + 1), 9))
+    return c.groupBy(group).agg(F.coalesce(at(lo), F.lit(float("-inf"))).alias("lo"), F.coalesce(at(hi), F.lit(float("inf"))).alias("hi"))
+
+
 def temperature(scored: DataFrame, grid: list[float]) -> DataFrame:
     """Negative log likelihood of each temperature in one pass, best first; logits and truth per row."""
     t = scored.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
@@ -125,5 +155,19 @@ def decision(folds: DataFrame, margin: float = 0.02) -> DataFrame:
     )
 
 
+def pooled_and_mean(counts: DataFrame, model: str = "model", split: str = "split", group: str = "lake", pooled: tuple[str, ...] = ("train", "val")) -> DataFrame:
+    """Metrics of every lake, model and split, and of all lakes together: confusions pooled for ``pooled`` splits, means of the lakes' metrics for others.
+
+    ``counts`` has the model, split, lake, truth, pred and n. One roll-up over
+    the lakes gives each lake's confusion and the pooled one.
+    """
+    rolled = counts.groupBy(model, split, "truth", "pred", group).agg(F.sum("n").alias("n"))
+    every = rolled.unionByName(rolled.where(F.col(split).isin(*pooled)).groupBy(model, split, "truth", "pred").agg(F.sum("n").alias("n")).withColumn(group, F.lit(None).cast(counts.schema[group].dataType)))
+    keyed = every.withColumn("key", F.struct(model, split, F.coalesce(F.col(group).cast("string"), F.lit("ALL (pooled)")).alias(group)))
+    per = stage(summary_metrics(keyed, "key").select("key.*", "accuracy", "macro_f1", "macro_iou", "kappa", "n"), "split-metrics")
+    mean = per.where(~F.col(split).isin(*pooled)).groupBy(model, split).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("accuracy", "macro_f1", "macro_iou", "kappa")], F.sum("n").alias("n"))
+    return per.unionByName(mean.withColumn(group, F.lit("ALL (mean)")), allowMissingColumns=False)
+
+
 def fold_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("model").agg(*[f(F.col("macro_f1")).alias(n) for n, f in (("mean_f1", lambda c: F.round(F.avg(c), 6)), ("min_f1", F.min), ("max_f1", F.max))])

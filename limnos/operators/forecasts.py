@@ -38,7 +38,7 @@ def features(grid: DataFrame, roads: DataFrame, height: int, width: int, built_c
     for b in TEXTURES:
         out = out.join(raster.texture(base, b, height, width).withColumnsRenamed({"mean": f"mean_{b}", "std": f"std_{b}"}), key)
     for name, radius in (("built_share_100m", 5), ("built_share_300m", 15)):
-        out = out.join(raster.built_share(base, radius).withColumnRenamed("share", name), key)
+        out = out.join(raster.built_share(base, radius, height, width).withColumnRenamed("share", name), key)
     out = out.join(raster.distance_to(base, "built", built_cap).withColumnRenamed("distance", "dist_built_m"), key)
     place = base.select(*CELL, "inside").distinct()
     on_road = place.join(roads.distinct().withColumn("road", F.lit(True)), ["r", "c"], "left").withColumn("road", F.coalesce("road", F.lit(False))).withColumn("yr", F.lit(0))

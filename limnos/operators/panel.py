@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import spectral as S
@@ -137,14 +137,6 @@ def folds(areas: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("k").cast("long").alias("fold"), F.col("lake").alias("test"), "val").agg(F.concat_ws(",", F.array_sort(F.collect_list("other"))).alias("train"))
 
 
-def order_statistic(values: DataFrame, alpha: float) -> DataFrame:
-    """The floor(a (n + 1))-th and ceil((1 - a)(n + 1))-th smallest; null beyond the ends."""
-    w = Window.partitionBy("lake").orderBy("value")
-    ranked = values.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("lake")))
-    lo, hi = F.floor(F.lit(alpha) * (F.col("n") + 1)), F.ceil(F.lit(1 - alpha) * (F.col("n") + 1))
-    return ranked.groupBy("lake").agg(F.max(F.when(F.col("k") == lo, F.col("value"))).alias("lo"), F.max(F.when(F.col("k") == hi, F.col("value"))).alias("hi"))
-
-
 def candidate_dates(scenes: DataFrame, most: int = 6) -> DataFrame:
     """Of the least cloudy dates, the first good one, else that of the least score."""
     w = Window.partitionBy("lake", "yr").orderBy("cloud", "id")
@@ -154,12 +146,45 @@ def candidate_dates(scenes: DataFrame, most: int = 6) -> DataFrame:
     return ranked.groupBy("lake", "yr").agg(pick.alias("id"))
 
 
-def warnings(panel: DataFrame) -> DataFrame:
-    """Lakes whose built pixels fall to under a quarter of the earlier years' median of 50 or more."""
+def warnings(panel: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Why a lake's results are not to be relied on: one row a lake, with an array of reasons.
+
+    ``built fell``: built pixels of the last year are under a quarter of the
+    earlier years' median of 50 or more. ``built F1``: the model's F1 on built
+    land there (``scores``: lake, f1_built; null is unknown) is below 0.30.
+    """
     last = F.max("yr").over(Window.partitionBy("lake"))
     rows = panel.withColumn("last_yr", last)
     out = rows.groupBy("lake").agg(F.median(F.when(F.col("yr") < F.col("last_yr"), F.col("built_px"))).alias("earlier"), F.max(F.when(F.col("yr") == F.col("last_yr"), F.col("built_px"))).alias("last"))
-    return out.withColumn("warned", (F.col("earlier") >= 50) & (F.col("last") < F.col("earlier") / 4))
+    f1 = F.lit(None).cast("double")
+    if scores is not None:
+        out, f1 = out.join(scores.select("lake", "f1_built"), "lake", "left"), F.col("f1_built")
+    reasons = F.array(F.when(f1 < 0.30, F.lit("built F1")), F.when((F.col("earlier") >= 50) & (F.col("last") < F.col("earlier") / 4), F.lit("built fell")))
+    return out.withColumn("warnings", F.array_compact(reasons)).withColumn("warned", (F.col("earlier") >= 50) & (F.col("last") < F.col("earlier") / 4))
+
+
+def first_match(queries: DataFrame, lakes: DataFrame) -> DataFrame:
+    """The largest lake whose name has each query (id, q) in it, in any case; a blank query matches the largest of all.
+
+    ``lakes`` has lake, name and area. Names meet queries by their runs of three
+    letters, so no query is compared with every name; shorter queries are
+    compared with each.
+    """
+    q = queries.withColumn("q", F.lower(F.trim("q")))
+    names = lakes.select("lake", "area", F.lower("name").alias("name"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
+    long = q.where(F.length("q") >= 3).withColumn("gram", F.substr("q", F.lit(1), F.lit(3)))
+    by_gram = names.withColumn("gram", F.explode(F.array_distinct(grams(F.col("name")))))
+    met = long.join(by_gram, "gram").select("id", "q", "lake", "area", "name")
+    short = q.where(F.length("q") < 3).withColumn("letters", F.col("q")).join(names.withColumn("letters", F.explode(_starts(F.col("name")))), "letters").select("id", "q", "lake", "area", "name")
+    hits = met.unionByName(short).where(F.expr("instr(name, q) > 0"))
+    return hits.groupBy("id").agg(F.min_by("lake", F.struct(-F.col("area"), F.col("lake"))).alias("lake"))
+
+
+def _starts(name: Column) -> Column:
+    """The runs of no, one and two letters of a name."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(at, lambda i: F.substr(name, i, F.lit(1))), F.transform(at, lambda i: F.substr(name, i, F.lit(2)))))
 
 
 def drawn(key: list[str], seed: int = 42):

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.operators.graph import components
 from limnos.operators.zonal import PIXEL_HA
 from limnos.storage import stage
 
@@ -40,10 +41,18 @@ def texture(px: DataFrame, value: str, height: int, width: int) -> DataFrame:
     return s.select(*LINE, "r", "c", F.round(mean, 4).alias("mean"), F.round(F.sqrt(F.greatest(F.col("ss") / 9 - mean * mean, F.lit(0.0))), 4).alias("std"))
 
 
-def built_share(px: DataFrame, radius: int) -> DataFrame:
-    """Share of built cells in the window, of the window's whole size."""
-    b = px.withColumn("b", F.coalesce((F.col("cls") == 3).cast("int"), F.lit(0)))
-    return box_sum(b, "b", radius, "n").select(*LINE, "r", "c", F.round(F.col("n") / float((2 * radius + 1) ** 2), 6).alias("share"))
+def built_share(px: DataFrame, radius: int, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Share of built cells in the window, of the window's whole size.
+
+    Cells beyond the grid count as not built or, where its size is given, as
+    their mirror images about the edge lines.
+    """
+    b = px.select(*LINE, "r", "c", F.coalesce((F.col("cls") == 3).cast("int"), F.lit(0)).alias("b"))
+    if height is not None and width is not None:
+        b = box_sum(mirrored(b, radius, height, width), "b", radius, "n").where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    else:
+        b = box_sum(b, "b", radius, "n")
+    return b.select(*LINE, "r", "c", F.round(F.col("n") / float((2 * radius + 1) ** 2), 6).alias("share"))
 
 
 def opened(px: DataFrame, mask: str) -> DataFrame:
@@ -89,33 +98,69 @@ def shoreline(zones: DataFrame, res: float = 20.0) -> DataFrame:
     return both.select("lake", "r", "c", F.when(F.col("a") == 0, -F.col("b")).otherwise(F.col("a")).alias("shore"))
 
 
-def patches(px: DataFrame, cls: int, least: int = 1) -> DataFrame:
-    """Connected patches (8 neighbours) of a class: every cell with its patch's smallest cell.
-
-    Runs of a row are found by windows and are the nodes; runs of neighbouring
-    rows that touch are linked; labels then spread by minimum and doubling until
-    none changes, each round written.
+def run_labels(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each cell, in order of rows and columns, the place of the first cell of its patch (8 neighbours)."""
+    n = len(r)
+    starts = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1))))
+    stops = np.append(starts[1:], n)
+    row, first, last = r[starts].tolist(), c[starts].tolist(), c[stops - 1].tolist()
+    parent = list(range(len(starts)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    above, here = 0, 0
+    while here < len(starts):  # two runs of rows next to each other are passed through together
+        if row[above] + 1 < row[here] or (row[above] + 1 == row[here] and last[above] + 1 < first[here]):
+            above += 1
+        elif above == here or row[above] == row[here] or first[above] > last[here] + 1:
+            here += 1
+        else:
+            x, y = find(above), find(here)
+            parent[max(x, y)] = min(x, y)
+            if last[above] < last[here]:
+                above += 1
+            else:
+                here += 1
+    return np.repeat(starts[[find(x) for x in range(len(starts))]], stops - starts)
+
+
+def patches(px: DataFrame, cls: int, least: int = 1, tile: int = 256) -> DataFrame:
+    """Connected patches (8 neighbours) of a class with ``least`` cells or more: every cell with its patch's smallest cell.
+
+    Each tile of a raster is labelled in one task. Only the labels that meet at
+    the tiles' borders are then linked and contracted, so the rounds grow with
+    the borders, not with the cells, and a patch of any size is many labels of
+    at most a tile's cells: no task holds more of it.
     """
-    row = Window.partitionBy(*LINE, "r").orderBy("c")
-    cells = px.where(F.col("cls") == cls).select(*LINE, "r", "c").withColumn("k", F.col("c") - F.row_number().over(row))
-    runs = cells.groupBy(*LINE, "r", "k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("k").withColumn("node", F.struct("r", "c0"))
-    runs = stage(runs, "patch-runs")
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = (F.col("a.lake") == F.col("b.lake")) & (F.col("a.yr") == F.col("b.yr")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.c0") <= F.col("b.c1") + 1) & (F.col("b.c0") <= F.col("a.c1") + 1)
-    half = a.join(b, touch).select("a.lake", "a.yr", F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = stage(half.unionByName(half.select("lake", "yr", F.col("v").alias("u"), F.col("u").alias("v"))), "patch-links")
-    labels = stage(runs.select(*LINE, "node", F.col("node").alias("label")), "patch-labels")
-    while True:
-        around = links.join(labels.withColumnRenamed("node", "v"), [*LINE, "v"]).groupBy(*LINE, F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(around, [*LINE, "node"], "left").select(*LINE, "node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        up = labels.select(*LINE, F.col("node").alias("low"), F.col("label").alias("above"))
-        new = stage(hooked.join(up, [*LINE, "low"], "left").select(*LINE, "node", F.least("low", F.coalesce("above", "low")).alias("new"), "label"), "patch-labels")
-        labels = new.select(*LINE, "node", F.col("new").alias("label"))
-        if new.where("new <> label").isEmpty():
-            break
-    out = runs.join(labels, [*LINE, "node"]).select(*LINE, "r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
-    n = F.count("*").over(Window.partitionBy(*LINE, "label"))
-    return out.withColumn("n", n).where(F.col("n") >= least).select(*LINE, "r", "c", F.concat_ws(",", "label.r", "label.c0").alias("patch"))
+    cells = px.where(F.col("cls") == cls).select(*LINE, "r", "c")
+    kinds = dict(cells.dtypes)
+    at = lambda c: F.floor(F.col(c) / tile)
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["r", "c"], ignore_index=True)
+        r, c = part["r"].to_numpy(), part["c"].to_numpy()
+        first = run_labels(r, c)
+        return part[[*LINE, "r", "c"]].assign(lr=r[first], lc=c[first])
+
+    dealt = cells.withColumns({"tr": at("r"), "tc": at("c")}).groupBy(*LINE, "tr", "tc")
+    inside = stage(dealt.applyInPandas(label, f"lake {kinds['lake']}, yr {kinds['yr']}, r {kinds['r']}, c {kinds['c']}, lr {kinds['r']}, lc {kinds['c']}"), "tile-patches")
+    edge = lambda c: F.pmod(c, F.lit(tile)).isin(0, tile - 1)
+    border = inside.where(edge(F.col("r")) | edge(F.col("c"))).withColumn("label", F.struct(*LINE, "lr", "lc"))
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    to = border.withColumn("s", F.explode(steps)).select(*LINE, (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"), "r", "c", F.col("label").alias("a"))
+    to = to.where((F.floor(F.col("nr") / tile) != at("r")) | (F.floor(F.col("nc") / tile) != at("c")))
+    links = to.join(border.select(*LINE, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("label").alias("b")), [*LINE, "nr", "nc"]).select("a", "b").distinct()
+    roots = components(links).select("node.*", F.struct("root.lr", "root.lc").alias("root"))
+    labels = inside.groupBy(*LINE, "lr", "lc").agg(F.count("*").alias("n")).join(roots, [*LINE, "lr", "lc"], "left").withColumn("root", F.coalesce("root", F.struct("lr", "lc")))
+    if least > 1:
+        labels = stage(labels, "patch-labels")
+        large = labels.groupBy(*LINE, "root").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
+        labels = labels.join(large, [*LINE, "root"])
+    out = inside.join(labels.select(*LINE, "lr", "lc", "root"), [*LINE, "lr", "lc"])
+    return out.select(*LINE, "r", "c", F.concat_ws(",", "root.lr", "root.lc").alias("patch"))
 
 
 def patch_table(cells: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from limnos.storage import stage
 
+#: Lakes whose sums are in the driver and in a task at once.
+HELD_LAKES = 2000
+
 
 def coverage(rows: DataFrame, group: str) -> DataFrame:
     """Share of values within their interval and the median width."""
@@ -32,36 +35,70 @@ def sufficient(panel: DataFrame, features: list[str], target: str) -> DataFrame:
     return rows.groupBy("lake").agg(F.array(*[F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a in names for b in names]).alias("products"))
 
 
-def _fit(stats: list[np.ndarray], p: int, ratio: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Coefficients, inverse information, residual variance and REML likelihood at a variance ratio."""
-    xx, xy, yy, n, logdet = np.zeros((p, p)), np.zeros(p), 0.0, 0.0, 0.0
+#: Of lakes with so many rows each: how many there are, the sums of their products and of the outer products of their first rows.
+Totals = dict[float, tuple[float, np.ndarray, np.ndarray]]
+
+
+def totals(stats: list[np.ndarray]) -> Totals:
+    out: Totals = {}
     for s in stats:
-        m = s[0, 0]
-        shrink = ratio / (1 + ratio * m)
-        w = s - shrink * np.outer(s[0], s[0])  # V^-1 applied to the cross products
-        xx, xy, yy = xx + w[:p, :p], xy + w[:p, p], yy + w[p, p]
-        n, logdet = n + m, logdet + math.log1p(ratio * m)
+        n, products, outer = out.get(s[0, 0], (0.0, 0.0, 0.0))
+        out[s[0, 0]] = n + 1, products + s, outer + np.outer(s[0], s[0])
+    return out
+
+
+def without(whole: Totals, *stats: np.ndarray) -> Totals:
+    """The totals with some of their lakes taken off."""
+    out = dict(whole)
+    for s in stats:
+        n, products, outer = out[s[0, 0]]
+        out[s[0, 0]] = n - 1, products - s, outer - np.outer(s[0], s[0])
+    return {m: t for m, t in out.items() if t[0] > 0.5}
+
+
+def total_products(sums: DataFrame, width: int) -> Totals:
+    """The totals of a table of ``sufficient`` rows, added up where they lie: a few numbers for each number of rows that a lake has."""
+    size = width * width
+    first = F.slice("products", 1, width)
+    outer = F.flatten(F.transform(first, lambda x: F.transform(first, lambda y: x * y)))
+    long = sums.select(F.col("products")[0].alias("m"), F.posexplode(F.concat("products", outer, F.array(F.lit(1.0)))).alias("at", "v"))
+    out: dict[float, np.ndarray] = {}
+    for r in long.groupBy("m", "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["m"], np.zeros(2 * size + 1))[r["at"]] = r["v"]
+    return {m: (v[-1], v[:size].reshape(width, width), v[size:-1].reshape(width, width)) for m, v in out.items()}
+
+
+def _fit(whole: Totals, p: int, ratio: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Coefficients, inverse information, residual variance and REML likelihood at a variance ratio.
+
+    A lake's covariance depends on its number of rows alone, so lakes with
+    equal numbers are one term, however many there are.
+    """
+    w, n, logdet = np.zeros((p + 1, p + 1)), 0.0, 0.0
+    for m, (lakes, products, outer) in whole.items():
+        w = w + products - ratio / (1 + ratio * m) * outer  # V^-1 applied to the cross products
+        n, logdet = n + lakes * m, logdet + lakes * math.log1p(ratio * m)
+    xx, xy, yy = w[:p, :p], w[:p, p], w[p, p]
     beta = np.linalg.solve(xx, xy)
     sse = max(yy - xy @ beta, 1e-300)
     var = sse / (n - p)
     return beta, np.linalg.inv(xx), var, -0.5 * ((n - p) * (math.log(2 * math.pi * var) + 1) + logdet + np.linalg.slogdet(xx)[1])
 
 
-def reml(stats: list[np.ndarray], p: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+def reml(whole: Totals, p: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """_fit at the variance ratio of the largest likelihood, and that ratio."""
     lo, hi = -12.0, 8.0
     for _ in range(80):
         a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
-        lo, hi = (lo, b) if _fit(stats, p, math.exp(a))[3] > _fit(stats, p, math.exp(b))[3] else (a, hi)
+        lo, hi = (lo, b) if _fit(whole, p, math.exp(a))[3] > _fit(whole, p, math.exp(b))[3] else (a, hi)
     ratio = math.exp((lo + hi) / 2)
-    return *_fit(stats, p, ratio), ratio
+    return *_fit(whole, p, ratio), ratio
 
 
 def random_intercept(panel: DataFrame, features: list[str], target: str) -> dict:
-    """REML fit of target ~ 1 + features + (1 | lake) from one row of sums a lake."""
+    """REML fit of target ~ 1 + features + (1 | lake) from sums over lakes with equal numbers of rows."""
     p = 1 + len(features)
-    stats = [np.array(r["products"]).reshape(p + 1, p + 1) for r in sufficient(panel, features, target).collect()]
-    beta, inverse, var, like, ratio = reml(stats, p)
+    beta, inverse, var, like, ratio = reml(total_products(sufficient(panel, features, target), p + 1), p)
     se = np.sqrt(np.diag(inverse) * var)
     return {"names": ["intercept", *features], "coef": beta.tolist(), "se": se.tolist(), "group_var": float(ratio * var), "residual_var": float(var), "loglik": float(like)}
 
@@ -75,26 +112,39 @@ def coefficients(spark: SparkSession, fit: dict, z: float = 1.959964) -> DataFra
 def jackknife_plus(panel: DataFrame, features: list[str], target: str, alpha: float = 0.1) -> DataFrame:
     """Jackknife+ intervals of the random-intercept model with whole lakes left out: lake, yr, y, pred, lo, hi.
 
-    Each test lake is a task of its own: it fits without it, and without it and
-    each other lake in turn, on one row of sums a lake. Fixed effects predict,
-    since a test lake's intercept is unknown. An interval whose order statistic
-    lies beyond the residuals is open (infinite) on that side. Rows with nulls
-    are left out.
+    Each test lake's row of sums is taken off the totals, and each other lake's
+    in turn, so a fit costs the same for any number of lakes. The other lakes
+    come in blocks of HELD_LAKES, which is what the driver and a task hold.
+    Fixed effects predict, since a test lake's intercept is unknown. An interval
+    whose order statistic lies beyond the residuals is open (infinite) on that
+    side. Rows with nulls are left out.
     """
     p = 1 + len(features)
     sums = stage(sufficient(panel, features, target), "lake-sums")
-    known = {r["lake"]: np.array(r["products"]).reshape(p + 1, p + 1) for r in sums.collect()}  # (p + 1)^2 numbers a lake
-
-    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for test in batch["lake"]:
-                rest = {k: v for k, v in known.items() if k != test}
-                found = [(test, held, reml([v for k, v in rest.items() if k != held], p)[0].tolist()) for held in rest]
-                yield pd.DataFrame([*found, (test, None, reml(list(rest.values()), p)[0].tolist())], columns=["test", "held", "beta"]).astype({"held": object})
-
+    whole = total_products(sums, p + 1)
     kind = panel.schema["lake"].dataType.simpleString()
-    apart = sums.select("lake").repartition(max(1, min(len(known), 1000)), "lake")
-    left = stage(apart.mapInPandas(fits, f"test {kind}, held {kind}, beta array<double>"), "fits-without-lakes")
+    lakes = sums.count()
+    blocks = max(1, -(-lakes // HELD_LAKES))
+
+    def fits(held: list[tuple], alone: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for test, products in zip(batch["lake"], batch["products"], strict=True):
+                    rest = without(whole, np.array(products).reshape(p + 1, p + 1))
+                    found = [(test, lake, reml(without(rest, np.array(s).reshape(p + 1, p + 1)), p)[0].tolist()) for lake, s in held if lake != test]
+                    if alone:
+                        found.append((test, None, reml(rest, p)[0].tolist()))
+                    yield pd.DataFrame(found, columns=["test", "held", "beta"]).astype({"held": object})
+
+        return run
+
+    left = None
+    tests = sums.repartition(max(1, min(lakes, 1000)), "lake")
+    for block in range(blocks):
+        held = [(r["lake"], r["products"]) for r in sums.where(F.pmod(F.xxhash64("lake"), F.lit(blocks)) == block).collect()]
+        part = tests.mapInPandas(fits(held, block == 0), f"test {kind}, held {kind}, beta array<double>")
+        left = part if left is None else left.unionByName(part)
+    left = stage(left, "fits-without-lakes")
     rows = panel.dropna(subset=[*features, target]).select("lake", "yr", F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y"))
     predict = lambda x, b: F.aggregate(F.zip_with(x, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
     held = rows.join(left, F.col("lake") == F.col("held")).select("test", "held", F.abs(F.col("y") - predict(F.col("x"), F.col("beta"))).alias("residual"))

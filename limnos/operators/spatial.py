@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limnos.storage import stage
+
 
 def crosses(x: Column, y: Column) -> Column:
     """Whether a ray from (x, y) to the right crosses the edge (x1, y1)-(x2, y2)."""
@@ -25,20 +27,65 @@ def edge_distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.pow(x - F.col("x1") - t * dx, 2) + F.pow(y - F.col("y1") - t * dy, 2))
 
 
-def near_polygons(points: DataFrame, edges: DataFrame, reach: float, cell: float = 8.0) -> DataFrame:
-    """(id, lake, inside, distance) of points in a polygon or within ``reach`` of it.
+def in_cells(lo: Column, hi: Column, cell: float) -> Column:
+    return F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+
+
+def boxes(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("lake").agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
+
+
+def banded(edges: DataFrame, cell: float) -> DataFrame:
+    """Each edge once for every band of rows (cy) that it has a part in."""
+    return edges.withColumn("cy", in_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell))
+
+
+def reached(edges: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Each edge once for every cell (cx, cy) with a point within ``reach`` of it, and few others.
+
+    In each band of rows only the piece of the edge that lies within reach of
+    the band is widened, so a long edge has cells along it and not in its box.
+    """
+    bands = edges.withColumn("cy", in_cells(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, cell))
+    dy, dx, flat = F.nullif(F.col("y2") - F.col("y1"), F.lit(0)), F.col("x2") - F.col("x1"), F.col("y1") == F.col("y2")
+    part = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / dy))
+    a, b = F.when(flat, 0.0).otherwise(part(F.col("cy") * cell - reach)), F.when(flat, 1.0).otherwise(part((F.col("cy") + 1) * cell + reach))
+    xa, xb = F.col("x1") + a * dx, F.col("x1") + b * dx
+    slack = 1e-9 * (1 + F.greatest(F.abs("x1"), F.abs("x2")))  # a cut end may round across a cell's side
+    return bands.withColumn("cx", in_cells(F.least(xa, xb) - reach - slack, F.greatest(xa, xb) + reach + slack, cell))
+
+
+def near_polygons(points: DataFrame, edges: DataFrame, reach: float, cell: float = 8.0, deep: bool = False) -> DataFrame:
+    """(id, x, y, lake, inside, distance) of points in a polygon or within ``reach`` of it.
 
     Each polygon's box, widened by the reach, is laid on a grid of cells; points
-    meet the polygons of their own cell by an equi-join, then exactly.
+    meet the polygons of their own cell. Crossings are then counted with the
+    edges of the point's own band of rows, and distances taken to the edges
+    that reach its cell, both by equi-joins: an outline of any number of edges
+    is dealt to bands and cells, and meets a point with few of them. The
+    distance of a point farther inside is null, or found if ``deep``.
     """
-    boxes = edges.groupBy("lake").agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
-    span = lambda lo, hi: F.sequence(F.floor((lo - reach) / cell), F.floor((hi + reach) / cell))
-    cells = boxes.withColumn("cx", F.explode(span(F.col("bx0"), F.col("bx1")))).withColumn("cy", F.explode(span(F.col("by0"), F.col("by1"))))
+    outlines = boxes(edges)
+    cells = outlines.withColumn("cx", in_cells(F.col("bx0") - reach, F.col("bx1") + reach, cell)).withColumn("cy", in_cells(F.col("by0") - reach, F.col("by1") + reach, cell))
     placed = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     in_box = F.col("x").between(F.col("bx0") - reach, F.col("bx1") + reach) & F.col("y").between(F.col("by0") - reach, F.col("by1") + reach)
-    pairs = placed.join(cells, ["cx", "cy"]).where(in_box).select("id", "x", "y", "lake")
-    exact = pairs.join(edges, "lake").groupBy("id", "x", "y", "lake").agg((F.count_if(crosses(F.col("x"), F.col("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(F.col("x"), F.col("y"))).alias("distance"))
-    return exact.where(F.col("inside") | (F.col("distance") <= reach))
+    pairs = placed.join(cells, ["cx", "cy"]).where(in_box).select("id", "x", "y", "lake", "cx", "cy")
+    key, x, y = ["id", "x", "y", "lake"], F.col("x"), F.col("y")
+    crossing = pairs.join(banded(edges, cell), ["lake", "cy"]).select(*key, crosses(x, y).cast("int").alias("crossed"), F.lit(None).cast("double").alias("distance"))
+    close = pairs.join(reached(edges, reach, cell), ["lake", "cx", "cy"]).select(*key, F.lit(0).alias("crossed"), edge_distance(x, y).alias("distance"))
+    both = crossing.unionByName(close.where(F.col("distance") <= reach)).groupBy(*key).agg((F.coalesce(F.sum("crossed"), F.lit(0)) % 2 == 1).alias("inside"), F.min("distance").alias("distance"))
+    near = both.where(F.col("inside") | F.col("distance").isNotNull())
+    if not deep:
+        return near
+    found = stage(near, "near-polygons")
+    out, rest, step = found.where("distance is not null"), found.where("distance is null"), max(reach, cell / 2)
+    while not rest.isEmpty():  # each round looks four times as far, so there are few
+        step *= 4
+        here = rest.drop("distance").withColumn("cx", F.floor(F.col("x") / step)).withColumn("cy", F.floor(F.col("y") / step))
+        seen = here.join(reached(edges, step, step), ["lake", "cx", "cy"], "left").groupBy(*key, "inside").agg(F.min(edge_distance(x, y)).alias("distance"))
+        seen = stage(seen.withColumn("distance", F.when(F.col("distance") <= step, F.col("distance"))), "deep-points")
+        out, rest = out.unionByName(seen.where("distance is not null")), seen.where("distance is null")
+    return out
 
 
 def counts_in_zones(points: DataFrame, edges: DataFrame, rings: dict[str, float]) -> DataFrame:
@@ -103,13 +150,13 @@ def length_within(lines: DataFrame, edges: DataFrame, reach: float) -> DataFrame
     """
     s = segments(lines).withColumn("dx", F.col("x2") - F.col("x1")).withColumn("dy", F.col("y2") - F.col("y1")).where("dx <> 0 or dy <> 0")
     s = s.select("id", "v", F.col("x1").alias("ax"), F.col("y1").alias("ay"), "dx", "dy")
-    boxes = edges.groupBy("lake").agg(F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"), F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"))
     cell = 8.0
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    there = boxes.withColumn("cx", span(F.col("bx0") - reach, F.col("bx1") + reach)).withColumn("cy", span(F.col("by0") - reach, F.col("by1") + reach)).select("lake", "cx", "cy")
     ends = lambda a, d: (F.least(F.col(a), F.col(a) + F.col(d)), F.greatest(F.col(a), F.col(a) + F.col(d)))
-    here = s.withColumn("cx", span(*ends("ax", "dx"))).withColumn("cy", span(*ends("ay", "dy")))
-    pairs = here.join(there, ["cx", "cy"]).select("id", "v", "lake", "ax", "ay", "dx", "dy").distinct()
+    here = s.withColumn("cx", in_cells(*ends("ax", "dx"), cell)).withColumn("cy", in_cells(*ends("ay", "dy"), cell))
+    there = boxes(edges).withColumn("cx", in_cells(F.col("bx0") - reach, F.col("bx1") + reach, cell)).withColumn("cy", in_cells(F.col("by0") - reach, F.col("by1") + reach, cell)).select("lake", "cx", "cy")
+    key = ["id", "v", "lake", "ax", "ay", "dx", "dy"]
+    pairs = here.join(there, ["cx", "cy"]).select(key).distinct()
+    sides = here.join(reached(edges, reach, cell), ["cx", "cy"]).select(*key, "x1", "y1", "x2", "y2").distinct()
 
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     cross = F.col("dx") * ey - F.col("dy") * ex
@@ -120,13 +167,14 @@ def length_within(lines: DataFrame, edges: DataFrame, reach: float) -> DataFrame
         b = F.col("dx") * (F.col("ax") - F.col(px)) + F.col("dy") * (F.col("ay") - F.col(py))
         c = F.pow(F.col("ax") - F.col(px), 2) + F.pow(F.col("ay") - F.col(py), 2) - reach * reach
         at += [F.when(b * b >= a * c, (-b + F.lit(sign) * F.sqrt(b * b - a * c)) / a) for sign in (-1.0, 1.0)]
-    cuts = pairs.join(edges, "lake").select("id", "v", "lake", "ax", "ay", "dx", "dy", F.explode(F.array(F.lit(0.0), F.lit(1.0), *at)).alias("t")).where("t between 0 and 1")
+    whole = pairs.select(*key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    cuts = whole.unionByName(sides.select(*key, F.explode(F.array(*at)).alias("t"))).where("t between 0 and 1")
     cuts = cuts.withColumn("t", F.round("t", 12)).distinct()
     pieces = cuts.withColumn("u", F.lead("t").over(Window.partitionBy("id", "v", "lake").orderBy("t"))).where("u is not null")
     middle = (F.col("t") + F.col("u")) / 2
-    pieces = pieces.select("id", "v", "lake", "t", (F.col("ax") + middle * F.col("dx")).alias("x"), (F.col("ay") + middle * F.col("dy")).alias("y"), ((F.col("u") - F.col("t")) * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("piece"))
-    judged = pieces.join(edges, "lake").groupBy("id", "v", "lake", "t", "piece").agg((F.count_if(crosses(F.col("x"), F.col("y"))) % 2 == 1).alias("inside"), F.min(edge_distance(F.col("x"), F.col("y"))).alias("distance"))
-    return judged.where(F.col("inside") | (F.col("distance") <= reach)).groupBy("lake").agg(F.round(F.sum("piece"), 3).alias("length"))
+    long = (F.col("u") - F.col("t")) * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    points = pieces.select(F.struct("id", "v", "t", F.col("lake").alias("of"), long.alias("piece")).alias("id"), (F.col("ax") + middle * F.col("dx")).alias("x"), (F.col("ay") + middle * F.col("dy")).alias("y"))
+    return near_polygons(points, edges, reach).where(F.col("lake") == F.col("id.of")).groupBy("lake").agg(F.round(F.sum("id.piece"), 3).alias("length"))
 
 
 def areas_on_sphere(edges: DataFrame) -> DataFrame:
@@ -139,7 +187,7 @@ def areas_on_sphere(edges: DataFrame) -> DataFrame:
 
 def nearest(points: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
     """The polygon that contains a point, else the nearest within reach."""
-    near = near_polygons(points, edges, reach)
+    near = near_polygons(points, edges, reach, deep=True)
     w = Window.partitionBy("id").orderBy((~F.col("inside")).cast("int"), F.when(F.col("inside"), 0.0).otherwise(F.col("distance")), "lake")
     return near.withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "lake", "inside", F.round("distance", 4).alias("distance"))
 

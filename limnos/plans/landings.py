@@ -170,6 +170,42 @@ def ingested(px: DataFrame) -> DataFrame:
 panel_query("o_str_1_ingest", "select lake, yr, r, c, nir from fx_pixels", ingested, ("fx_pixels",))
 
 
+def ingested_in_parts(px: DataFrame) -> DataFrame:
+    """Every lake's and year's pixels landed in two parts, the first of them twice, and ingested after each drop and anew."""
+    spark = px.sparkSession
+    drops, store = (new_path(spark, n) for n in ("drops", "store"))
+    rows = px.select("lake", "yr", "r", "c", "nir")
+    for k, part in enumerate((rows.where("(r + c) % 2 = 0"), rows.where("(r + c) % 2 = 1"), rows.where("(r + c) % 2 = 0"))):
+        part.write.mode("append").parquet(drops)
+        checkpoint = new_path(spark, f"ingest-{k % 2}")  # a lost checkpoint reads no stored file again
+        feeds.ingest_scenes(spark, drops, rows.schema, store, checkpoint).awaitTermination()
+    told = feeds.read_manifest(spark, store).groupBy("lake", "yr").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("entries"))
+    return feeds.read_store(spark, store, rows.schema).join(told, ["lake", "yr"]).groupBy("lake", "yr").agg(F.count("*").alias("n"), F.sum("nir").alias("nir"), (F.max("parts") == F.max("entries")).alias("once"))
+
+
+panel_query("o_str_1_parts", "select lake, yr, count(*) as n, sum(nir)::bigint as nir, true as once from fx_pixels group by lake, yr", ingested_in_parts, ("fx_pixels",))
+
+
+@query("o_str_2_stream", """with per as (select cast(ts as date) as day, sum(value) as rain from events group by all), s as (select day, rain, unnest(range(31)) as k from per)
+select (day + k::int)::varchar as d, round(sum(rain), 4) as rain, count(*) as days from s group by day + k::int""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream of files by day, each followed by a drop of readings that come a day late and of repeated ones, and a last reading far ahead that closes all windows."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    drops, store, checkpoint = (new_path(spark, n) for n in ("feed", "rolled", "rolling"))
+    # a reading comes with its own day, or a day late; some come again with the day after
+    day = F.datediff("ts", F.lit("2000-01-01").cast("date"))
+    timely = rows.withColumn("drop", day + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
+    again = rows.where(F.col("event_id") % 7 == 0).withColumn("drop", day + 1)
+    ahead = rows.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(0.0).alias("value"), (F.max(day) + 2).alias("drop"))
+    every = timely.unionByName(again).unionByName(ahead)
+    for r in every.select("drop").distinct().orderBy("drop").collect():  # a file a day, in order
+        every.where(F.col("drop") == r["drop"]).drop("drop").coalesce(1).write.mode("append").parquet(drops)
+    feeds.rolled_stream(spark, drops, rows.schema, store, checkpoint).awaitTermination()
+    out = spark.read.schema("d date, rain double, days long").parquet(store)
+    last = rows.agg(F.to_date(F.max("ts")).alias("last"))
+    return out.crossJoin(F.broadcast(last)).where(F.col("d") <= F.date_add("last", 30)).select(F.col("d").cast("string").alias("d"), "rain", "days")
+
+
 @query("o_risk_1_water_model")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Water share by year and standardised rain, with a random intercept a lake."""

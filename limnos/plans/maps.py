@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.functions import geo
 from limnos.functions import spectral as S
 from limnos.operators import evaluate, forecasts, models, outlines, panel, raster, resample, spatial, zonal
 from limnos.plans.fixtures import view
-from limnos.plans.queries import BAD, MNDWI, SCORES, moving, scores
+from limnos.plans.queries import BAD, LL_ETA, LL_PHI, LL_XI, MIRRORED, MNDWI, SCORES, UTM_T, UTM_X, UTM_Y, moving, scores
 from limnos.plans.registry import panel_query, query
 
 GRID = ("fx_grid",)
@@ -25,8 +26,7 @@ def box_sql(source: str, value: str, radius: int, name: str) -> str:
 
 TEXTURE = ", g as (select lake, yr, r, c, swir16::double as v from fx_grid), o as (select unnest([-1, 0, 1]) as o), k as (select g.lake, g.yr, g.r, g.c, case when g.r + a.o < 0 then 1 when g.r + a.o > 31 then 30 else g.r + a.o end as nr, case when g.c + b.o < 0 then 1 when g.c + b.o > 31 then 30 else g.c + b.o end as nc from g cross join o a cross join o b) select k.lake, k.yr, k.r, k.c, round(sum(v) / 9, 4) as mean, round(sqrt(greatest(sum(v * v) / 9 - sum(v) / 9 * sum(v) / 9, 0.0::double)), 4) as std from k join g on g.lake = k.lake and g.yr = k.yr and g.r = k.nr and g.c = k.nc group by k.lake, k.yr, k.r, k.c"
 panel_query("o_ras_1_texture_swir", TEXTURE, lambda g: raster.texture(g, "swir16", 32, 32), GRID)
-BUILT = ", m as (select *, case when cls = 3 then 1 else 0 end as b from fx_grid), "
-panel_query("o_ras_2_built_share_300", BUILT + box_sql("m", "b", 15, "n") + f" {PLACES}, round(n / 961.0::double, 6) as share from n", lambda g: raster.built_share(g, 15), GRID)
+panel_query("o_ras_2_built_share_300", MIRRORED.format(15, "961.0"), lambda g: raster.built_share(g, 15, 32, 32), GRID)
 OPEN = box_sql("m", "m", 1, "e") + ", f as (select * exclude (e, e_s), case when e = 9 then 1 else 0 end as e from e), " + box_sql("f", "e", 1, "d")
 panel_query("o_ras_5_opening", ", m as (select lake, yr, r, c, case when scl between 4 and 7 then 1 else 0 end as m from fx_grid), " + OPEN + f" {PLACES}, d > 0 as opened from d", lambda g: raster.opened(g.withColumn("land", F.col("scl").between(4, 7)), "land").select("lake", "yr", "r", "c", "opened"), GRID)
 panel_query("o_ras_6_distance", ", b as (select lake, yr, r, c from fx_grid where cls = 3) select a.lake, a.yr, a.r, a.c, round(least(coalesce(min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) * 20, 2000.0), 2000.0)::double, 4) as distance from fx_grid a left join b on a.lake = b.lake and a.yr = b.yr group by a.lake, a.yr, a.r, a.c", lambda g: raster.distance_to(g.withColumn("built", F.coalesce(F.col("cls") == 3, F.lit(False))), "built", 2000.0), GRID)
@@ -57,6 +57,18 @@ WEIGHT = "(1 - abs((f.r + 0.5) / 3 - 0.5 - p.r)) * (1 - abs((f.c + 0.5) / 3 - 0.
 panel_query("o_ras_10_bilinear", f""", s as (select unnest([0, 1, 2]) as i), f as (select x.r * 3 + a.i as r, x.c * 3 + b.i as c from fx_rc x cross join s a cross join s b)
 select p.lake, p.yr, f.r::int as r, f.c::int as c, round(sum({WEIGHT} * p.nir) / sum({WEIGHT}), 4) as nir from fx_pixels p join f on f.r between p.r * 3 - 3 and p.r * 3 + 5 and f.c between p.c * 3 - 3 and p.c * 3 + 5
 where abs((f.r + 0.5) / 3 - 0.5 - p.r) < 1 and abs((f.c + 0.5) / 3 - 0.5 - p.c) < 1 group by p.lake, p.yr, f.r, f.c""", lambda p, rc: resample.bilinear(p, "nir", 3, 32, 32), ("fx_pixels", "fx_rc"))
+#: A raster of zone 43 on a grid of zone 44, six degrees of longitude east, by way of longitude and latitude.
+NORTH = resample.Grid(43, 780000.0, 1440640.0, 20.0, 32, 32)
+EAST = resample.Grid(44, 129900.0, 1441500.0, 20.0, 40, 40)
+KR = repr(geo.K0 * geo.RADIUS)
+ON_EAST = f""", tg as (select a.n as r, b.n as c from (select unnest(range(40)) as n) a cross join (select unnest(range(40)) as n) b),
+ta as (select r, c, (1441500.0::double - (r + 0.5) * 20) / {KR}::double as xi, (129900.0::double + (c + 0.5) * 20 - 500000) / {KR}::double as eta from tg), tb as (select r, c, {LL_XI} as xi1, {LL_ETA} as eta1 from ta),
+tc as (select *, asin(sin(xi1) / cosh(eta1)) as chi from tb), td as (select r, c, 81 + degrees(atan2(sinh(eta1), cos(xi1))) as lon, degrees({LL_PHI}) as lat from tc),
+te as (select r, c, radians(lat) as phi, radians(lon - 75) as lam from td), tf as (select r, c, lam, {UTM_T} as t from te), th as (select r, c, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from tf),
+ti as (select r, c, (({UTM_X}) * {KR}::double + 500000 - 780000) / 20 as fc, (1440640 - ({UTM_Y}) * {KR}::double) / 20 as fr from th), ra as (select distinct lake, yr from fx_pixels)"""
+panel_query("o_ras_10_reprojected", ON_EAST + """, s as (select unnest([0, 0, 1, 1]) as i, unnest([0, 1, 0, 1]) as j), n as (select r, c, floor(fr - 0.5)::int + i as sr, floor(fc - 0.5)::int + j as sc, (1 - abs(fr - 0.5 - (floor(fr - 0.5) + i))) * (1 - abs(fc - 0.5 - (floor(fc - 0.5) + j))) as w from ti cross join s)
+select ra.lake, ra.yr, n.r::int as r, n.c::int as c, round(coalesce(sum(w * p.nir) filter (where p.nir is not null) / nullif(sum(w) filter (where p.nir is not null), 0), 0)::double, 4) as nir from ra cross join n left join fx_pixels p on p.lake = ra.lake and p.yr = ra.yr and p.r = n.sr and p.c = n.sc and p.nir <> 0 group by ra.lake, ra.yr, n.r, n.c""", lambda p: resample.reprojected(p, "nir", NORTH, EAST), ("fx_pixels",))
+panel_query("o_ras_10_reprojected_codes", ON_EAST + " select ra.lake, ra.yr, ti.r::int as r, ti.c::int as c, coalesce(p.scl, 0)::double as scl from ra cross join ti left join fx_pixels p on p.lake = ra.lake and p.yr = ra.yr and p.r = floor(fr)::int and p.c = floor(fc)::int", lambda p: resample.reprojected(p, "scl", NORTH, EAST, "nearest"), ("fx_pixels",))
 MIRROR = "case when g.r + a.o < 0 then 1 when g.r + a.o > 31 then 30 else g.r + a.o end as nr, case when g.c + b.o < 0 then 1 when g.c + b.o > 31 then 30 else g.c + b.o end as nc"
 panel_query("o_ras_12_sharpness_noise", f""", g as (select lake, yr, r, c, (nir % 256)::double as v from fx_grid), o as (select unnest([-1, 0, 1]) as o),
 k as (select g.lake, g.yr, g.r, g.c, a.o as i, b.o as j, {MIRROR} from g cross join o a cross join o b),

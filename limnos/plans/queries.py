@@ -109,6 +109,14 @@ def _(spark, sf):
     return b.select("lake", lo.alias("minx"), hi.alias("maxx"), wide.alias("clipped"))
 
 
+@query("o_prj_12_clip", """, b as (select lake, min(x1) * 20.0 - 7 as minx, max(x1) * 20.0 + 3 as maxx, avg(x1) * 20.0 as mid from fx_edges group by lake)
+select lake, cast(floor(case when maxx - minx > 400 then mid - 200 else minx end / 20) * 20 as double) as minx, cast(ceil(case when maxx - minx > 400 then mid + 200 else maxx end / 20) * 20 as double) as maxx, maxx - minx > 400 as clipped from b""", ("fx_edges",))
+def _(spark, sf):
+    b = view(spark, sf, "fx_edges").groupBy("lake").agg((F.min("x1") * 20.0 - 7).alias("a"), (F.max("x1") * 20.0 + 3).alias("b"), (F.avg("x1") * 20.0).alias("mid"))
+    lo, hi, cut = geo.centred(F.col("a"), F.col("b"), F.col("mid"), 20.0, 400.0)
+    return b.select("lake", lo.alias("minx"), hi.alias("maxx"), cut.alias("clipped"))
+
+
 @query("o_prj_13_hectares", "select lake, round(count(*) filter (where inside) * 0.04::double, 2) as ha, round(count(*) filter (where inside) * 0.04::double * 2.471054::double, 4) as acres, count(*) filter (where inside) * 0.04::double * 2.471054::double > 20 as big from fx_zones group by lake", ("fx_zones",))
 def _(spark, sf):
     n = F.count_if("inside") * zonal.PIXEL_HA
@@ -184,7 +192,26 @@ def _(spark, sf):
 @query("o_prj_25_warnings", """, m as (select lake, max(yr) as y from fx_panel group by lake), e as (select p.lake, median(built_px) filter (where yr < y) as earlier, max(built_px) filter (where yr = y) as last from fx_panel p join m using (lake) group by p.lake)
 select lake, earlier, last, earlier >= 50 and last < earlier / 4 as warned from e""", ("fx_panel",))
 def _(spark, sf):
-    return panel.warnings(view(spark, sf, "fx_panel"))
+    return panel.warnings(view(spark, sf, "fx_panel")).select("lake", "earlier", "last", "warned")
+
+
+@query("o_prj_25_reasons", """, m as (select lake, max(yr) as y from fx_panel group by lake), e as (select p.lake, median(built_px) filter (where yr < y) as earlier, max(built_px) filter (where yr = y) as last from fx_panel p join m using (lake) group by p.lake),
+f as (select lake, 2 * count(*) filter (where cls = 3 and dw % 4 = 3) / (count(*) filter (where cls = 3) + count(*) filter (where dw % 4 = 3))::double as f1 from fx_pixels group by lake)
+select e.lake, concat_ws(',', case when f1 < 0.30 then 'built F1' end, case when earlier >= 50 and last < earlier / 4 then 'built fell' end) as reasons from e join f using (lake)""", ("fx_panel", "fx_pixels"))
+def _(spark, sf):
+    """Reasons not to rely on a lake: its fall of built land, and the F1 of built land against the external layer."""
+    cm = evaluate.confusion(view(spark, sf, "fx_pixels").select("lake", F.col("cls").alias("truth"), (F.col("dw") % 4).alias("pred")), "lake")
+    f1 = evaluate.class_metrics(cm, "lake").where("cls = 3").select("lake", F.col("f1").alias("f1_built"))
+    return panel.warnings(view(spark, sf, "fx_panel"), f1).select("lake", F.concat_ws(",", "warnings").alias("reasons"))
+
+
+@query("o_prj_29_first_match", """with q as (select s_suppkey as id, ' ' || case when s_suppkey % 3 = 0 then substr(s_name, 8, 4 + (s_suppkey % 9)::int) else 'ation_' || s_suppkey % 30 end as q from supplier),
+l as (select n_nationkey as lake, case when n_nationkey % 2 = 0 then 'Lake ' || n_name else n_name || '#000000' end as name, (n_nationkey * 7) % 11 as area from nation),
+h as (select id, lake, row_number() over (partition by id order by area desc, lake) as k from q join l on contains(lower(name), lower(trim(q)))) select id, lake from h where k = 1""")
+def _(spark, sf):
+    q = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.concat(F.lit(" "), F.when(F.col("s_suppkey") % 3 == 0, F.substr("s_name", F.lit(8), (4 + F.col("s_suppkey") % 9).cast("int"))).otherwise(F.concat(F.lit("ation_"), (F.col("s_suppkey") % 30).cast("string")))).alias("q"))
+    lakes = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("lake"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Lake "), "n_name")).otherwise(F.concat("n_name", F.lit("#000000"))).alias("name"), ((F.col("n_nationkey") * 7) % 11).alias("area"))
+    return panel.first_match(q, lakes)
 
 
 @query("o_prj_27_index_100", ", f as (select lake, arg_min(water, yr) as w from fx_fractions group by lake) select lake, yr, round(water / nullif(w, 0) * 100, 3) as idx from fx_fractions join f using (lake)", ("fx_fractions",))
@@ -351,7 +378,7 @@ panel_query("o_chg_3_index_change", "select lake, r, c, yr, case when lag(yr) ov
 panel_query("o_win_6_best_scene", "select id, yr, d::varchar as d, cloud, tile, lake from (select *, row_number() over (partition by lake, yr order by cloud, id) as k from fx_scenes) where k = 1", lambda s: panel.best_per_group(s, "lake", "yr").withColumn("d", F.col("d").cast("string")), ("fx_scenes",))
 panel_query("o_win_7_latest_version", "select 'S2_' || tile || '_' || yr as scene_key, max('S2_' || tile || '_' || yr || '_' || (id % 7) || '_L2A') as scene, count(*) as versions from fx_scenes group by tile, yr", lambda s: panel.latest_version(s.select(F.concat_ws("_", F.lit("S2"), "tile", "yr", F.col("id") % 7, F.lit("L2A")).alias("scene"))), ("fx_scenes",))
 panel_query("o_win_8_folds", ", a as (select lake, count(*) as area from fx_zones where inside group by lake), r as (select *, row_number() over (order by area desc, lake) - 1 as k, count(*) over () as n from a) select r.k as fold, r.lake as test, v.lake as val, string_agg(o.lake::varchar, ',' order by o.lake) as train from r join r v on v.k = (r.k + 1) % r.n join r o on o.lake not in (r.lake, v.lake) group by r.k, r.lake, v.lake", lambda z: panel.folds(z.where("inside").groupBy("lake").agg(F.count("*").alias("area"))), ("fx_zones",))
-panel_query("o_win_9_order_statistics", ", k as (select lake, water as value, row_number() over (partition by lake order by water) as k, count(*) over (partition by lake) as n from fx_fractions) select lake, max(value) filter (where k = floor(0.2 * (n + 1))) as lo, max(value) filter (where k = ceil(0.8 * (n + 1))) as hi from k group by lake", lambda p: panel.order_statistic(p.select("lake", F.col("water").alias("value")), 0.2))
+panel_query("o_win_9_order_statistics", ", k as (select lake, water as value, row_number() over (partition by lake order by water) as k, count(*) over (partition by lake) as n from fx_fractions) select lake, coalesce(max(value) filter (where k = floor(0.2 * (n + 1))), '-inf'::double) as lo, coalesce(max(value) filter (where k = ceil(0.8 * (n + 1))), 'inf'::double) as hi from k group by lake", lambda p: evaluate.order_statistics(p, "lake", "water", 0.2))
 panel_query("o_agg_34_year_matrix", "select lake, " + ", ".join(f"max(water) filter (where yr = {y}) as y{y}" for y in range(1995, 2002)) + " from fx_fractions group by lake", lambda p: panel.year_matrix(p, "water", list(range(1995, 2002))))
 panel_query("o_agg_21_correlations", " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 4) as r from fx_fractions" for a in ("water", "veg", "built") for b in ("water", "veg", "built")), lambda p: panel.correlations(p, ["water", "veg", "built"]))
 panel_query("o_agg_22_constant_columns", "select 'k' as name, (select max(n) = 1 from (select count(distinct k) as n from fx_disc group by lake)) as constant union all select 'd2', (select max(n) = 1 from (select count(distinct d2) as n from fx_disc group by lake))", lambda z: panel.constant_columns(z, "lake", ["k", "d2"]), ("fx_disc",))
@@ -417,21 +444,41 @@ WILQ = ", d as (select lake, round(water - built, 9) as d from fx_fractions wher
 panel_query("o_ml_5_wilcoxon", WILQ, lambda p: evaluate.wilcoxon(p.select("lake", F.col("water").alias("a"), F.col("built").alias("b")), "lake"))
 panel_query("o_prj_26_jn_17_decision", "select round(avg(water), 6) as mean_a, round(avg(built), 6) as mean_b, round(avg(built) - avg(water), 6) as gain, count(*) filter (where built > water) as improved, case when avg(built) - avg(water) >= 0.02 then 'b' else 'a' end as recommended from fx_fractions", lambda p: evaluate.decision(p.select(F.col("water").alias("a"), F.col("built").alias("b"))))
 panel_query("o_agg_26_fold_summary", "select 'm' || (yr % 2) as model, round(avg(water), 6) as mean_f1, min(water) as min_f1, max(water) as max_f1 from fx_fractions group by yr % 2", lambda p: evaluate.fold_summary(p.select(F.concat(F.lit("m"), F.col("yr") % 2).alias("model"), F.col("water").alias("macro_f1"))))
+SPLITS = ", sp as (select case when yr % 2 = 0 then 'raw' else 'enh' end as model, case when yr < 1999 then 'train' when yr < 2000 then 'val' else 'test' end as split, lake::varchar as lake, cls as truth, dw % 4 as pred, count(*) as n from fx_pixels where dw < 8 group by all), ev as (select * from sp union all select model, split, 'ALL (pooled)', truth, pred, sum(n) from sp where split <> 'test' group by all), kl as (select model, split, lake, cls from (select distinct model, split, lake from ev) cross join (select unnest([0, 1, 2, 3]) as cls)), pe as (select k.*, coalesce(sum(n) filter (where truth = cls), 0)::bigint as support, coalesce(sum(n) filter (where pred = cls), 0)::bigint as predicted, coalesce(sum(n) filter (where truth = cls and pred = cls), 0)::bigint as tp from kl k join ev using (model, split, lake) group by k.model, k.split, k.lake, k.cls)"
+METRICS = "round(sum(tp) / sum(support)::double, 6) as accuracy, round(avg(case when predicted > 0 then 2 * tp / (support + predicted)::double end) filter (where support > 0), 6) as macro_f1, round(avg(tp / (support + predicted - tp)::double) filter (where support > 0), 6) as macro_iou, round((sum(tp) / sum(support)::double - sum(support * predicted) / (sum(support) * sum(support))::double) / (1 - sum(support * predicted) / (sum(support) * sum(support))::double), 6) as kappa, sum(support)::bigint as n"
+panel_query("o_agg_26_pooled", SPLITS + f", me as (select model, split, lake, {METRICS} from pe group by model, split, lake) select * from me union all select model, split, 'ALL (mean)', " + ", ".join(f"round(avg({c}), 6)" for c in ("accuracy", "macro_f1", "macro_iou", "kappa")) + ", sum(n)::bigint from me where split = 'test' group by model, split",
+    lambda p: evaluate.pooled_and_mean(p.where("dw < 8").groupBy(F.when(F.col("yr") % 2 == 0, "raw").otherwise("enh").alias("model"), F.when(F.col("yr") < 1999, "train").when(F.col("yr") < 2000, "val").otherwise("test").alias("split"), "lake", F.col("cls").alias("truth"), (F.col("dw") % 4).alias("pred")).agg(F.count("*").alias("n"))), ("fx_pixels",))
 panel_query("o_agg_32_variant_pivot", "select lake, round(avg(water) filter (where yr % 2 = 0), 6) as raw, round(avg(water) filter (where yr % 2 = 1), 6) as enhanced, round(round(avg(water) filter (where yr % 2 = 1), 6) - round(avg(water) filter (where yr % 2 = 0), 6), 6) as gain from fx_fractions group by lake", lambda p: p.withColumn("v", F.when(F.col("yr") % 2 == 0, "raw").otherwise("enhanced")).groupBy("lake").pivot("v", ["raw", "enhanced"]).agg(F.round(F.avg("water"), 6)).withColumn("gain", F.round(F.col("enhanced") - F.col("raw"), 6)))
 panel_query("o_risk_4_coverage", ", b as (select lake, water, avg(water) over (partition by lake) as m, stddev_pop(water) over (partition by lake) as s from fx_fractions) select lake, round(avg((water between m - s and m + s)::int), 6) as coverage, round(median(2 * s), 6) as width from b group by lake", lambda p: risk.coverage_of_band(p, "water"))
 
 # --- rasters --------------------------------------------------------------------------------------
 
 panel_query("o_ras_1_texture", ", g as (select lake, yr, r, c, nir::double as v from fx_grid), o as (select unnest([-1, 0, 1]) as o), k as (select g.lake, g.yr, g.r, g.c, case when g.r + a.o < 0 then 1 when g.r + a.o > 31 then 30 else g.r + a.o end as nr, case when g.c + b.o < 0 then 1 when g.c + b.o > 31 then 30 else g.c + b.o end as nc from g cross join o a cross join o b) select k.lake, k.yr, k.r, k.c, round(sum(v) / 9, 4) as mean, round(sqrt(greatest(sum(v * v) / 9 - (sum(v) / 9) * (sum(v) / 9), 0)), 4) as std from k join g on g.lake = k.lake and g.yr = k.yr and g.r = k.nr and g.c = k.nc group by all", lambda g: raster.texture(g, "nir", 32, 32), ("fx_grid",))
-BOX = "select a.lake, a.yr, a.r, a.c, round(sum(case when b.cls = 3 then 1 else 0 end) / 121.0::double, 6) as share from fx_grid a join fx_grid b on a.lake = b.lake and a.yr = b.yr and b.r between a.r - 5 and a.r + 5 and b.c between a.c - 5 and a.c + 5 group by all"
-panel_query("o_ras_2_built_share", BOX, lambda g: raster.built_share(g, 5), ("fx_grid",))
+MIRRORED = ", im as (select n as at, n as i from (select unnest(range(32)) as n) union all select n, -n from (select unnest(range(1, {0} + 1)) as n) union all select n, 62 - n from (select unnest(range(31 - {0}, 31)) as n)), ex as (select g.lake, g.yr, a.i as r, b.i as c, case when cls = 3 then 1 else 0 end as v from fx_grid g join im a on a.at = g.r join im b on b.at = g.c), ac as (select *, sum(v) over (partition by lake, yr, r order by c range between {0} preceding and {0} following) as s from ex), dn as (select *, sum(s) over (partition by lake, yr, c order by r range between {0} preceding and {0} following) as n from ac) select lake, yr, r::int as r, c::int as c, round(n / {1}::double, 6) as share from dn where r between 0 and 31 and c between 0 and 31"
+panel_query("o_ras_2_built_share", MIRRORED.format(5, "121.0"), lambda g: raster.built_share(g, 5, 32, 32), ("fx_grid",))
 panel_query("o_ras_8_outline", "select a.lake, a.yr, count(*) as edges from fx_grid a cross join (select unnest([-1, 1, 0, 0]) as dr, unnest([0, 0, -1, 1]) as dc) s left join fx_grid b on b.lake = a.lake and b.yr = a.yr and b.r = a.r + dr and b.c = a.c + dc and b.cls = 0 where a.cls = 0 and b.lake is null group by all", lambda g: raster.outline(g, 0).groupBy("lake", "yr").agg(F.count("*").alias("edges")), ("fx_grid",))
 panel_query("o_ras_10_block_average", "select lake, yr, cast(floor(r / 2) as int) as r, cast(floor(c / 2) as int) as c, round(coalesce(avg(nullif(nir, 0)), 0), 4) as nir from fx_grid group by lake, yr, cast(floor(r / 2) as int), cast(floor(c / 2) as int)", lambda g: raster.block_average(g, "nir", 2), ("fx_grid",))
 panel_query("o_ras_12_quality", ", g as (select lake, yr, (nir % 256)::double as v from fx_pixels), l as (select lake, yr, floor(v) as lv, count(*) as k from g group by all), e as (select lake, yr, k / sum(k) over (partition by lake, yr)::double as p from l), b as (select lake, yr, sum(-p * log2(p)) as bits from e group by all) select lake, yr, round(stddev_pop(v), 4) as contrast, round(max(bits), 4) as entropy from g join b using (lake, yr) group by all", lambda p: raster.quality(p.withColumn("grey", (F.col("nir") % 256).cast("double")), "grey"), ("fx_pixels",))
 panel_query("o_ras_13_bounds", "select lake, greatest(min(r) - 2, 0) as r0, least(max(r) + 2, 31) as r1, greatest(min(c) - 2, 0) as c0, least(max(c) + 2, 31) as c1 from fx_zones where region group by lake", lambda z: raster.bounds(z, 2, 32, 32), ("fx_zones",))
 panel_query("o_ras_9_tile_average", PATCHED + " select lake, yr, r, c, round(avg(nir + pr + pc), 4) as logit from pt group by all", lambda p: spatial.patch_pixels(p, 16, 8, 32, 32).groupBy("lake", "yr", "r", "c").agg(F.round(F.avg(F.col("nir") + F.col("pr") + F.col("pc")), 4).alias("logit")), ("fx_pixels",))
-query("o_ras_7_patches")(lambda spark, sf: raster.patch_table(raster.patches(view(spark, sf, "fx_grid"), 0, 2)))
-query("o_ras_14_burn_back")(lambda spark, sf: raster.burned(view(spark, sf, "fx_grid").withColumn("grey", F.col("green") % 256), raster.patches(view(spark, sf, "fx_grid"), 3, 4)))
+
+
+def centred_score(cubes):
+    """Scores of (green, nir, swir16) against the patch's mean green; overlapping patches differ, so the average tells."""
+    green, nir, swir = cubes.transpose(1, 0, 2, 3)
+    mean = green.mean(axis=(1, 2), keepdims=True)
+    return np.stack([green - mean, nir - mean, swir - mean, swir - green], axis=1)
+
+
+LOGIT_Q = PATCHED + ", me as (select lake, yr, pr, pc, sum(green) / 256.0::double as m from pt group by all), lo as (select p.lake, p.yr, r, c, avg(green - m) as a, avg(nir - m) as b, avg(swir16 - m) as d, avg(swir16 - green)::double as e from pt p join me using (lake, yr, pr, pc) group by all), mx as (select *, greatest(a, b, d, e) / 500 as top from lo)"
+panel_query("o_ras_9_logits", LOGIT_Q + " select lake, yr, r, c, case when a >= greatest(b, d, e) then 0 when b >= greatest(d, e) then 1 when d >= e then 2 else 3 end as pred, round(1 / (exp(a / 500 - top) + exp(b / 500 - top) + exp(d / 500 - top) + exp(e / 500 - top)), 6) as conf from mx",
+    lambda p: models.averaged_logits(models.score_patches(spatial.patch_pixels(p, 16, 8, 32, 32), ["green", "nir", "swir16"], centred_score, 16)).select("lake", "yr", "r", "c", S.argmax(F.transform("logits", lambda x: F.round(x, 9))).alias("pred"), F.round(F.array_max(S.softmax(F.transform("logits", lambda x: x / 500))), 6).alias("conf")), ("fx_pixels",))
+#: Patches as reachability between cells: (lake, yr, r, c, first), first the smallest cell reached.
+REACH = """, w as (select lake, yr, r, c from fx_grid where cls = {0}), p as (with recursive t(lake, yr, r, c, r0, c0) as (select lake, yr, r, c, r, c from w
+union select t.lake, t.yr, w.r, w.c, t.r0, t.c0 from t join w on w.lake = t.lake and w.yr = t.yr and w.r between t.r - 1 and t.r + 1 and w.c between t.c - 1 and t.c + 1) select lake, yr, r, c, min(r0 * 100 + c0) as first from t group by lake, yr, r, c)"""
+query("o_ras_7_patches", REACH.format(0) + " select lake, yr, (first // 100) || ',' || (first % 100) as patch, count(*) as px, round(count(*) * 0.04::double, 2) as ha, min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1 from p group by lake, yr, first having count(*) >= 2", ("fx_grid",))(lambda spark, sf: raster.patch_table(raster.patches(view(spark, sf, "fx_grid"), 0, 2)))
+query("o_ras_7_tiles", REACH.format(3) + " select lake, yr, r, c, (first // 100) || ',' || (first % 100) as patch from p", ("fx_grid",))(lambda spark, sf: raster.patches(view(spark, sf, "fx_grid"), 3, 1, tile=5))
+query("o_ras_14_burn_back", REACH.format(3) + ", k as (select *, count(*) over (partition by lake, yr, first) as n from p) select g.lake, g.yr, g.r, g.c, round(case when k.n >= 4 then (g.green % 256) * 0.5 + 127.5 else g.green % 256 end::double, 4) as v from fx_grid g left join k on k.lake = g.lake and k.yr = g.yr and k.r = g.r and k.c = g.c", ("fx_grid",))(lambda spark, sf: raster.burned(view(spark, sf, "fx_grid").withColumn("grey", F.col("green") % 256), raster.patches(view(spark, sf, "fx_grid"), 3, 4)))
 
 
 # --- models, risk, streams, sinks ------------------------------------------------------------------
@@ -441,10 +488,22 @@ CHANNELS = ["blue", "green", "red", "nir", "swir16"]
 
 @query("o_ml_1_2_forest")
 def _(spark, sf):
-    scored = models.leave_one_out(view(spark, sf, "fx_pixels"), CHANNELS, cap=20_000, trees=10, depth=5)
+    scored = models.leave_one_out(view(spark, sf, "fx_pixels"), {"forest": models.forest_scorer(CHANNELS, trees=10, depth=5)}, cap=20_000)
     return evaluate.summary_metrics(evaluate.confusion(scored, "lake"), "lake", "zero")
 
 
+@query("o_ml_2_scorers")
+def _(spark, sf):
+    """The index rule and a forest on the same pixels of lakes that the forest never saw: metrics of each lake, and their mean."""
+    px = view(spark, sf, "fx_pixels")
+    green, swir, nir, red = (F.col(c) * 1e-4 for c in ("green", "swir16", "nir", "red"))
+    rule = S.index_class(S.norm_diff(green, swir), S.norm_diff(nir, red))
+    scorers = {"forest": models.forest_scorer(CHANNELS, trees=5, depth=4), "rule": models.rule_scorer(rule)}
+    scored = models.leave_one_out(px, scorers, cap=20_000)
+    counts = evaluate.confusion(scored.withColumn("key", F.struct("scorer", "lake")), "key").select("key.*", "truth", "pred", "n")
+    return evaluate.pooled_and_mean(counts.withColumn("split", F.lit("test")), "scorer")
+
+
 @query("o_ml_3_leakage")
 def _(spark, sf):
     rows = view(spark, sf, "fx_fractions").join(view(spark, sf, "fx_weather").groupBy("lake", F.year("d").alias("yr")).agg((F.sum("rain_raw") / 1e6).alias("rain"), F.avg("tmax").alias("tmax")), ["lake", "yr"])
@@ -458,10 +517,10 @@ def _(spark, sf):
     return logits.groupBy("lake", "yr", S.argmax(F.col("logits")).alias("pred")).agg(F.count("*").alias("n"))
 
 
-def plain_score(cube):
+def plain_score(cubes):
     """Linear scores of (green, nir, swir16) for water, vegetation, bare and built."""
-    green, nir, swir = cube
-    return np.stack([green - swir, nir - green, swir - green, (swir + green) / 2 - nir])
+    green, nir, swir = cubes.transpose(1, 0, 2, 3)
+    return np.stack([green - swir, nir - green, swir - green, (swir + green) / 2 - nir], axis=1)
 
 
 @query("o_risk_1_random_intercept")
@@ -491,6 +550,21 @@ def _(spark, sf):
     return p.select("id", "zone", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
+LL_XI = "xi" + "".join(f" - {b!r}::double * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, b in enumerate(geo.BETA))
+LL_ETA = "eta" + "".join(f" - {b!r}::double * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, b in enumerate(geo.BETA))
+LL_PHI = "chi" + "".join(f" + {d!r}::double * sin({2 * (j + 1)} * chi)" for j, d in enumerate(geo.DELTA))
+
+
+@query("o_prj_10_inverse", f""", p as (select id, (id % 2) = 1 as south, 43 as zone, 300000 + x * 12500 as east, 1000000 + y * 90000 as north from fx_points),
+a as (select id, zone, (north - case when south then 10000000 else 0 end) / {geo.K0 * geo.RADIUS!r}::double as xi, (east - 500000) / {geo.K0 * geo.RADIUS!r}::double as eta from p),
+b as (select id, zone, {LL_XI} as xi1, {LL_ETA} as eta1 from a), c as (select *, asin(sin(xi1) / cosh(eta1)) as chi from b)
+select id, round(zone * 6 - 183 + degrees(atan2(sinh(eta1), cos(xi1))), 7) as lon, round(degrees({LL_PHI}), 7) as lat from c""", ("fx_points",))
+def _(spark, sf):
+    p = view(spark, sf, "fx_points")
+    lon, lat = geo.lonlat(300000 + F.col("x") * 12500, 1000000 + F.col("y") * 90000, F.lit(43), F.col("id") % 2 == 1)
+    return p.select("id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 @query("o_str_2_rolling_rain", """with per as (select cast(ts as date) as day, sum(value) as rain from events group by all), s as (select day, rain, unnest(range(31)) as k from per)
 select (day + k::int)::varchar as d, round(sum(rain), 4) as rain, count(*) as days from s group by day + k::int""")
 def _(spark, sf):
@@ -525,3 +599,28 @@ query("o_src_10_clip", "select r_regionkey as lake, id, x as lon, y as lat from
         spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("lake"), (F.col("r_regionkey") + 4.0).alias("minx"), (F.col("r_regionkey") + 12.5).alias("maxx"), F.lit(3.0).alias("miny"), F.lit(15.5).alias("maxy")),
     )
 )
+query("o_src_10_lines", "select r_regionkey as lake, l.id, count(*) as n from fx_lines l join (select distinct r_regionkey, id from fx_lines join region on x between 4 + r_regionkey and 12.5 + r_regionkey and y between 3 and 15.5) m on m.id = l.id group by all", ("fx_lines",))(
+    lambda spark, sf: landed.clipped_lines(
+        view(spark, sf, "fx_lines").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "x", "y"))), lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon"))).alias("geometry")),
+        spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("lake"), (F.col("r_regionkey") + 4.0).alias("minx"), (F.col("r_regionkey") + 12.5).alias("maxx"), F.lit(3.0).alias("miny"), F.lit(15.5).alias("maxy")),
+    ).select("lake", "id", F.size("geometry").cast("long").alias("n"))
+)
+
+
+@query("o_snk_6_bundle", """, so as (select 'datasets' as part, tile as key, '{"key":' || tile || ',"y0":' || min(yr) || ',"y1":' || max(yr) || ',"used":' || bool_or(cloud < 25) || '}' as row from fx_scenes group by tile),
+cl as (select 'climatology' as part, m as key, '{"key":' || m || ',"rain":' || round(avg(rain), 1) || '}' as row from (select month(d) as m, year(d) as yr, sum(rain_raw)::double as rain from fx_weather group by all) group by m),
+hp as (select tile, count(*) filter (where cloud <= 50) > 0 as ok, count(*) as probes from fx_scenes where lake < 3 group by tile), he as (select 'health' as part, h.tile as key, '{"key":' || h.tile || ',"ok":' || ok || ',"probes":' || probes || '}' as row from hp h where exists (select 1 from fx_scenes s where s.tile = h.tile and cloud < 25)),
+be as (select *, row_number() over (partition by yr order by cloud, id) as k from fx_scenes), sc as (select 'scenes' as part, yr as key, '{"key":' || yr || ',"date":"' || strftime(d, '%d %b %Y') || '","cloud":' || cloud || '}' as row from be where k = 1),
+se as (select 'series' as part, lake as key, '{"key":' || lake || ',"yr":' || yr || ',"water":' || water || '}' as row from fx_fractions)
+select part, key::bigint as key, row from (select * from so union all select * from cl union all select * from he union all select * from sc union all select * from se)""", ("fx_scenes", "fx_weather", "fx_fractions"))
+def _(spark, sf):
+    """The whole bundle a dashboard reads: sources, monthly rain, health of catalogued sources, scenes and lake series."""
+    scenes, days = view(spark, sf, "fx_scenes"), view(spark, sf, "fx_weather")
+    datasets = scenes.groupBy(F.col("tile").cast("long").alias("key")).agg(F.min("yr").alias("y0"), F.max("yr").alias("y1"), F.bool_or(F.col("cloud") < 25).alias("used"))
+    months = days.groupBy(F.month("d").cast("long").alias("key"), F.year("d").alias("yr")).agg(F.sum("rain_raw").cast("double").alias("rain"))
+    climatology = months.groupBy("key").agg(F.round(F.avg("rain"), 1).alias("rain"))
+    probed = scenes.where("lake < 3").groupBy(F.col("tile").cast("long").alias("key")).agg((F.count_if(F.col("cloud") <= 50) > 0).alias("ok"), F.count("*").alias("probes"))
+    health = probed.join(datasets.where("used").select("key"), "key", "left_semi")
+    best = panel.best_per_group(scenes, "yr").select(F.col("yr").cast("long").alias("key"), F.date_format("d", "dd MMM yyyy").alias("date"), "cloud")
+    series = view(spark, sf, "fx_fractions").select(F.col("lake").cast("long").alias("key"), "yr", "water")
+    return sinks.payload("key", datasets=datasets, climatology=climatology, health=health, scenes=best, series=series)

@@ -104,3 +104,15 @@ def clipped(points: DataFrame, boxes: DataFrame) -> DataFrame:
     cells = boxes.withColumn("cx", F.explode(F.sequence(F.floor("minx"), F.floor("maxx")))).withColumn("cy", F.explode(F.sequence(F.floor("miny"), F.floor("maxy"))))
     placed = points.withColumn("cx", F.floor("lon")).withColumn("cy", F.floor("lat"))
     return placed.join(cells, ["cx", "cy"]).where("lon between minx and maxx and lat between miny and maxy").select("lake", *points.columns)
+
+
+def clipped_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Whole lines (id, geometry of lon and lat) of two vertices or more with any vertex in a lake's box, borders included.
+
+    Vertices meet the boxes by one-degree cells; a line that has met a lake, however
+    often, comes once, whole.
+    """
+    kept = lines.where(F.size("geometry") >= 2)
+    vertices = kept.select("id", F.explode("geometry").alias("p")).select("id", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    met = clipped(vertices, boxes).select("lake", "id").distinct()
+    return met.join(kept, "id").select("lake", *kept.columns)

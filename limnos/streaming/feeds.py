@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from limnos.storage import stage
 
-def ingest_scenes(spark: SparkSession, landed: str, schema: str | StructType, store: str, checkpoint: str) -> StreamingQuery:
-    """Bring newly landed scene files into the pixel store, each (lake, yr) whole and once.
 
-    Runs over what is there and stops. A batch overwrites only the partitions
-    that it touches, so a repeated batch leaves the same store.
+MANIFEST = "lake long, yr long, part string, form string"
+
+
+def read_manifest(spark: SparkSession, store: str) -> DataFrame:
+    """What a pixel store holds: (lake, yr, part, form) of every landed file whose pixels are in it."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{store}/_manifest")
+    except AnalysisException:  # nothing is stored yet
+        return spark.createDataFrame([], MANIFEST)
+
+
+def read_store(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
+    """The store's pixels."""
+    try:
+        return spark.read.schema(schema).parquet(store)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def ingest_scenes(spark: SparkSession, landed: str, schema: str | StructType, store: str, checkpoint: str, grid: str = "") -> StreamingQuery:
+    """Bring newly landed scene files into the pixel store, each file's pixels once.
+
+    Runs over what is there and stops. The store keeps a manifest of what it
+    holds: the file a lake's and year's pixels came in, and their form, which is
+    the columns' types and the ``grid`` that the caller names. Files in the
+    manifest are not read again, even by a new checkpoint. Further parts of a
+    stored (lake, yr) are merged into it, of a pixel the row of the last part
+    by name staying. A (lake, yr) stored in another form is stale: it is read
+    anew from all its landed files. Other lakes and years are not touched.
+
+    A batch writes its pixels, then its part of the manifest. If it is lost
+    between the two and comes again, it merges the same pixels to the same
+    store.
     """
+    kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    form = F.lit(f"{kinds.simpleString()} {grid}")
+    key, cell = ["lake", "yr"], ["lake", "yr", "r", "c"]
+    others = [c for c in kinds.names if c not in cell]
+    told = [*[F.col(c) for c in kinds.names], F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0).alias("part")]
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.repartition("lake", "yr").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lake", "yr").parquet(store)
+        known = read_manifest(spark, store)
+        came = batch.select(*key, "part").distinct()
+        fresh = stage(came.join(known.where(F.col("form") == form), [*key, "part"], "left_anti"), "fresh-parts")
+        if fresh.isEmpty():
+            return
+        touched = fresh.select(*key).distinct()
+        stale = stage(touched.join(known.where(F.col("form") != form), key, "left_semi"), "stale-parts")
+        whole = spark.read.schema(kinds).parquet(landed).select(*told).join(stale, key, "left_semi")
+        new = batch.join(fresh, [*key, "part"], "left_semi").join(stale, key, "left_anti").unionByName(whole)
+        # what is stored of the touched lakes and years comes before any part
+        kept = touched.join(stale, key, "left_anti")
+        old = read_store(spark, store, kinds).join(kept, key, "left_semi").withColumn("part", F.lit(""))
+        last = F.max_by(F.struct(*others), "part") if others else F.max("part")
+        merged = old.unionByName(new).groupBy(*cell).agg(last.alias("last")).select(*cell, *[F.col("last")[c].alias(c) for c in others])
+        merged = stage(merged, "merged-pixels")  # it is read from the partitions that it overwrites
+        merged.select(*kinds.names).repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(store)
+        entries = fresh.unionByName(whole.select(*key, "part").distinct()).distinct()
+        entries.select(F.col("lake").cast("long"), F.col("yr").cast("long"), "part", form.alias("form")).write.mode("append").parquet(f"{store}/_manifest")
 
-    return spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = spark.readStream.schema(kinds).parquet(landed).select(*told)
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily(feed: DataFrame, late: str = "2 days") -> DataFrame:
@@ -37,3 +92,19 @@ def rolling_batch(rows: DataFrame, days: int = 31) -> DataFrame:
     per_day = rows.groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("rain"))
     spread = per_day.withColumn("d", F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))))
     return spread.groupBy("d").agg(F.round(F.sum("rain"), 4).alias("rain"), F.count("*").alias("days"))
+
+
+def rolled_stream(spark: SparkSession, landed: str, schema: str | StructType, store: str, checkpoint: str, days: int = 31, late: str = "2 days") -> StreamingQuery:
+    """Rolling sums of a landed feed of readings (event_id, ts, value) as files of (d, rain, days), one micro-batch a file.
+
+    Repeated readings (equal event_id within the watermark) count once; readings
+    up to ``late`` behind the latest one count, later ones are dropped. Days
+    come out once the watermark has passed them and their window, so a feed
+    ends with a reading that far ahead.
+    """
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    once = feed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    per_day = once.groupBy(F.window("ts", "1 day")).agg(F.sum("value").alias("rain"))
+    rolled = per_day.groupBy(F.window(F.col("window"), f"{days} days", "1 day")).agg(F.round(F.sum("rain"), 4).alias("rain"), F.count("*").alias("days"))
+    out = rolled.select(F.to_date(F.date_sub(F.col("window.end"), 1)).alias("d"), "rain", "days")
+    return out.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
