@@ -11,11 +11,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from limnos.llm.block_links import cross_links, similar
 from limnos.operators.graph import components
 from limnos.llm.near_dup import LOWER, WORD, fingerprint_rows
-from limnos.storage import stage
+from limnos.storage import scope, stage
 
 #: Up to this distance each part is cut in three, two of which make a signature; beyond it in two, of which one does.
 THREES = 64
@@ -55,7 +57,8 @@ def set_of(text: str | None, size: int = 5) -> np.ndarray:
     width = min(size, n)
     out = np.full(n - width + 1, width, "<u8")
     for k in range(width):
-        out = mixed(out) * U64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k]
+        out *= U64(0x9E3779B97F4A7C15)
+        out += h[k : n - width + 1 + k]
     return np.unique(mixed(out))
 
 
@@ -103,6 +106,12 @@ def plan(k: int) -> tuple[int, int]:
     return parts + (math.ceil(0.012 * parts + 0.12 * math.sqrt(parts)) if parts > 3 else 0), 3 if k <= THREES else 2
 
 
+@lru_cache(maxsize=4096)
+def numbers(cells: int, salt: int) -> np.ndarray:
+    """A value for each cell of a partition."""
+    return mixed(np.arange(cells, dtype=U64), salt + 17)
+
+
 def signatures(runs: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set of hashes; sets as similar as ``bands`` asks share one, unless they are equal.
 
@@ -134,19 +143,18 @@ def signatures(runs: np.ndarray, bands: Bands) -> np.ndarray:
             counts = np.bincount(at, minlength=parts * cells).reshape(parts, cells)
             sums = np.zeros(parts * cells, U64)
             np.add.at(sums, at, values)
-            sums = sums.reshape(parts, cells)
             spoilt_by = np.minimum((counts > 0).sum(1), 2).cumsum()
             enough = int(np.searchsorted(spoilt_by, need + 1)) + 1  # parts that are signed
-            for left_out in range(cells):
-                chosen = [c for c in range(cells) if c != left_out]
-                number = np.arange(parts, dtype=U64) * U64(4) + U64(left_out)
-                key = mixed(mixed(sums[:, chosen].sum(1, dtype=U64), tag) + mixed(number, salt + 17))
-                out.append(key[:enough][counts[:enough, chosen].sum(1) > 0])
+            sums, counts = sums.reshape(parts, cells)[:enough], counts[:enough]
+            # what all cells of the part but one hold, which a sum tells
+            others = sums.sum(1, dtype=U64)[:, None] - sums
+            key = mixed(mixed(others.ravel(), tag) + numbers(parts * cells, salt)[: others.size])
+            out.append(key[(counts.sum(1)[:, None] > counts).ravel()])
             if enough <= parts:
                 break
         else:
             out.append(mixed(np.array([tag], U64), 3))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def node_of(runs: np.ndarray) -> int:
@@ -156,26 +164,31 @@ def node_of(runs: np.ndarray) -> int:
 # --- the join ---------------------------------------------------------------------
 
 
-def signed_sets(docs: DataFrame, text: Column, size: int, num: int, den: int) -> DataFrame:
-    """(node, keys): signatures of every different set of a partition's texts."""
+def signed_rows(docs: DataFrame, keep: dict[str, Column], text: Column, size: int, num: int, den: int) -> DataFrame:
+    """``keep`` columns, node, n_shingles and the set's signatures, keys: those of a task's first copy of a set alone."""
     bands = Bands(num, den)
+    picked = docs.select(*[c.alias(name) for name, c in keep.items()], text.alias("text"))
+    names = list(keep)
+    schema = T.StructType([*[f for f in picked.schema if f.name != "text"], *T._parse_datatype_string("node long, n_shingles long, keys array<long>")])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies of a task's sets are not signed again
-        for batch in batches:
-            nodes, keys = [], []
-            for x in batch.column(0):
-                runs = set_of(x.as_py(), size)
-                if len(runs) and (node := node_of(runs)) not in seen:
-                    seen.add(node)
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                nodes, sizes, keys = [], [], []
+                for x in batch.column("text"):
+                    runs = set_of(x.as_py(), size)
+                    node = node_of(runs) if len(runs) else None
                     nodes.append(node)
-                    keys.append(signatures(runs, bands))
-                if len(nodes) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
-                    nodes, keys = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+                    sizes.append(len(runs))
+                    keys.append(None if node is None or node in seen else signatures(runs, bands))
+                    seen.add(node)
+                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], *made], schema=arrow)
 
-    return docs.select(text.alias("text")).mapInArrow(run, "node long, keys array<long>")
+    return picked.mapInArrow(run, schema)
 
 
 def shared_keys(postings: DataFrame) -> DataFrame:
@@ -224,17 +237,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     are ignored. Shingles and sets are told apart by 64-bit hashes.
     """
 
-    def describe(text: str | None) -> tuple:
-        runs = set_of(text, size)
-        return (node_of(runs) if len(runs) else None), len(runs)
-
     text, similarity = F.col(text_col), num / den
     text_key = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = stage(fingerprint_rows(docs, {"doc_id": F.col(id_col), "text_key": text_key}, text, "node long, n_shingles long", describe), "shingle-rows")
+    with scope() as wide:  # the signatures are read once
+        signed = stage(signed_rows(docs, {"doc_id": F.col(id_col), "text_key": text_key}, text, size, num, den), "signed-rows")
+        with scope():
+            rows = stage(signed.drop("keys"), "shingle-rows")
+            shared = stage(shared_keys(signed.select("node", F.explode("keys").alias("key"))), "shared-signatures")
+    wide.drop(docs.sparkSession)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.min("text_key").alias("text_key"))
     nodes = stage(nodes, "shingle-nodes")
-    signed = signed_sets(docs, text, size, num, den)
-    shared = stage(shared_keys(signed.select("node", F.explode("keys").alias("key"))), "shared-signatures")
     wanted = stage(shared.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "nodes-to-verify")
     picked = docs.select(text_key.alias("text_key"), text.alias("text")).join(wanted, "text_key").dropDuplicates(["node"])
     sets = stage(fingerprint_rows(picked, {"node": F.col("node")}, F.col("text"), "runs array<long>", lambda x: (set_of(x, size).view("<i8"),)), "shingle-sets")

@@ -51,34 +51,33 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T._parse_datatype_string(INDEX.format(id=picked.schema["id"].dataType.simpleString()))
     arrow = to_arrow_schema(schema)
 
-    def block(ids: list, counts: list[Counter]) -> pa.RecordBatch:
-        lists: dict[str, tuple[list[int], list[int]]] = {}
-        for place, counted in enumerate(counts):
-            for term, tf in counted.items():
-                places, tfs = lists.setdefault(term, ([], []))
-                places.append(place)
-                tfs.append(tf)
-        names = sorted(lists)
-        made = [ids, [sum(c.values()) for c in counts], names, [len(lists[t][0]) for t in names], [p for t in names for p in lists[t][0]], [f for t in names for f in lists[t][1]]]
+    def block(ids: list, counted: list[tuple[np.ndarray, np.ndarray]], numbers: dict[str, int]) -> pa.RecordBatch:
+        terms, tfs = (np.concatenate(x) for x in zip(*counted, strict=True))
+        places = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t, _ in counted])
+        order = np.argsort(terms, kind="stable")
+        ns = np.array([tfs.sum() for _, tfs in counted], np.int64)
+        made = [ids, ns, list(numbers), np.bincount(terms, minlength=len(numbers)).astype(np.int32), places[order], tfs[order]]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
-        counts: list[Counter] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        numbers: dict[str, int] = {}  # of the block's terms, in order of appearance
         postings = 0
         for batch in batches:
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                counted = Counter(terms_of(text.as_py()))
-                if not counted:
+                found = Counter(terms_of(text.as_py()))
+                if not found:
                     continue
-                if ids and (len(ids) == BLOCK_DOCS or postings + len(counted) > BLOCK_POSTINGS):
-                    yield block(ids, counts)
-                    ids, counts, postings = [], [], 0
+                if ids and (len(ids) == BLOCK_DOCS or postings + len(found) > BLOCK_POSTINGS):
+                    yield block(ids, counted, numbers)
+                    ids, counted, numbers, postings = [], [], {}, 0
                 ids.append(id_)
-                counts.append(counted)
-                postings += len(counted)
+                own = np.fromiter((numbers.setdefault(t, len(numbers)) for t in found), np.int32, len(found))
+                counted.append((own, np.fromiter(found.values(), np.int32, len(found))))
+                postings += len(found)
         if ids:
-            yield block(ids, counts)
+            yield block(ids, counted, numbers)
 
     return stage(picked.mapInArrow(run, schema), "search-index")
 
@@ -163,13 +162,19 @@ def _prepared(index: DataFrame, numbers: dict[str, int], weights: list[int], pai
                 lists[t] = places[own], weights[t] * part(tfs[own], ns[places[own]], docs, length)
         tenth = [(int(np.partition(x, -k)[-k]), t) for t, (_, x) in lists.items() if len(x) >= k]
         found, joint, met = [], [], []
-        for p, (a, b) in enumerate(pairs):
+        most = {t: int(x.max()) for t, (_, x) in lists.items()}
+        last, spread = -1, np.zeros(0, np.int64)
+        for p, (a, b) in enumerate(pairs):  # by their first terms
             if a in lists and b in lists:
-                both, ia, ib = np.intersect1d(lists[a][0], lists[b][0], assume_unique=True, return_indices=True)
-                sums = lists[a][1][ia] + lists[b][1][ib]
+                if a != last:
+                    last, spread = a, np.zeros(len(ns), np.int64)
+                    spread[lists[a][0]] = lists[a][1]
+                others = spread[lists[b][0]]
+                shared = others > 0
+                sums = others[shared] + lists[b][1][shared]
                 found.append(p)
-                joint.append(max(int(lists[a][1].max()), int(lists[b][1].max()), int(sums.max()) if len(sums) else 0))
-                met.append(both)
+                joint.append(max(most[a], most[b], int(sums.max()) if len(sums) else 0))
+                met.append(lists[b][0][shared])
                 if len(sums) >= k:
                     tenth.append((int(np.partition(sums, -k)[-k]), -1 - p))
         known = sorted(lists)

@@ -65,7 +65,7 @@ def _scanned(docs: DataFrame, keep: dict[str, Column], text_col: str) -> DataFra
     picked = docs.select(*[c.alias(name) for name, c in keep.items()], F.col(text_col).alias("scanned"))
     out = T.StructType([f for f in picked.schema if f.name != "scanned"] + [T.StructField("found", FOUND)])
     arrow = to_arrow_schema(out)
-    names = [f.name for f in FOUND.elementType]
+    kept, names = list(keep), [f.name for f in FOUND.elementType]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +73,7 @@ def _scanned(docs: DataFrame, keep: dict[str, Column], text_col: str) -> DataFra
             for text in batch.column("scanned"):
                 rows = [(*c[:5], hashlib.sha256(c[5].encode("utf-8", "surrogatepass")).hexdigest(), looks_live(c[5])) for c in candidates(text.as_py() or "")]
                 found.append([dict(zip(names, r, strict=True)) for r in rows])
-            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in keep], pa.array(found, arrow.field("found").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in kept], pa.array(found, arrow.field("found").type)], schema=arrow)
 
     return picked.mapInArrow(scan, out)
 

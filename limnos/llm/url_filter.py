@@ -58,7 +58,20 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, bits).otherwise(0.0)
 
 
-FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digit_share", "symbol_share", "bits", "host_bits", "params", "encoded", "secure", "numeric_host", "suffix_rate", "suffix_seen")
+#: What a block rate is counted for: the end of a host, the beginning of a path, and both together.
+STATISTICS = ("suffix", "segment", "domain_segment", "opening")
+FEATURES = (
+    "n_url", "n_host", "n_path", "depth", "labels", "digit_share", "symbol_share", "bits", "host_bits", "params", "encoded", "secure", "numeric_host",
+    "longest_digits", "longest_word", "first_length", *[f"{k}_{c}" for k in STATISTICS for c in ("rate", "seen")],
+)
+
+
+def statistic_values(host: Column, path: Column) -> dict[str, Column]:
+    """The value of each of STATISTICS: the host's last two labels; the path's first segment; that with the host's last label; and with its last two and the next segment's first character."""
+    parts = F.split(path, "/")
+    segment, following = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.substr(F.coalesce(F.get(parts, F.lit(2)), F.lit("")), F.lit(1), F.lit(1))
+    values = (suffix(host), segment, F.concat_ws("/", F.substring_index(host, ".", -1), segment), F.concat_ws("/", suffix(host), segment, following))
+    return dict(zip(STATISTICS, values, strict=True))
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -81,6 +94,9 @@ def lexical(urls: DataFrame) -> DataFrame:
             "params": count(query, "[^&]+"),
             "encoded": count(url, "%[0-9A-Fa-f]{2}"),
             "secure": url.startswith("https:").cast("double"),
+            "longest_digits": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(url, F.lit("([0-9]+)")), F.length)), F.lit(0)).cast("double"),
+            "longest_word": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(url, F.lit("([A-Za-z]+)")), F.length)), F.lit(0)).cast("double"),
+            "first_length": F.length(F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit(""))).cast("double"),
             "numeric_host": F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$").cast("double"),
         }
     )
@@ -91,18 +107,24 @@ def fold(host: Column) -> Column:
 
 
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """suffix, fold, and how many labelled urls (and blocked ones) its hosts outside that fold have; fold -1 has all."""
-    per_fold = labelled.groupBy(suffix(F.col("host")).alias("suffix"), fold(F.col("host")).alias("fold")).agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"))
-    without = per_fold.select("suffix", "blocked", "seen", F.explode(F.filter(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))).alias("fold"))
-    return without.groupBy("suffix", "fold").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
+    """kind (of STATISTICS), value, fold, and how many labelled urls (and blocked ones) of hosts outside that fold have it; fold -1 has all."""
+    values = statistic_values(F.col("host"), F.col("path"))
+    long = labelled.select("label", fold(F.col("host")).alias("fold"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])).alias("s"))
+    per_fold = long.groupBy("s.kind", "s.value", "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("seen"))
+    without = per_fold.select("kind", "value", "blocked", "seen", F.explode(F.filter(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))).alias("fold"))
+    return without.groupBy("kind", "value", "fold").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))
 
 
 def with_rates(urls: DataFrame, counts: DataFrame, overall: float, fold_of: Column, prior: float = 10.0) -> DataFrame:
-    """``urls`` with the smoothed block rate and the count of their hosts' suffixes; unseen suffixes have the overall rate."""
-    keyed = urls.withColumn("suffix", suffix(F.col("host"))).withColumn("fold", fold_of)
-    joined = keyed.join(counts, ["suffix", "fold"], "left")
-    seen = F.coalesce("seen", F.lit(0))
-    return joined.withColumn("suffix_rate", (F.coalesce("blocked", F.lit(0.0)) + overall * prior) / (seen + prior)).withColumn("suffix_seen", F.log1p(seen))
+    """``urls`` with the smoothed block rate and the count of each of their STATISTICS; unseen values have the overall rate."""
+    values = statistic_values(F.col("host"), F.col("path"))
+    joined = urls.withColumns({f"{k}_value": v for k, v in values.items()} | {"fold": fold_of})
+    for k in STATISTICS:
+        of_kind = counts.where(F.col("kind") == k).select(F.col("value").alias(f"{k}_value"), "fold", "blocked", F.col("seen").alias("n"))
+        joined = joined.join(of_kind, [f"{k}_value", "fold"], "left")
+        seen = F.coalesce("n", F.lit(0))
+        joined = joined.withColumns({f"{k}_rate": (F.coalesce("blocked", F.lit(0.0)) + overall * prior) / (seen + prior), f"{k}_seen": F.log1p(seen)}).drop("blocked", "n")
+    return joined
 
 
 def fit_trees(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 4):
@@ -110,8 +132,9 @@ def fit_trees(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, dept
 
     About ``rows`` urls at most are fitted on: those whose hash lies below a
     threshold that their number sets, so copies of one url weigh as one and no
-    task sorts them. Suffixes are counted over all distinct labelled urls. A
-    fitted url gets its suffix's rate from hosts of other folds than its own.
+    task sorts them. Suffixes, and the other STATISTICS, are counted over all
+    distinct labelled urls. A fitted url gets its rates from hosts of other
+    folds than its own, so what it learns holds for hosts it has not seen.
     Without urls of both labels there are no trees.
     """
     distinct = stage(labelled.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("label").alias("label")), "labelled-urls")

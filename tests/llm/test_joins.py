@@ -92,14 +92,28 @@ def test_texts_of_one_frame_are_told_apart(spark):
     assert 2 < len({c for _, c in got}) < 120
 
 
-@pytest.mark.parametrize("dense", [2, 32])
-def test_blocks_count_what_sets_have_in_common(dense, monkeypatch):
+def test_parities_never_lose_a_similar_pair(spark):
+    """Sets of sizes with different numbers of cells, against all pairs; and few pairs well below the limit stay."""
     rng = np.random.default_rng(33)
-    monkeypatch.setattr(block_links, "DENSE", dense)
-    monkeypatch.setattr(block_links, "CELLS", 300)
-    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 40)))) for _ in range(50)]
-    got = block_links.common_sizes(sets, 20)
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]]
+    core = rng.integers(0, 1 << 62, 700)
+    sets = [np.unique(np.concatenate((core[int(rng.integers(0, 200)) : int(rng.integers(500, 700))], rng.integers(0, 1 << 62, int(rng.integers(0, 120)))))) for _ in range(80)]
+    rows = [(i, i % 40, len(s), block_links.parity(s).tobytes()) for i, s in enumerate(sets)]
+    assert len({len(r[3]) for r in rows}) > 1
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    all_ = {(i, j) for i, j in itertools.combinations(range(80), 2) if i % 40 != j % 40}
+    got = set(block_links.undecided(rows, None, 0.8))
+    assert {p for p in all_ if like(*p) >= 0.8} <= got <= all_
+    assert not [p for p in got if like(*p) < 0.75]
+    across = {tuple(sorted(p)) for p in block_links.undecided(rows[:50], rows[50:], 0.8)}
+    assert across == {p for p in got if p[0] < 50 <= p[1]}
+
+
+def test_a_frame_below_the_limit_puts_out_few_pairs(spark):
+    """300 texts with a similarity of 0.755 to each other."""
+    rng = np.random.default_rng(35)
+    frame = rng.integers(0, 1 << 62, 246)
+    rows = [(i, i, 286, block_links.parity(np.concatenate((frame, rng.integers(0, 1 << 62, 40)))).tobytes()) for i in range(300)]
+    assert len(block_links.undecided(rows, None, 0.8)) < 300
 
 
 def test_links_of_large_keys_are_those_of_all_pairs(spark, monkeypatch):
