@@ -6,8 +6,13 @@ is one line of one raster, whatever the raster's size.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,30 +67,70 @@ def opened(px: DataFrame, mask: str) -> DataFrame:
     return box_sum(e, "_e", 1, "_d").withColumn("opened", F.col("_d") > 0).drop("_m", "_n", "_e", "_d")
 
 
+def lower_envelope(f: np.ndarray) -> np.ndarray:
+    """For each place x of a line the least f[v] + (x - v) ** 2 over all v, in one pass; f may be infinite."""
+    at = np.flatnonzero(np.isfinite(f)).tolist()
+    if not at:
+        return f
+    values = f.tolist()
+    hull, begins = [at[0]], [-math.inf]  # parabolas that are lowest somewhere, and from where
+    for v in at[1:]:
+        while True:
+            u = hull[-1]
+            x = (values[v] + v * v - values[u] - u * u) / (2 * (v - u))
+            if x > begins[-1]:
+                break
+            hull.pop()
+            begins.pop()
+        hull.append(v)
+        begins.append(x)
+    x = np.arange(len(f))
+    v = np.array(hull)[np.searchsorted(begins, x, side="right") - 1]
+    return f[v] + (x - v) ** 2
+
+
+#: Cells of lines that are handled at once.
+LINE_CELLS = 2_000_000
+
+
 def distance_to(px: DataFrame, mask: str, cap: float | None, res: float = 20.0) -> DataFrame:
     """Exact distance of each cell's centre to the nearest cell of a mask, at most ``cap`` (and ``cap`` without any).
 
-    First the nearest masked cell of the own column, by windows; then each line
-    of a raster is a group of bounded size, which takes the least over its
-    columns within the cap.
+    First the nearest masked cell of the own column, by windows. Each line of a
+    raster is then a row of bounded size, and many lines are handled at once in
+    an Arrow batch: up to the cap by shifts of all of them together, without one
+    by the lower envelope of each line's parabolas, in one pass over it.
     """
     down = Window.partitionBy(*LINE, "c").orderBy("r")
     above = F.last(F.when(F.col(mask), F.col("r")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(F.when(F.col(mask), F.col("r")), ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
     column = px.select(*LINE, "r", "c", F.least(F.col("r") - above, below - F.col("r")).cast("double").alias("g"))
-
-    def line(rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows["c"].to_numpy() - rows["c"].min()
-        own = np.full(at.max() + 1, np.inf)
-        own[at] = rows["g"].fillna(np.inf).to_numpy() ** 2
-        best = own.copy()
-        for d in range(1, min(len(own) - 1, len(own) if cap is None else int(cap // res)) + 1):
-            np.minimum(best[d:], own[:-d] + d * d, out=best[d:])
-            np.minimum(best[:-d], own[d:] + d * d, out=best[:-d])
-        return rows[["lake", "yr", "r", "c"]].assign(q=best[at])
-
+    lines = column.groupBy(*LINE, "r").agg(F.collect_list(F.struct("c", "g")).alias("cells"))
     kinds = dict(column.dtypes)
-    best = column.groupBy(*LINE, "r").applyInPandas(line, f"lake {kinds['lake']}, yr {kinds['yr']}, r {kinds['r']}, c {kinds['c']}, q double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pc.list_value_length(batch.column("cells")).to_numpy()
+            step = max(1, LINE_CELLS // max(1, int(counts.max(initial=1))))
+            for at in range(0, batch.num_rows, step):
+                part, n = batch.slice(at, step), counts[at : at + step]
+                cells = part.column("cells").flatten()
+                c, g = (cells.field(k).to_numpy(zero_copy_only=False) for k in ("c", "g"))
+                which = np.repeat(np.arange(part.num_rows), n)
+                place = c - np.repeat(np.minimum.reduceat(c, np.cumsum(n) - n), n)
+                own = np.full((part.num_rows, int(place.max()) + 1), np.inf)
+                own[which, place] = np.where(np.isnan(g), np.inf, g) ** 2
+                if cap is None:
+                    best = np.stack([lower_envelope(f) for f in own])
+                else:
+                    best = own.copy()
+                    for d in range(1, min(own.shape[1] - 1, int(cap // res)) + 1):
+                        np.minimum(best[:, d:], own[:, :-d] + d * d, out=best[:, d:])
+                        np.minimum(best[:, :-d], own[:, d:] + d * d, out=best[:, :-d])
+                keys = [part.column(k).take(pa.array(which)) for k in (*LINE, "r")]
+                yield pa.RecordBatch.from_arrays([*keys, cells.field("c"), pa.array(best[which, place])], [*LINE, "r", "c", "q"])
+
+    best = lines.mapInArrow(run, f"lake {kinds['lake']}, yr {kinds['yr']}, r {kinds['r']}, c {kinds['c']}, q double")
     far = F.sqrt("q") * res
     return best.select(*LINE, "r", "c", F.round(far if cap is None else F.least(far, F.lit(cap)), 4).alias("distance"))
 

@@ -196,3 +196,16 @@ def test_patches_are_scored_in_batches(spark):
     for (r, c), logits in got.items():
         means = [np.mean([v[i, j] for i in range(a, a + 4) for j in range(b, b + 4)]) for a in (0, 2, 4) for b in (0, 2, 4) if a <= r < a + 4 and b <= c < b + 4]
         assert logits == pytest.approx([v[r, c], v[r, c] - np.mean(means)])
+
+
+def test_distances_without_a_cap_are_exact(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 50):
+        f = np.where(rng.random(n) < 0.4, rng.integers(0, 90, n) ** 2.0, np.inf)
+        want = [min(f[v] + (x - v) ** 2 for v in range(n)) for x in range(n)]
+        assert raster.lower_envelope(f).tolist() == want
+    on = {(int(r), int(c)) for r, c in rng.integers(0, 25, (9, 2))}
+    df = spark.createDataFrame([(1, 2000, r, c, (r, c) in on) for r in range(25) for c in range(3, 31)] + [(2, 2000, 0, c, False) for c in range(4)], "lake int, yr int, r int, c int, m boolean")
+    for r in raster.distance_to(df, "m", None).collect():
+        want = min((math.hypot(r["r"] - a, r["c"] - b) * 20 for a, b in on if b >= 3), default=math.inf) if r["lake"] == 1 else math.inf
+        assert r["distance"] == (pytest.approx(want, abs=1e-3) if want < math.inf else want)
