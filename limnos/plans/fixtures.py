@@ -20,6 +20,13 @@ VIEWS = {
         150 + (pk * 53 + yr * 7) % 3500 as nir, 100 + (ok * 29 + pk * 13) % 3000 as swir16,
         case (ok + pk + yr) % 16 when 0 then 8 when 1 then 3 when 2 then 9 when 3 then 7 else 4 + (ok * 7 + pk * 3) % 3 end as scl,
         (ok * 17 + pk * 5) % 9 as dw, (ok + pk * 3) % 4 as cls from fx_key""",
+    # wider than the other rasters, so that its cells grow with the tables
+    "fx_wide": """select n_regionkey as lake, cast(year(l_shipdate) as int) as yr, cast(l_partkey * 7 % 512 as int) as r, cast(l_orderkey * 11 % 512 as int) as c,
+        (max(l_orderkey) + max(l_partkey) * 3) % 4 as cls, 150 + (max(l_partkey) * 53) % 3500 as nir
+        from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+        group by n_regionkey, year(l_shipdate), l_partkey * 7 % 512, l_orderkey * 11 % 512""",
+    "fx_order_points": "select o_orderkey as id, ((o_orderkey * 37) % 6400) / cast(200.0 as double) as x, ((o_orderkey * 91 + o_custkey) % 6410) / cast(200.0 as double) as y from orders",
+    "fx_line_scores": "select l_linenumber % 3 as g, case when l_returnflag = 'R' then 1 else 0 end as y, round(l_extendedprice / 10, 1) as score from lineitem",
     "fx_rc": "select x.r, y.r as c from (select distinct cast(p_partkey % 32 as int) as r from part) x cross join (select distinct cast(p_partkey % 32 as int) as r from part) y",
     "fx_disc": "select r_regionkey as lake, r, c, (r - 16) * (r - 16) + (c - 16) * (c - 16) as d2, 6 + r_regionkey as k from fx_rc cross join region",
     "fx_zones": """select lake, r, c, d2 <= k * k as inside, d2 > k * k and d2 <= (k + 6) * (k + 6) as collar, d2 <= (k + 6) * (k + 6) as region,

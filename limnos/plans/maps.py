@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from limnos.functions import geo
 from limnos.functions import spectral as S
-from limnos.operators import evaluate, forecasts, models, outlines, panel, raster, resample, spatial, zonal
+from limnos.operators import enhance, evaluate, forecasts, models, outlines, panel, raster, resample, spatial, zonal
 from limnos.plans.fixtures import view
-from limnos.plans.queries import BAD, LL_ETA, LL_PHI, LL_XI, MIRRORED, MNDWI, SCORES, UTM_T, UTM_X, UTM_Y, moving, scores
+from limnos.plans.queries import BAD, LL_ETA, LL_PHI, LL_XI, MIRRORED, MNDWI, NEAR, RANKQ, REACH, SCORES, UTM_T, UTM_X, UTM_Y, moving, scores
 from limnos.plans.registry import panel_query, query
 
 GRID = ("fx_grid",)
@@ -35,6 +35,13 @@ panel_query("o_prj_20_dihedral", """, m as (select unnest([0,1,2,3,4,5,6,7]) as
 select lake, yr, k, case k when 0 then r when 1 then c when 2 then 31 - r when 3 then 31 - c when 4 then r when 5 then 31 - r when 6 then c else 31 - c end as r,
 case k when 0 then c when 1 then 31 - r when 2 then 31 - c when 3 then r when 4 then 31 - c when 5 then c when 6 then r else 31 - r end as c, cls from fx_grid cross join m""", lambda g: raster.dihedral(g, 32), GRID)
 
+# --- work that grows with the tables ------------------------------------------------------
+
+panel_query("o_ras_7_patches_wide", REACH.format(0).replace("fx_grid", "fx_wide").replace("* 100", "* 1000") + " select lake, yr, (first // 1000) || ',' || (first % 1000) as patch, count(*) as px, round(count(*) * 0.04::double, 2) as ha, min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1 from p group by lake, yr, first", lambda p: raster.patch_table(raster.patches(p, 0)), ("fx_wide",))
+panel_query("o_ras_10_block_wide", "select lake, yr, cast(floor(r / 8) as int) as r, cast(floor(c / 8) as int) as c, round(coalesce(avg(nullif(nir, 0)), 0), 4) as nir from fx_wide group by all", lambda p: raster.block_average(p, "nir", 8), ("fx_wide",))
+panel_query("o_jn_3_points_wide", NEAR.replace("fx_points", "fx_order_points") + ", q as (select *, inside or distance = 0 as foot from nr where inside or distance <= 4) select lake, count(*) filter (where foot) as n_footprint, count(*) filter (where not foot and distance <= 2) as n_ring_30m, count(*) filter (where not foot and distance <= 4) as n_ring_75m from q group by lake", lambda p, e: spatial.counts_in_zones(p, e, {"ring_30m": 2.0, "ring_75m": 4.0}), ("fx_order_points", "fx_edges"))
+panel_query("o_win_10_ranking_wide", ", z as (select * from fx_line_scores)" + RANKQ[RANKQ.index(", s as (select g, score"):], lambda z: evaluate.ranking(z, "g"), ("fx_line_scores",))
+
 # --- outlines and layers ----------------------------------------------------------------
 
 
@@ -57,6 +64,7 @@ WEIGHT = "(1 - abs((f.r + 0.5) / 3 - 0.5 - p.r)) * (1 - abs((f.c + 0.5) / 3 - 0.
 panel_query("o_ras_10_bilinear", f""", s as (select unnest([0, 1, 2]) as i), f as (select x.r * 3 + a.i as r, x.c * 3 + b.i as c from fx_rc x cross join s a cross join s b)
 select p.lake, p.yr, f.r::int as r, f.c::int as c, round(sum({WEIGHT} * p.nir) / sum({WEIGHT}), 4) as nir from fx_pixels p join f on f.r between p.r * 3 - 3 and p.r * 3 + 5 and f.c between p.c * 3 - 3 and p.c * 3 + 5
 where abs((f.r + 0.5) / 3 - 0.5 - p.r) < 1 and abs((f.c + 0.5) / 3 - 0.5 - p.c) < 1 group by p.lake, p.yr, f.r, f.c""", lambda p, rc: resample.bilinear(p, "nir", 3, 32, 32), ("fx_pixels", "fx_rc"))
+query("o_ras_11_enhanced")(lambda spark, sf: enhance.enhanced(view(spark, sf, "fx_grid").withColumn("nir", F.col("nir") * 1e-4), "nir", 32, 32, 8))
 #: A raster of zone 43 on a grid of zone 44, six degrees of longitude east, by way of longitude and latitude.
 NORTH = resample.Grid(43, 780000.0, 1440640.0, 20.0, 32, 32)
 EAST = resample.Grid(44, 129900.0, 1441500.0, 20.0, 40, 40)
