@@ -286,7 +286,12 @@ def main_text(page: str, window: int = 2, surge: float = 150.0, heading: float =
             runs[-1] = (max(most, sum(weights[max(0, k + 1 - window) : k + 1])), kept)
     least = min(surge, max((most for most, _ in runs), default=0.0) / 2)
     surging = [k for k, (most, _) in enumerate(runs) if most >= least]
-    found = {max(runs[k][1], key=lambda x: x.plain + heading * x.heading).home for k in surging} - {-1}
+    found = set()  # homes with as much text in a surging run, or the most of it
+    for k in surging:
+        held: Counter[int] = Counter()
+        for line in runs[k][1]:
+            held[line.home] += line.plain + heading * line.heading
+        found |= {home for home, n in held.items() if home >= 0 and (n >= least or n == max(held.values()))}
     around = in_homes(layout.homes, found)
     if chosen := {h for h in found if not (layout.homes[h][1] >= 0 and around[layout.homes[h][1]])}:
         whole = in_homes(layout.homes, chosen)

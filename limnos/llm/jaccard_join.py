@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from limnos.llm.block_links import cross_links, similar
+from limnos.llm.block_links import cross_links, parity, sifted_pairs, similar
 from limnos.operators.graph import components
 from limnos.llm.near_dup import LOWER, WORD, fingerprint_rows
 from limnos.storage import scope, stage
@@ -165,11 +165,11 @@ def node_of(runs: np.ndarray) -> int:
 
 
 def signed_rows(docs: DataFrame, keep: dict[str, Column], text: Column, size: int, num: int, den: int) -> DataFrame:
-    """``keep`` columns, node, n_shingles and the set's signatures, keys: those of a task's first copy of a set alone."""
+    """``keep`` columns, node, n_shingles and, for a task's first copy of a set, its signatures, keys, and its parity."""
     bands = Bands(num, den)
     picked = docs.select(*[c.alias(name) for name, c in keep.items()], text.alias("text"))
     names = list(keep)
-    schema = T.StructType([*[f for f in picked.schema if f.name != "text"], *T._parse_datatype_string("node long, n_shingles long, keys array<long>")])
+    schema = T.StructType([*[f for f in picked.schema if f.name != "text"], *T._parse_datatype_string("node long, n_shingles long, keys array<long>, parity binary")])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +177,17 @@ def signed_rows(docs: DataFrame, keep: dict[str, Column], text: Column, size: in
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                nodes, sizes, keys = [], [], []
+                nodes, sizes, keys, parities = [], [], [], []
                 for x in batch.column("text"):
                     runs = set_of(x.as_py(), size)
                     node = node_of(runs) if len(runs) else None
                     nodes.append(node)
                     sizes.append(len(runs))
-                    keys.append(None if node is None or node in seen else signatures(runs, bands))
+                    new = node is not None and node not in seen
+                    keys.append(signatures(runs, bands) if new else None)
+                    parities.append(parity(runs).tobytes() if new else None)
                     seen.add(node)
-                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parities, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], *made], schema=arrow)
 
     return picked.mapInArrow(run, schema)
@@ -198,27 +200,29 @@ def shared_keys(postings: DataFrame) -> DataFrame:
     return met.select("key", "node").distinct()
 
 
-def similar_sets(nodes: DataFrame, shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar_sets(told: DataFrame, shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Links (a, b) that connect what all similar pairs with a key in common would connect, each verified exactly.
 
-    ``nodes`` has node and size; ``shared`` (a written table) key and node;
-    ``sets`` node and runs. Every node of a key is first tried against one
-    leader, the node with the most neighbours, which is the same in most keys
-    of a group of near copies: this takes one pair a member. What then still is
-    apart in a key is compared by cross_links.
+    ``told`` has node, size and parity; ``shared`` (a written table) key and
+    node; ``sets_of`` gives the sets of the nodes of pairs. Every node of a key
+    is first tried against one leader, the node with the most neighbours, which
+    is the same in most keys of a group of near copies: this takes one pair a
+    member. What then still is apart in a key is compared by cross_links. Whole
+    sets are looked at only where parities don't tell.
     """
     crowd = shared.groupBy("key").agg(F.count("*").alias("n"))
     weighed = shared.join(crowd, "key")
-    weights = weighed.groupBy("node").agg(F.sum("n").alias("weight")).join(nodes, "node")
-    told = stage(shared.join(weights, "node"), "weighed-keys")
-    leaders = told.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("l"))
+    weights = weighed.groupBy("node").agg(F.sum("n").alias("weight")).join(told.select("node", "size"), "node")
+    keyed = stage(shared.join(weights, "node"), "weighed-keys")
+    leaders = keyed.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("l"))
     near = (F.col("node") != F.col("l.node")) & (F.least("size", "l.size") >= F.greatest("size", "l.size") * similarity - 1e-6)
-    pairs = told.join(leaders, "key").where(near).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-    links = stage(similar(pairs, sets, similarity), "leader-links")
-    placed = stage(told.select("key", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
+    pairs = keyed.join(leaders, "key").where(near).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    pairs = stage(sifted_pairs(pairs, told, similarity), "undecided-leaders")
+    links = stage(similar(pairs, sets_of(pairs), similarity), "leader-links")
+    placed = stage(keyed.select("key", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
     mixed_keys = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
     rest = stage(placed.join(mixed_keys, "key"), "keys-left")
-    return links.unionByName(cross_links(rest, sets, similarity))
+    return links.unionByName(cross_links(rest, told, sets_of, similarity))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,16 +245,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     text_key = F.xxhash64(F.coalesce(text, F.lit("")))
     with scope() as wide:  # the signatures are read once
         signed = stage(signed_rows(docs, {"doc_id": F.col(id_col), "text_key": text_key}, text, size, num, den), "signed-rows")
-        with scope():
-            rows = stage(signed.drop("keys"), "shingle-rows")
-            shared = stage(shared_keys(signed.select("node", F.explode("keys").alias("key"))), "shared-signatures")
-    wide.drop(docs.sparkSession)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.min("text_key").alias("text_key"))
+    rows = stage(signed.drop("keys", "parity"), "shingle-rows")
+    shared = stage(shared_keys(signed.select("node", F.explode("keys").alias("key"))), "shared-signatures")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.min("text_key").alias("text_key"), F.first("parity", ignorenulls=True).alias("parity"))
     nodes = stage(nodes, "shingle-nodes")
-    wanted = stage(shared.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "nodes-to-verify")
-    picked = docs.select(text_key.alias("text_key"), text.alias("text")).join(wanted, "text_key").dropDuplicates(["node"])
-    sets = stage(fingerprint_rows(picked, {"node": F.col("node")}, F.col("text"), "runs array<long>", lambda x: (set_of(x, size).view("<i8"),)), "shingle-sets")
-    links = similar_sets(nodes.select("node", "size"), shared, sets, similarity)
+    wide.drop(docs.sparkSession)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
+        wanted = stage(wanted, "nodes-to-verify")
+        picked = docs.select(text_key.alias("text_key"), text.alias("text")).join(wanted, "text_key").dropDuplicates(["node"])
+        return stage(fingerprint_rows(picked, {"node": F.col("node")}, F.col("text"), "runs array<long>", lambda x: (set_of(x, size).view("<i8"),)), "shingle-sets")
+
+    links = similar_sets(nodes.select("node", "size", "parity"), shared, sets_of, similarity)
     roots = components(links)
     named = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "rooted-nodes")

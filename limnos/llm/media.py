@@ -34,6 +34,8 @@ MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Bytes of members after which a task begins a new archive, and of a read's partition.
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+#: Tasks that read archives, at most.
+MOST_TASKS = 20_000
 BATCH_BYTES = 4 << 20
 
 
@@ -145,9 +147,11 @@ def _member_at(source: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
     return data
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int) -> None:
-        self.archive, self.start, self.end = archive, start, end
+class ByteRanges(InputPartition):
+    """Ranges (archive, first byte, end) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
 
 
 class MediaReader(DataSourceReader):
@@ -156,12 +160,29 @@ class MediaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.list = options["list"]
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.most_tasks = int(options.get("most_tasks", MOST_TASKS))
         self.tries = int(options.get("tries", 4))
 
     def partitions(self) -> Sequence[InputPartition]:
+        """Tasks of range_bytes or, of very many archives, of more, so that there are MOST_TASKS at most.
+
+        Large archives are split at bytes; small ones, and the ends of large
+        ones, are packed together, so an archive is opened by few tasks.
+        """
         files, folder = fs.FileSystem.from_uri(self.list)
-        archives = pads.dataset(folder, filesystem=files, format="parquet").to_table(columns=["archive", "bytes"]).to_pylist()
-        return [ByteRange(x["archive"], at, at + self.range_bytes) for x in sorted(archives, key=lambda x: x["archive"]) for at in range(0, x["bytes"], self.range_bytes)] or [ByteRange("", 0, 0)]
+        table = pads.dataset(folder, filesystem=files, format="parquet").to_table(columns=["archive", "bytes"]).sort_by("archive")
+        archives = list(zip(table.column("archive").to_pylist(), table.column("bytes").to_pylist(), strict=True))
+        most = max(self.range_bytes, -(-sum(n for _, n in archives) // self.most_tasks))
+        out: list[InputPartition] = []
+        ranges, size = [], 0
+        for archive, n in archives:
+            for at in range(0, n, most):
+                ranges.append((archive, at, min(at + most, n)))
+                size += ranges[-1][2] - at
+                if size >= most:
+                    out.append(ByteRanges(ranges))
+                    ranges, size = [], 0
+        return [*out, ByteRanges(ranges)] if ranges or not out else out
 
     def member(self, source: pa.NativeFile, archive: str, info: zipfile.ZipInfo) -> bytes:
         """One member by its offset; when that fails, tried again alone on a fresh file."""
@@ -178,20 +199,22 @@ class MediaReader(DataSourceReader):
                     raise OSError(f"{archive}: member {info.filename} at {info.header_offset}: {e}") from e
         raise AssertionError
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
-        files, path = fs.FileSystem.from_uri(partition.archive)
-        with files.open_input_file(path) as source:
-            own = [x for x in zipfile.ZipFile(source).infolist() if partition.start <= x.header_offset < partition.end]
-            keys, data, size = [], [], 0
-            for info in own:
-                keys.append(info.comment[1:].decode() if info.comment else None)
-                data.append(self.member(source, partition.archive, info))
-                size += len(data[-1])
-                if size >= BATCH_BYTES or info is own[-1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], ["id", "media"])
-                    keys, data, size = [], [], 0
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        keys, data, size = [], [], 0
+        for archive, start, end in partition.ranges:
+            files, path = fs.FileSystem.from_uri(archive)
+            with files.open_input_file(path) as source:
+                for info in zipfile.ZipFile(source).infolist():
+                    if not start <= info.header_offset < end:
+                        continue
+                    keys.append(info.comment[1:].decode() if info.comment else None)
+                    data.append(self.member(source, archive, info))
+                    size += len(data[-1])
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], ["id", "media"])
+                        keys, data, size = [], [], 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.binary())], ["id", "media"])
 
 
 class MediaArchives(DataSource):

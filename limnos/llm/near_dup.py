@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.llm.block_links import cross_links, similar
+from limnos.llm.block_links import cross_links, similar, with_parities
 from limnos.columns import unused
 from limnos.operators.graph import components
 from limnos.operators.skew import salted_join
@@ -359,7 +359,8 @@ def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, near: Check
     placed = stage(with_roots(links), "rooted-bands")
     mixed = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
     rest = stage(placed.select("key", "node", "root").join(mixed.hint("merge"), "key"), "mixed-bands")
-    return links.unionByName(cross_links(rest, sets, similarity))
+    told = stage(with_parities(sets.join(rest.select("node").distinct(), "node")), "set-parities")
+    return links.unionByName(cross_links(rest, told, lambda pairs: sets, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, margin: float = 0.08, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,7 +50,7 @@ def features(text: str) -> Iterator[np.ndarray]:
     last n-grams reach, and a word that goes on carries its hash into the next
     piece: the features are those of the whole text, wherever it is cut.
     """
-    begun, length = np.uint64(0), 0  # hash and length of a word that goes on
+    begun, length = 0, 0  # hash and length of a word that goes on
     last = np.zeros(0, np.uint64)  # the word before
     for start in range(0, len(text), PIECE):
         chars = np.frombuffer(text[start : start + PIECE + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -63,13 +63,13 @@ def features(text: str) -> Iterator[np.ndarray]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars + np.uint64(1)) * up, dtype=np.uint64)))
         words, sizes = (sums[ends] - sums[starts]) * down[starts], ends - starts
         if length and not blank[0]:
-            words[0] = words[0] * np.uint64(pow(BASE, length, 1 << 64)) + begun
+            words[0] = (int(words[0]) * pow(BASE, length, 1 << 64) + begun) % (1 << 64)
             sizes[0] += length
         elif length:
-            words = np.append(begun, words)
+            words = np.append(np.uint64(begun), words)
         length = 0
         if len(ends) and ends[-1] == n and start + n < len(text):
-            begun, length, words = words[-1], int(sizes[-1]), words[:-1]
+            begun, length, words = int(words[-1]), int(sizes[-1]), words[:-1]
         if len(words):
             yield bucket(words, 1)
             # word pairs: equal neighbours share one bucket, whatever the word

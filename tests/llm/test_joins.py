@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limnos.llm import block_links, jaccard_join
+from limnos.llm import block_links, jaccard_join, near_dup
 from tests.llm.helpers import DOCS, LONG, awkward, docs, empty, fresh, shingle_set
 
 
@@ -127,7 +127,7 @@ def test_links_of_large_keys_are_those_of_all_pairs(spark, monkeypatch):
     keys = [(g, n) for n in sets for g in {n // 100, n // 200 + 10, n % 4 + 20}]
     met = spark.createDataFrame([(k, n, n) for k, n in keys], "key long, node long, root long")
     table = spark.createDataFrame([(n, s.tolist()) for n, s in sets.items()], "node long, runs array<long>")
-    links = {(r["a"], r["b"]) for r in block_links.cross_links(met, table, 0.8).collect()}
+    links = {(r["a"], r["b"]) for r in block_links.cross_links(met, block_links.with_parities(table), lambda pairs: table, 0.8).collect()}
 
     def components(pairs):
         comp = {n: n for n in sets}
@@ -148,3 +148,15 @@ def test_awkward_and_empty_tables(spark):
     assert jaccard_join.jaccard_components(empty(spark)).collect() == []
     null_id = spark.createDataFrame([(None, "a b", None, None, None), (7, "A b", None, None, None)], DOCS).withColumn("component_id", F.lit(1))
     assert {r["component_id"] for r in jaccard_join.jaccard_components(null_id).collect()} == {7}
+
+
+def test_near_dedup_keeps_one_of_each_exact_group(spark):
+    """Over given documents: nothing is lost, and of the groups of all similar pairs hardly one keeps two."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r["doc_id"] for r in near_dup.keep_one_of_each(table).collect()}
+    groups = {}
+    for r in jaccard_join.jaccard_components(table).where("n_shingles > 0").collect():
+        groups.setdefault(r["component_id"], set()).add(r["doc_id"])
+    several = [g for g in groups.values() if len(g) > 1]
+    assert len(several) > 20 and all(g & kept for g in groups.values())
+    assert sum(len(g & kept) - 1 for g in groups.values()) <= 0.02 * sum(len(g) - 1 for g in groups.values())

@@ -27,7 +27,7 @@ def awkward(spark):
     """Nulls everywhere, empty, blank and very long texts, repeated rows, clashing column names."""
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "  \n ", "en", None, 4), (3, LONG, "en", "a", len(LONG)), (4, "one two", "en", "b", 7), (4, "one two", "en", "b", 7), (5, "ONE two", None, "b", 7)]
     df = spark.createDataFrame(rows, DOCS)
-    for c in ("node", "score", "size", "row", "owner", "start", "fp", "hash", "key", "copies", "found", "host"):
+    for c in ("node", "score", "size", "row", "owner", "start", "fp", "hash", "key", "copies", "found", "host", "_text_key", "text_key", "leak_id", "leak_key", "row_id", "row_text", "spans", "live", "k0", "scanned_text"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -290,6 +290,20 @@ def test_damaged_members_are_tried_again_and_named(spark, tmp_path):
         media.read_archives(spark, listed, tries=2).collect()
 
 
+def test_ranges_are_packed_into_bounded_tasks(spark):
+    from limnos.storage import new_path
+
+    texts = [f"text {k} " * k for k in range(60)]
+    listed = media.write_archives(docs(spark, *texts).repartition(4, "doc_id"), new_path(spark, "m"))
+    want = sorted((str(k), media.payload_of(t)[1]) for k, t in enumerate(texts))
+    whole = sum(r["bytes"] for r in listed.collect())
+    for options in ({}, {"range_bytes": 500}, {"range_bytes": 500, "most_tasks": 3}, {"range_bytes": whole * 2}):
+        read = media.read_archives(spark, listed, **options)
+        assert sorted((r["id"], media.decode_png(r["media"])[1]) for r in read.collect()) == want
+        tasks = media.MediaReader({"list": listed.inputFiles()[0].rsplit("/", 1)[0], **{k: str(v) for k, v in options.items()}}).partitions()
+        assert len(tasks) <= int(options.get("most_tasks", 10**6)) and (options.get("range_bytes") != 500 or len(tasks) > 1)
+
+
 # --- urls ---------------------------------------------------------------------------------
 
 
@@ -342,6 +356,19 @@ def test_trees_rank_urls_of_hosts_they_never_saw(spark):
     assert len(pos) > 20 and len(neg) > 20 and auc >= 0.9
 
 
+def test_trees_rank_given_urls_of_hosts_they_never_saw(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct()
+    urls = pages.withColumn("host", url_filter.host(F.col("url"))).withColumn("path", url_filter.path(F.col("url")))
+    blocked = [k for k, v in url_filter.RULES if v == "block"]
+    rule = url_filter.matched_rule(F.col("host"), F.col("path"))
+    all_ = urls.withColumn("rule", rule).where("rule is not null").select("url", "host", "path", F.col("rule").isin(blocked).cast("double").alias("label"))
+    seen, held = all_.where(url_filter.fold(F.col("host")) != 0), all_.where(url_filter.fold(F.col("host")) == 0)
+    scored = url_filter.score_trees(held, url_filter.fit_trees(seen)).collect()
+    pos, neg = (np.array([r["score"] for r in scored if r["label"] == k]) for k in (1.0, 0.0))
+    auc = np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+    assert min(len(pos), len(neg)) > 20 and auc >= 0.95
+
+
 def test_one_url_repeated_decides_nothing_else(spark):
     urls = [f"http://a{k}.org/x{k}" for k in range(60)] + [f"http://shop{k}.com/de/p{k}?id={k}&k=1" for k in range(60)]
     rest = ["http://calm.net/x5", "http://shop.net/de/p9?id=7&k=1"]
@@ -389,15 +416,17 @@ def test_documents_repeated_under_one_id_weigh_as_one(spark):
 
 
 def test_features_of_pieces_match_the_whole(monkeypatch):
-    text = "ab cd ab ab " * 20 + "x"
-    whole = np.unique(np.concatenate(list(quality.features(text))))
-    monkeypatch.setattr(quality, "PIECE", 50)
-    cut = list(quality.pieces(text))
-    assert len(cut) > 3 and "".join(cut) == text and max(map(len, cut)) <= 50
-    assert set(np.concatenate(list(quality.features(text)))) <= set(whole)
-    # words hash by content alone, wherever they stand
-    a, b = (np.concatenate(list(quality.features(t))) for t in ("zz word", "word"))
-    assert set(b) & set(a)
+    """Wherever the pieces end: in words, at blanks, in runs of blanks, in words longer than a piece."""
+    rng = np.random.default_rng(6)
+    texts = ["word " * 30 + "end", "x" * 333 + " " + "é" * 120 + "\t\n  a a a", "", "   ", "a", "ab " * 77 + "  " + "b" * 49 + " " + "c" * 50 + "  c"]
+    texts += ["".join(rng.choice(list("ab \n"), 400)) for _ in range(20)]
+    count = lambda text: np.unique(np.concatenate([*quality.features(text), np.zeros(0, np.int32)]), return_counts=True)
+    whole = [count(t) for t in texts]
+    for piece in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        for (ids, n), t in zip(whole, texts, strict=True):
+            got = count(t)
+            assert got[0].tolist() == ids.tolist() and got[1].tolist() == n.tolist(), (piece, t)
 
 
 # --- tokens -------------------------------------------------------------------------------
@@ -495,7 +524,7 @@ LONG_BLOCK = ("Words of an article that go on for a while, so that there is some
         ("<article><div><p>Dr. Who writes.</p></div><div><p>{}</p></div><div><p>Bye.</p></div></article>", "Dr. Who writes. {} Bye."),
         ("<article><p>In.</p><table><tr><th>Year</th><th>Value</th></tr><tr><td>1999</td><td>12</td></tr></table><p>{}</p><p>End.</p></article>", "In. Year Value 1999 12 {} End."),
         ("<body><div><table><caption>Rain</caption><tr><td>1999<td>12</table><p>{}</p><p>End.</p></div></body>", "Rain 1999 12 {} End."),
-        ("<article><p>So <span class='share-price'>the price</span> is <b class=ad>up</b>.</p><div class='ad-hoc'>Adhoc</div><section class='related-work'>Rel</section><p>{}</p><div class='lunch-menu'>Lunch</div></article>", "So the price is up . Adhoc Rel {} Lunch"),
+        ("<article><p>So <span class='share-price'>the price</span> is <b class=ad>up</b>.</p><div class='ad-hoc'>Adhoc</div><section class='related-work'>Rel</section><p>{}</p><div class='lunch-menu'>Lunch</div></article>", "So the price is up. Adhoc Rel {} Lunch"),
         ("<div>Buy!</div><article><p>{}</p></article><section><p>a reader</p><p>{}</p></section><div>Buy!</div>", "{}"),
         ("<article><p>{}</p><section><h3>3 Comments</h3><p>{}</p></section><div><p>Advertisement</p><p>Buy</p></div><p>End.</p></article>", "{} End."),
         ("<article><p>{}</p><article><p>{}{}</p></article><div class='cookie-banner'>c</div><div class='comment-list'>d</div><p>End.</p></article>", "{} End."),
@@ -590,6 +619,34 @@ def test_owners_and_repositories_may_disagree(spark):
     assert got[0]["frequency"] == "owned:2:26:1:4" and got[10]["frequency"] == "owned:2:26:1:2"
 
 
+def test_frequencies_and_owned_values_match_brute_force(spark):
+    """Counts of owners and repositories of every candidate, and what is owned, over a given table with copies and keys added."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    keys = ["Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Zy9Xw8Vu7Ts6Rq5Po4Nm3Lk2", "deadbeef0123456789abcdef"]
+    added = [(10_000 + i, f"x {keys[i % 3]} token={keys[(i + 1) % 3]} y" + (" Qw1Er2Ty3Ui4Op5As6Df7Gh8 api_key: Hg8Fd7Sa6Po5Iu4Yt3Re2Wq1" if i < 6 else ""), f"l{i % 2}", f"s{i % (1 + i // 8)}", 0) for i in range(24)]
+    df = table.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(added, DOCS))
+    rows, places = df.collect(), {}
+    for r in rows:
+        for *_, v in secrets.candidates(r["text"] or ""):
+            places.setdefault(v, set()).add((r["source"] or "", (r["source"] or "", r["lang"] or "")))
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    n_owned = 0
+    for r in rows:
+        found = secrets.candidates(r["text"] or "")
+        want, told = set(), []
+        for kind, s, e, vs, ve, v in found:
+            owners, repos = ({p[k] for p in places[v]} for k in (0, 1))
+            told.append((s, kind, f"{secrets.KINDS[kind]}:{s}:{e}:{len(owners)}:{len(repos)}"))
+            if kind < 3:
+                want.add((s, kind, f"{secrets.KINDS[kind]}:{s}:{e}"))
+            if secrets.looks_live(v) and len(owners) == 1 and len(repos) <= 3:
+                want.add((vs, 3, f"owned:{vs}:{ve}"))
+        n_owned += sum(k == 3 for _, k, _ in want)
+        assert got[r["doc_id"]]["spans"] == ",".join(x[2] for x in sorted(want))
+        assert got[r["doc_id"]]["frequency"] == ",".join(x[2] for x in sorted(told))
+    assert n_owned > 10
+
+
 # --- awkward tables -----------------------------------------------------------------------
 
 
