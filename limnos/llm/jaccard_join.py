@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from limnos.llm.block_links import cross_links, parity, sifted_pairs, similar
 from limnos.operators.graph import components
+from limnos.llm.fetch import likely
 from limnos.llm.near_dup import LOWER, WORD, fingerprint_rows
 from limnos.storage import scope, stage
 
@@ -254,7 +255,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node")
         wanted = stage(wanted, "nodes-to-verify")
-        picked = docs.select(text_key.alias("text_key"), text.alias("text")).join(wanted, "text_key").dropDuplicates(["node"])
+        picked = likely(docs.select(text_key.alias("text_key"), text.alias("text")), "text_key", wanted).join(wanted, "text_key").dropDuplicates(["node"])
         return stage(fingerprint_rows(picked, {"node": F.col("node")}, F.col("text"), "runs array<long>", lambda x: (set_of(x, size).view("<i8"),)), "shingle-sets")
 
     links = similar_sets(nodes.select("node", "size", "parity"), shared, sets_of, similarity)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limnos.llm import block_links, jaccard_join, near_dup
+from limnos.llm import block_links, fetch, jaccard_join, near_dup
 from tests.llm.helpers import DOCS, LONG, awkward, docs, empty, fresh, shingle_set
 
 
@@ -160,3 +160,13 @@ def test_near_dedup_keeps_one_of_each_exact_group(spark):
     several = [g for g in groups.values() if len(g) > 1]
     assert len(several) > 20 and all(g & kept for g in groups.values())
     assert sum(len(g & kept) - 1 for g in groups.values()) <= 0.02 * sum(len(g) - 1 for g in groups.values())
+
+
+def test_the_filter_of_keys_loses_none(spark):
+    rng = np.random.default_rng(36)
+    keys = [int(k) for k in rng.integers(-(1 << 63), (1 << 63) - 1, 3000)]
+    rows = spark.createDataFrame([(k, str(k)) for k in keys], "key long, text string")
+    wanted = spark.createDataFrame([(k,) for k in keys[:40]], "key long")
+    kept = {r["key"] for r in fetch.likely(rows, "key", wanted).collect()}
+    assert set(keys[:40]) <= kept and len(kept) < 60
+    assert fetch.likely(rows, "key", wanted.limit(0)).count() == 0
