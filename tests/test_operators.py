@@ -1,5 +1,6 @@
 """Operators against brute force, invariants and published results."""
 
+import json
 import math
 
 import numpy as np
@@ -166,3 +167,14 @@ def test_streams_agree_with_batch(spark, tmp_path):
     for _ in range(2):
         feeds.ingest_scenes(spark, str(tmp_path / "landed"), "lake int, yr int, r int, c int, v int", str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_summaries_write_plain_numbers(spark):
+    xs = [0.0, -0.0, 0.5, 9999999.5, 1e7, 48445150.1, 46122990.0, -482934210837.25, 9999999999999998.0, 1e16, 1.5e17, 0.001, 0.0005, 0.0001, 5e-05, 1.5e-07, 1e-100, math.nan, math.inf, None]
+    rows = [(k, x, [x, 1e8], {"a\"b": x}, (x, "1.0E7, \u20ac]"), None) for k, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k long, x double, xs array<double>, m map<string, double>, s struct<y: double, `z z`: string>, none array<double>")
+    got = {r["k"]: r["row"] for r in sinks.payload("k", only=df).collect()}
+    for k, x, *_ in rows:
+        y = x if x is not None and math.isfinite(x) else None
+        want = {"k": k, "x": y, "xs": [y, 1e8], "m": {'a"b': y}, "s": {"y": y, "z z": "1.0E7, \u20ac]"}, "none": None}
+        assert got[k] == json.dumps(want, separators=(",", ":"), ensure_ascii=False)
