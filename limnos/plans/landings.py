@@ -194,12 +194,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     drops, store, checkpoint = (new_path(spark, n) for n in ("feed", "rolled", "rolling"))
     # a reading comes with its own day, or a day late; some come again with the day after
     day = F.datediff("ts", F.lit("2000-01-01").cast("date"))
-    timely = rows.withColumn("drop", day + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
-    again = rows.where(F.col("event_id") % 7 == 0).withColumn("drop", day + 1)
+    late, again = F.col("event_id") % 5 == 0, F.col("event_id") % 7 == 0
+    comes = F.array_compact(F.array(day + F.when(late, 1).otherwise(0), F.when(again, day + 1)))
     ahead = rows.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(0.0).alias("value"), (F.max(day) + 2).alias("drop"))
-    every = timely.unionByName(again).unionByName(ahead)
-    for r in every.select("drop").distinct().orderBy("drop").collect():  # a file a day, in order
-        every.where(F.col("drop") == r["drop"]).drop("drop").coalesce(1).write.mode("append").parquet(drops)
+    feeds.land_in_order(rows.withColumn("drop", F.explode(comes)).unionByName(ahead), "drop", drops)  # a file a day
     feeds.rolled_stream(spark, drops, rows.schema, store, checkpoint).awaitTermination()
     out = spark.read.schema("d date, rain double, days long").parquet(store)
     last = rows.agg(F.to_date(F.max("ts")).alias("last"))

@@ -178,3 +178,19 @@ def test_summaries_write_plain_numbers(spark):
         y = x if x is not None and math.isfinite(x) else None
         want = {"k": k, "x": y, "xs": [y, 1e8], "m": {'a"b': y}, "s": {"y": y, "z z": "1.0E7, \u20ac]"}, "none": None}
         assert got[k] == json.dumps(want, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_a_feed_is_landed_in_order_and_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(120).select("id", F.when(F.col("id") < 100, 20 - F.col("id") % 10).cast("int").alias("drop"))
+    feeds.land_in_order(rows.mapInArrow(count, rows.schema), "drop", str(tmp_path / "feed"))
+    assert seen.value == 120  # and not once for each of the ten drops
+    files = sorted((tmp_path / "feed").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    got = [sorted(r["id"] for r in spark.read.parquet(str(f)).collect()) for f in files]
+    assert got == [[k for k in range(100) if 20 - k % 10 == d] for d in range(11, 21)]
