@@ -221,13 +221,15 @@ def cross_links(met: DataFrame, told: DataFrame, sets_of: Callable[[DataFrame],
     by_keys = placed.groupBy("chain", "key").agg(F.first("n").alias("n")).groupBy("chain").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
     whole = members.groupBy("chain").agg(F.count("*").alias("m")).join(by_keys, "chain").select("chain", (F.col("m").cast("double") * F.col("m") <= F.col("pairs")).alias("whole"))
     whole = stage(whole, "chains")
-    at_once = members.join(whole.where("whole"), "chain").select(F.lit(0).alias("kind"), F.col("chain").alias("part"), "node", "root")
-    by_key = placed.join(whole.where("not whole"), "chain").select(F.lit(1).alias("kind"), F.col("key").alias("part"), "node", "root")
+    part = F.when(F.col("whole"), F.col("chain")).otherwise(F.col("key"))
+    parts = placed.join(whole, "chain").select(F.when(F.col("whole"), 0).otherwise(1).alias("kind"), part.alias("part"), "node", "root").distinct()
+    parts = stage(parts, "parts")
+    # parities come to the rows last, when these are dealt: only then they are shuffled
     short = stage(with_short_parities(told.join(met.select("node").distinct(), "node")), "short-parities")
-    parts = at_once.unionByName(by_key).join(short, "node")
-    sized = parts.groupBy("kind", "part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.octet_length("parity")) / BLOCK_BYTES)).alias("blocks"))
+    long = short.select("node", F.octet_length("parity").alias("bytes"))
+    sized = parts.join(long, "node").groupBy("kind", "part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
     dealt = parts.join(sized, ["kind", "part"])
-    columns = ["kind", "part", "i", "j", "side", "within", "node", "root", "size", "parity"]
+    columns = ["kind", "part", "i", "j", "side", "within", "node", "root"]
     # parts of one block, which are many and mostly small, are handled some thousands of rows at once
     bins = max(1, met.count() // BIN_ROWS)
     zero = F.lit(0).cast("long")
@@ -236,7 +238,7 @@ def cross_links(met: DataFrame, told: DataFrame, sets_of: Callable[[DataFrame],
     large = dealt.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     large = large.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int"), "within": zero}).select(columns)
-    dealt = small.unionByName(large)
+    dealt = small.unionByName(large).join(short, "node").select(*columns, "size", "parity")
     pairs = stage(dealt.groupBy("kind", "part", "i", "j").applyInArrow(lambda table: sifted(table, similarity), "a long, b long").distinct(), "undecided-pairs")
     pairs = stage(sifted_pairs(pairs, told, similarity), "pairs-to-verify")
     return stage(similar(pairs, sets_of(pairs), similarity), "block-links")

@@ -195,10 +195,16 @@ def signed_rows(docs: DataFrame, keep: dict[str, Column], text: Column, size: in
 
 
 def shared_keys(postings: DataFrame) -> DataFrame:
-    """(key, node) of the keys that different nodes have, of which a node comes once."""
+    """(key, node) of the keys that different nodes have, of which a node comes once.
+
+    Texts that share a passage meet in many keys. Keys of the same nodes are one,
+    which is named by a digest of its nodes; should two sets of nodes have one
+    digest, they only meet in one key.
+    """
     by = Window.partitionBy("key")
     met = postings.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by)}).where("low < high")
-    return met.select("key", "node").distinct()
+    named = met.select("key", "node").distinct().withColumn("nodes", F.bit_xor(F.xxhash64("node")).over(by))
+    return named.select(F.col("nodes").alias("key"), "node").distinct()
 
 
 def similar_sets(told: DataFrame, shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:

@@ -170,3 +170,13 @@ def test_the_filter_of_keys_loses_none(spark):
     kept = {r["key"] for r in fetch.likely(rows, "key", wanted).collect()}
     assert set(keys[:40]) <= kept and len(kept) < 60
     assert fetch.likely(rows, "key", wanted.limit(0)).count() == 0
+
+
+def test_keys_of_the_same_nodes_are_one(spark):
+    """Texts that share a passage meet in one key, however many signatures they share; no meeting is lost."""
+    met = [(k, n) for k in range(40) for n in (1, 2)] + [(k, n) for k in range(40, 60) for n in (2, 3, 4)] + [(60, 1), (60, 2), (60, 3), (61, 1)]
+    got = jaccard_join.shared_keys(spark.createDataFrame(met + met[:30], "key long, node long").repartition(5)).collect()
+    by: dict[int, set[int]] = {}
+    for r in got:
+        by.setdefault(r["key"], set()).add(r["node"])
+    assert sorted(map(sorted, by.values())) == [[1, 2], [1, 2, 3], [2, 3, 4]] and len(got) == 8
