@@ -44,8 +44,9 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A block holds 2,048 documents or 250,000 postings at most (a document
     with more is alone), in the partition where its documents are: nothing is
-    shuffled. Null and empty texts, and texts without a term, have no postings
-    and no place. Repeated rows each have their place; null ids stay null.
+    shuffled. It is a row group of its own, so that a task decodes one block at
+    a time however many its part has. Null and empty texts, and texts without a
+    term, have no postings and no place. Repeated rows each have their place; null ids stay null.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T._parse_datatype_string(INDEX.format(id=picked.schema["id"].dataType.simpleString()))
@@ -79,7 +80,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if ids:
             yield block(ids, counted, numbers)
 
-    return stage(picked.mapInArrow(run, schema), "search-index")
+    return stage(picked.mapInArrow(run, schema), "search-index", group_rows=1)
 
 
 # --- queries --------------------------------------------------------------------
@@ -186,7 +187,7 @@ def _prepared(index: DataFrame, numbers: dict[str, int], weights: list[int], pai
                 made = prepare(batch, r)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
-    return stage(index.mapInArrow(run, schema), "search-pairs")
+    return stage(index.mapInArrow(run, schema), "search-pairs", group_rows=1)
 
 
 def best_of_block(lists: dict[int, tuple[np.ndarray, np.ndarray]], joint: dict[int, int], met: dict[int, np.ndarray], pair_of: dict[tuple[int, int], int], terms: list[int], n_docs: int, least: int) -> tuple[np.ndarray, np.ndarray]:

@@ -64,17 +64,21 @@ def scope() -> Iterator[Scope]:
         _scope.reset(token)
 
 
-def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *partition_by: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later steps read files instead of repeating the plan, survive the loss of
-    executors, and get true sizes for the choice of a broadcast.
+    executors, and get true sizes for the choice of a broadcast. Readers decode
+    up to 4,096 rows of a row group at once and writers hold a hundred at least;
+    where rows have megabytes, ``group_rows`` bounds the rows of a group.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
     if own := _scope.get():
         own.paths.append(path)
     writer.parquet(path)

@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,18 @@ def test_results_are_those_of_scoring_everything(spark, monkeypatch, block):
     assert sorted(map(tuple, got)) == brute(texts, items)
 
 
+def test_a_task_decodes_one_block_at_a_time(spark, monkeypatch):
+    """Readers decode up to 4,096 rows of a row group at once, and a block's row has megabytes."""
+    monkeypatch.setattr(ranked_search, "BLOCK_DOCS", 7)
+    texts = [zipf(np.random.default_rng(d), 20) for d in range(50)]
+    index = ranked_search.index_documents(docs(spark, *texts).coalesce(1))
+    prepared = ranked_search._prepared(index, {"t1": 0, "t2": 1}, [3, 4], [(0, 1)], 50, 1000, 10)
+    for table in (index, prepared):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+        assert table.count() == 8
+        assert [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)] == [1] * 8
+
+
 def test_queries_are_answered_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranked_search, "QUERIES", 6)
     rng = np.random.default_rng(8)
